@@ -68,9 +68,12 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic:
         return {}
-    # far likelier in toxic texts, and in more of them than chance gives; the list's length is bounded
+    # far likelier in toxic texts, and in so many of them that it's not chance among a million candidates (a likelihood
+    # ratio of e^20); the list's length is bounded
     rate = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / (clean + 1))
-    best = counts.where((F.col("toxic") >= max(2, toxic // 400)) & (rate >= 8)).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(most).collect()
+    share, both = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share) + 1e-9))).otherwise(0)
+    best = counts.where((F.col("toxic") > 0) & (rate >= 8) & (gain >= 20)).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(most).collect()
     lists = {f: n for n, f in enumerate(sorted(r["feature"] for r in best if not r["feature"].endswith("-")))}
     return {r["feature"]: LISTS + BEGINNINGS.index(len(r["feature"]) - 1) if r["feature"].endswith("-") else lists[r["feature"]] % LISTS for r in best}
 
@@ -246,19 +249,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     posterior = dict(zip(rows.tolist(), model.posterior(v).tolist(), strict=True)) if len(rows) else {}
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # every feature of the bounded sample that two texts have at least
+        # every feature of the bounded sample that five texts have at least
         rows, seen = [], Counter()
         for b in batches:
             for text in b["text"]:
                 fs = {f for w in set(words_of(text)) for f in features_of(w)}
                 seen.update(fs)
                 rows.append((fs, posterior[voters.votes(text)]))
-        names = sorted(f for f, k in seen.items() if k >= 2)
+        names = sorted(f for f, k in seen.items() if k >= 5)
         number = {f: i for i, f in enumerate(names)}
         rows = [(np.array(sorted(number[f] for f in fs if f in number), np.int64), y) for fs, y in rows]
         f = Ftrl(len(names), 2, alpha=0.2, l1=1.0, l2=1e-2)
         positive = max(1.0, sum(y for _, y in rows))
-        balance = min(20.0, max(1.0, (len(rows) - positive) / positive))
+        balance = min(2.0, max(1.0, (len(rows) - positive) / positive))
         for e in range(epochs):
             for k in np.random.default_rng(e).permutation(len(rows)):
                 i, y = rows[k]
