@@ -12,14 +12,13 @@ def _asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: lis
     # of rows at the same time the right side goes first if it may match, last if not (backwards: the other way round)
     tag = 1 if strict != forward else 0
     nothing = lambda df, names, kinds: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
-    lt, rt = dict(left.dtypes), dict(right.dtypes)
+    lt = dict(left.dtypes)
     r = right.select(*by, on, F.lit(tag).alias("__tag"), F.struct(F.col(on).alias("__at"), *values).alias("__r"), *nothing(left, lc, lt))
     kind = dict(r.dtypes)["__r"]
     lft = left.select(*by, on, F.lit(1 - tag).alias("__tag"), F.lit(None).cast(kind).alias("__r"), *lc)
     w = Window.partitionBy(*by).orderBy(on, "__tag")
     found = F.first("__r", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = lft.unionByName(r).withColumn("__f", found).where(F.col("__tag") == 1 - tag)
-    del rt
     return out.select(*by, on, *lc, F.col("__f.__at").alias(f"{on}_matched"), *[F.col(f"__f.{v}").alias(v) for v in values])
 
 

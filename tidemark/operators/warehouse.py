@@ -144,11 +144,10 @@ def snapshot_as_of(df: DataFrame, by: list[str], day: str, as_of) -> DataFrame:
 
 def snap_to_session(df: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     """A day's last session at or before it."""
-    cal = calendar.select(F.lit(1).alias("__k"), C("d").alias(day), C("d").alias("session"))
-    left = df.withColumn("__k", F.lit(1)).withColumn("__bucket", F.date_trunc("month", day))
-    span = calendar.select("d", "next_d").withColumn(day, F.explode(F.expr("sequence(d, coalesce(date_sub(next_d, 1), date_add(d, 400)))"))).select(day, C("d").alias("session"))
-    del cal
-    return left.drop("__k", "__bucket").join(F.broadcast(span), day, "left")
+    # each session stands for the days up to the next one; the last for 400 more
+    days = F.explode(F.expr("sequence(d, coalesce(date_sub(next_d, 1), date_add(d, 400)))"))
+    span = calendar.select(C("d").alias("session"), days.alias(day))
+    return df.join(F.broadcast(span), day, "left")
 
 
 def membership_intervals(df: DataFrame, calendar: DataFrame, by: list[str], day: str) -> DataFrame:
