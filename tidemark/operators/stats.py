@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import ranks
 
@@ -16,14 +17,14 @@ from . import joins
 C = F.col
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Spark has no error function."""
     n = NormalDist()
     return x.map(lambda v: None if v is None or math.isnan(v) else n.cdf(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     n = NormalDist()
     return p.map(lambda v: n.inv_cdf(v) if 0 < v < 1 else None)

@@ -85,7 +85,7 @@ def d09(spark, sf):
     return rnd(warehouse.adjusted_forward(p, factors(spark, sf), ["sid"], "idx", "close").select("sid", "idx", "adj"), "adj")
 
 
-@query("d10_price_adj_asof", _F + " SELECT p.sid, p.idx, round(p.close / coalesce(product(f.factor), 1), 6) AS adj FROM panel p LEFT JOIN f ON f.sid = p.sid AND f.idx > p.idx AND f.idx + 0 <= 20 WHERE p.idx <= 20 GROUP BY p.sid, p.idx, p.close", "panel")
+@query("d10_price_adj_asof", _F + ", g AS (SELECT p.sid, p.idx, product(f.factor) AS k FROM panel p JOIN f ON f.sid = p.sid WHERE f.idx > p.idx AND f.idx <= 20 GROUP BY p.sid, p.idx) SELECT p.sid, p.idx, round(p.close / coalesce(g.k, 1), 6) AS adj FROM panel p LEFT JOIN g ON g.sid = p.sid AND g.idx = p.idx WHERE p.idx < 21", "panel")
 def d10(spark, sf):
     p = views.panel(spark, sf).select("sid", "idx", "close")
     return rnd(warehouse.adjusted_as_of(p, factors(spark, sf), ["sid"], "idx", "close", 20).select("sid", "idx", "adj"), "adj")
