@@ -73,7 +73,7 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
     rate = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / (clean + 1))
     share, both = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
     gain = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share) + 1e-9))).otherwise(0)
-    best = counts.where((F.col("toxic") > 0) & (rate >= 8) & (gain >= 20)).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(most).collect()
+    best = counts.where((F.col("toxic") > 0) & (rate >= 40) & (gain >= 20)).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(most).collect()
     lists = {f: n for n, f in enumerate(sorted(r["feature"] for r in best if not r["feature"].endswith("-")))}
     return {r["feature"]: LISTS + BEGINNINGS.index(len(r["feature"]) - 1) if r["feature"].endswith("-") else lists[r["feature"]] % LISTS for r in best}
 
