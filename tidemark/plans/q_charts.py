@@ -117,11 +117,11 @@ def t17b(spark, sf):
     return technical.confluence(b, "sid")
 
 
-@query("t19_reactions", ", l AS (SELECT sid, median(close) AS level FROM panel GROUP BY sid), f AS (SELECT *, lead(close, 2) OVER (PARTITION BY sid ORDER BY idx) AS f FROM panel) SELECT f.sid, idx, round(level, 6) AS level, abs(f - level) > abs(close - level) AS bounced FROM f JOIN l USING (sid) WHERE low <= level * 1.02 AND high >= level * 0.98", "panel")
+@query("t19_reactions", ", l AS (SELECT sid, median(close) AS level FROM panel GROUP BY sid), f AS (SELECT *, lead(close, 2) OVER (PARTITION BY sid ORDER BY idx) AS f FROM panel) SELECT f.sid, idx, round(level, 6) AS level, CAST(abs(f - level) > abs(close - level) AS INT) AS bounced FROM f JOIN l USING (sid) WHERE low <= level * 1.02 AND high >= level * 0.98", "panel")
 def t19(spark, sf):
     p = views.panel(spark, sf)
     lv = p.groupBy("sid").agg(F.median("close").alias("level"))
-    return rnd(technical.reactions(p, lv, "sid", "idx", 0.02, 2), "level")
+    return rnd(technical.reactions(p, lv, "sid", "idx", 0.02, 2).withColumn("bounced", C("bounced").cast("int")), "level")
 
 
 @query("t20_avoid_flags", ", h AS (SELECT sid, idx, close, volume, CASE WHEN count(*) OVER b = 6 THEN max(high) OVER b END AS hi FROM panel WINDOW b AS (PARTITION BY sid ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) SELECT sid, idx, concat_ws(',', CASE WHEN close > hi THEN 'breakout' END, CASE WHEN volume < 2 THEN 'thin' END) AS flags FROM h", "panel")

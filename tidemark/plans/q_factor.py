@@ -30,7 +30,7 @@ def node(name: str, graph: dict, expr: str, extra: str = "", out: str = "y"):
 
     def run(spark, sf):
         d = factor.evaluate_graph(panel(spark, sf), FIELD | graph, out).select("sid", "d", "value")
-        return d.withColumn("value", F.round("value", 6)) if dict(d.dtypes)["value"] == "double" else d
+        return d.withColumn("value", F.round("value", 6) if dict(d.dtypes)["value"] == "double" else C("value").cast("int"))
 
     query(name, sql, "panel")(run)
 
@@ -65,7 +65,7 @@ node("g11_winsorize", {"y": Node("winsorize", ("x",), {"lo": 0.2, "hi": 0.8})},
 node("g11_demean", {"y": Node("demean", ("x",))}, f"round(x - avg(x) OVER ({PEERS}), 6)")
 node("g12_neutralize", {"y": Node("neutralize", ("x",), {"group": "sector"})}, "round(x - avg(x) OVER (PARTITION BY d, member, sector), 6)")
 node("g12_group_rank", {"y": Node("group_rank", ("x",), {"group": "sector"})}, RANK.format("PARTITION BY d, member, sector"))
-node("g13_compare", {"y": Node("gt", ("x", "o"))}, "x > open")
+node("g13_compare", {"y": Node("gt", ("x", "o"))}, "CAST(x > open AS INT)")
 node("g14_cond", {"k": Node("gt", ("x", "o")), "y": Node("cond", ("k", "x", "o"))}, "round(CASE WHEN x > open THEN x WHEN NOT x > open THEN open END, 6)")
 node("g15_fill", {"g": Node("mean", ("m",), {"window": 3}), "y": Node("fill", ("g",), {"value": 7})},
      "CASE WHEN NOT coalesce(max(CAST(close_masked AS INT)) OVER (w ROWS 2 PRECEDING) = 1, false) THEN round(coalesce(CASE WHEN count(u) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(u) OVER (w ROWS 2 PRECEDING) END, 7), 6) END",

@@ -263,12 +263,12 @@ def m04(spark, sf):
     return views.panel(spark, sf).select("sid", "d", flow.alias("flow"), (C("volume") - F.lag("volume", 5).over(w)).alias("change"))
 
 
-@query("m05_revisions", ", e AS (SELECT sid, q, revenue - 150000 AS now, lag(revenue - 150000) OVER (PARTITION BY sid ORDER BY q) AS before, n FROM fundamentals) SELECT sid, q, round(CASE WHEN n >= 2 AND before <> 0 THEN (now - before) / abs(before) END, 6) AS revision, CASE WHEN n >= 2 AND before <> 0 THEN sign(now) <> sign(before) END AS flipped FROM e", "fundamentals")
+@query("m05_revisions", ", e AS (SELECT sid, q, revenue - 150000 AS now, lag(revenue - 150000) OVER (PARTITION BY sid ORDER BY q) AS before, n FROM fundamentals) SELECT sid, q, round(CASE WHEN n >= 2 AND before <> 0 THEN (now - before) / abs(before) END, 6) AS revision, CASE WHEN n >= 2 AND before <> 0 THEN CAST(sign(now) <> sign(before) AS INT) END AS flipped FROM e", "fundamentals")
 def m05(spark, sf):
     f = views.fundamentals(spark, sf).withColumn("now", C("revenue") - 150000)
     f = f.withColumn("before", F.lag("now").over(Window.partitionBy("sid").orderBy("q")))
     r, flip = models.revisions(f, "now", "before", "n", 2)
-    return f.select("sid", "q", F.round(r, 6).alias("revision"), flip.alias("flipped"))
+    return f.select("sid", "q", F.round(r, 6).alias("revision"), flip.cast("int").alias("flipped"))
 
 
 def _pct(x, part="d"):
