@@ -49,8 +49,8 @@ def bucket_of(name: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(n))
 
 
-def with_group(rows: DataFrame, keys: list[str], aggregates: list[Column], spread: str, salts: int = 32) -> DataFrame:
-    """rows with aggregates of their group, for groups of any size.
+def with_group(rows: DataFrame, keys: list[str], aggregates: list[Column], spread: str, salts: int = 32, having: str = "true") -> DataFrame:
+    """rows with aggregates of their group, for groups of any size; only the groups for which having holds.
 
     The aggregates are combined inside each task first; they come back to the rows of a group under as many salts as its
     rows have (by a hash of the column spread), so a hot group is joined in up to that many tasks. rows is read twice
@@ -58,6 +58,6 @@ def with_group(rows: DataFrame, keys: list[str], aggregates: list[Column], sprea
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     mask = F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__mask")
-    groups = salted.groupBy(*keys).agg(*aggregates, mask)
+    groups = salted.groupBy(*keys).agg(*aggregates, mask).where(having)
     groups = groups.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), b -> (shiftright(__mask, b) & 1L) = 1L)"))).drop("__mask")
     return salted.join(groups, [*keys, "__salt"]).drop("__salt")
