@@ -18,6 +18,9 @@ import regex
 _BEFORE_WORD = regex.compile(r" (?=[^\s\x1c-\x1f])")
 _OTHER_SPACE = regex.compile(r" (?![^\s\x1c-\x1f])")
 _GAP = regex.compile(r"[ \n\t]")
+#: Letters, and ASCII marks but the apostrophe: every vocabulary's pattern starts a new match between them. (Lower-casing İ
+#: gives a sign that is no letter, so words with it stay whole.)
+_WORD_AND_MARKS = regex.compile(r"(?![^İ]*İ)( ?\p{L}+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class PieceEncoder:
@@ -28,19 +31,28 @@ class PieceEncoder:
     texts are taken in windows of about window characters, however long they are.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[Iterable[int]]], lead: str, dtype=np.uint16, max_pieces: int = 300_000, window: int = 1 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[Iterable[int]]], lead: str, dtype=np.uint16, max_pieces: int = 250_000, window: int = 1 << 20):
         self.encode_many, self.lead, self.dtype, self.max_pieces, self.window = encode_many, lead, dtype, max_pieces, window
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _learn(self, rows: Iterable[list[str]]) -> None:
-        """Makes all keys in the rows known."""
+        """Makes all keys in the rows known. A word with marks after it is put together from the word and the marks."""
         keys: set[str] = set().union(*rows)
-        new = list(keys - self.known.keys())
+        new = [k for k in keys if k not in self.known]
         if len(self.known) + len(new) > self.max_pieces:
             self.known.clear()
             new = list(keys)
+        parts = [m.groups() if (m := _WORD_AND_MARKS.fullmatch(t)) else (t,) for t in map(self.text_of, new)]
+        need = {x for p in parts for x in p}
+        fresh = [x for x in need if x not in self.parts]
+        if len(self.parts) + len(fresh) > self.max_pieces:
+            self.parts.clear()
+            fresh = list(need)
         code = "H" if self.dtype == np.uint16 else "I"
-        self.known.update(zip(new, (array(code, ids).tobytes() for ids in self.encode_many(new)), strict=True))
+        self.parts.update(zip(fresh, (array(code, ids).tobytes() for ids in self.encode_many(fresh)), strict=True))
+        get = self.parts.__getitem__
+        self.known.update((k, get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1])) for k, p in zip(new, parts, strict=True))
 
     def _pieces(self, text: str, first: bool) -> list[str]:
         """Cache keys of a window. With a lead, a text's first piece is marked by a space, which starts no other."""
@@ -103,10 +115,9 @@ def library_encoder(path: str) -> PieceEncoder:
     t.encode_special_tokens = True
     byte_level = t.pre_tokenizer is not None and "ByteLevel" in str(t.pre_tokenizer) and "Split" not in str(t.pre_tokenizer)
 
-    def many(keys: list[str]) -> Iterator[list[int]]:
-        for at in range(0, len(keys), 20_000):
-            for e in t.encode_batch_fast([encoder.text_of(k) for k in keys[at : at + 20_000]], add_special_tokens=False):
+    def many(texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 20_000):
+            for e in t.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
                 yield e.ids
 
-    encoder = PieceEncoder(many, " " if byte_level else "", np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
-    return encoder
+    return PieceEncoder(many, " " if byte_level else "", np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)

@@ -31,7 +31,7 @@ class BpeTransducer:
         self.ranks, self.max_transitions, self.max_pairs = ranks, max_transitions, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token_at: dict[int, int] = {}
+        token_at: dict[int, int] = {}
         nodes = 1
         for token, i in ranks.items():
             node = 0
@@ -41,7 +41,11 @@ class BpeTransducer:
                     self.child[key] = nodes
                     nodes += 1
                 node = self.child[key]
-            self.token_at[node] = i
+            token_at[node] = i
+        self.token_at = [token_at.get(n, -1) for n in range(nodes)]
+        self.inner = bytearray(nodes)  # nodes with children
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.pairs: dict[tuple[int, int], bool] = {}
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> (state, emitted)
         self.ids: dict[tuple, int] = {}
@@ -84,14 +88,15 @@ class BpeTransducer:
     def _next(self, before: int, live: tuple, byte: int) -> list[tuple]:
         """The hypotheses after one more byte."""
         moved = []
-        child, token_at, pairs = self.child, self.token_at, self.pairs
+        child, token_at, inner, pairs = self.child.get, self.token_at, self.inner, self.pairs
         for outs, node in live:
-            node = child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
-            moved.append((outs, node))
-            t = token_at.get(node)
-            if t is not None:
+            if inner[node]:
+                moved.append((outs, node))
+            t = token_at[node]
+            if t >= 0:
                 last = outs[-1] if outs else before
                 ok = pairs.get((last, t))
                 if self.may_follow(last, t) if ok is None else ok:
@@ -187,9 +192,9 @@ class ByteBpe:
         dtype = np.uint16 if len(self.ranks) <= 1 << 16 else np.uint32
         one = self.fst.encode
 
-        def many(keys: list[str]) -> Iterator[list[int]]:
-            for k in keys:
-                yield [i for piece in find(self.pieces.text_of(k)) for i in one(piece.encode())]
+        def many(texts: list[str]) -> Iterator[list[int]]:
+            for t in texts:
+                yield [i for piece in find(t) for i in one(piece.encode())]
 
         self.pieces = PieceEncoder(many, " ", dtype)
         top = max(self.ranks.values()) + 1
