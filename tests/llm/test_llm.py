@@ -281,6 +281,26 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in of) <= 1  # a link is met with a probability of over 0.999
 
 
+def test_near_duplicates_that_share_one_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+
+    def edited(rng, at, n, mark):
+        return " ".join(base[:at] + [f"{mark}{rng.integers(10**6)}" for _ in range(n)] + base[at + n :])
+
+    rng = np.random.default_rng(2747)
+    base = [f"w{rng.integers(10**6)}" for _ in range(204)]
+    of = {0: " ".join(base), 1: edited(rng, int(rng.integers(0, 150)), 18, "x")}
+    shared = np.flatnonzero(near_dedup.bands(of[0]) == near_dedup.bands(of[1]))
+    assert len(shared) == 1 and near_dedup.similarity(*map(near_dedup.shingles, of.values())) >= 0.8
+    for k in (3, 4, 5, 11, 12, 17, 18, 20, 21, 22, 29, 34):  # texts in that band that are like neither
+        r = np.random.default_rng([2747, k])
+        of[k] = edited(r, int(r.integers(0, 160)), 30, "y")
+        assert near_dedup.bands(of[k])[shared] == near_dedup.bands(of[0])[shared]
+    want = near_classes(of)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(list(of.items()), "doc_id long, text string")).collect()}
+    assert want[1] == 0 and got == want
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(4)
     k = rng.integers(0, 2**63, 60).astype(np.uint64)
