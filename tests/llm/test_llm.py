@@ -330,6 +330,19 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.score(empty, lab).count() == 0 and toxicity.score(odd, lab).count() == odd.count()
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 50, 8)) + (" vile" if i % 2 else "") + (" zorblax" if i % 40 == 1 else ""), i % 2) for i in range(2000)]
+    seen, whole = [], toxicity.LabelModel.fit
+    monkeypatch.setattr(toxicity.LabelModel, "fit", lambda self, v, n, labelled, *a: seen.append((n.sum(), labelled.sum(0).tolist())) or whole(self, v, n, labelled, *a))
+    mined = toxicity.mined
+    monkeypatch.setattr(toxicity, "mined", lambda d: seen.append(mined(d)) or seen[-1])
+    d = spark.createDataFrame([*rows, (5000, "no label", None)], "doc_id long, text string, toxic int")
+    toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.lit(True), per_class=100)
+    assert "zorblax" in seen[0] and "vile" in seen[0]  # 50 texts hold it, about 5 of them in the sample
+    assert seen[1] == (2001, [1000, 1000])
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.3

@@ -59,6 +59,10 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
                 seen[label].update({f for w in set(words_of(text)) for f in features_of(w)})
+            if len(seen[0]) + len(seen[1]) > 300_000:
+                yield pd.DataFrame([(f, label, n) for label in (0, 1) for f, n in seen[label].items()], columns=["feature", "label", "n"])
+                for c in (seen[0], seen[1]):
+                    c.clear()
         yield pd.DataFrame([(f, label, n) for label in (0, 1) for f, n in seen[label].items()], columns=["feature", "label", "n"])
 
     counts = sample.mapInPandas(run, "feature string, label int, n long").groupBy("feature").agg(
@@ -207,9 +211,9 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, epochs: int = 5) -> Classifier:
     """The classifier. docs: (doc_id, text); labels: (doc_id, toxic); learn: the rows whose labels may be seen.
 
-    The mining and the classifier see about per_class labelled texts of each class at most, chosen by a hash; the label
-    model counts votes over all documents that may be learned from. Only vote combinations, of 17 voters at most, and
-    bounded lists come to the driver.
+    Words are mined from all labelled texts that may be learned from, and the label model counts the votes of all documents
+    and of all labelled ones among them. Only the classifier is fitted on about per_class labelled texts of each class at
+    most, chosen by a hash. Only vote combinations, of 17 voters at most, and bounded lists come to the driver.
     """
     docs = docs.where(learn)
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where(learn)
@@ -220,30 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
     # two classes of about per_class rows: small enough to send to every task
     sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").persist()
-    voters = Voters(mined(sample.select("text", "label")))
+    voters = Voters(mined(docs.join(known, "doc_id").select("text", "label")))
     m = len(voters.names)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen.update(map(voters.votes, b["text"]))
-        yield pd.DataFrame(list(seen.items()), columns=["votes", "n"])
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "votes": [voters.votes(t) for t in b["text"]]})
 
-    def count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            seen.update(zip(map(voters.votes, b["text"]), b["label"], strict=True))
-        yield pd.DataFrame([(v, k, n) for (v, k), n in seen.items()], columns=["votes", "label", "n"])
-
-    combos = docs.select("text").mapInPandas(count, "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n")).toPandas()
-    told = sample.select("text", "label").mapInPandas(count_labelled, "votes int, label int, n long").groupBy("votes", "label").agg(F.sum("n").alias("n")).toPandas()
-    rows = np.array(sorted(set(combos["votes"]) | set(told["votes"])), np.int64)
+    # the votes are joined with the labels, not the texts
+    cast = docs.select("doc_id", "text").mapInPandas(votes, "doc_id long, votes int").join(known, "doc_id", "left")
+    told = cast.groupBy("votes", "label").agg(F.count("*").alias("n")).toPandas()
+    rows = np.array(sorted(set(told["votes"])), np.int64)
     where = {v: i for i, v in enumerate(rows.tolist())}
     n, labelled = np.zeros(len(rows)), np.zeros((len(rows), 2))
-    for v, c in zip(combos["votes"], combos["n"], strict=True):
-        n[where[v]] = c
     for v, k, c in zip(told["votes"], told["label"], told["n"], strict=True):
-        labelled[where[v], int(k > 0)] = c
+        n[where[v]] += c
+        if not pd.isna(k):
+            labelled[where[v], int(k > 0)] += c
     v = (rows[:, None] >> np.arange(m)) & 1
     model = LabelModel(m).fit(v, n, labelled) if len(rows) else LabelModel(m)
     posterior = dict(zip(rows.tolist(), model.posterior(v).tolist(), strict=True)) if len(rows) else {}
