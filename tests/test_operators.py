@@ -75,3 +75,19 @@ def test_normal_quantile_is_the_inverse(spark):
     d = spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "p double")
     r = d.select("p", stats.normal_cdf(stats.normal_quantile("p")).alias("q")).toPandas()
     assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(r.p, r.q, strict=True))
+
+
+def test_deflated_sharpe_counts_every_supplier(spark, monkeypatch):
+    from tidemark.plans import q_stats
+
+    rng = np.random.default_rng(0)
+    rows = [(s, pd.Timestamp("2020-01-01") + pd.Timedelta(days=int(t)), float(c)) for s in range(60) for t, c in enumerate(100 + np.cumsum(rng.normal(0.1, 1, 30)))]
+    b = pd.DataFrame(rows, columns=["sid", "d", "close"])
+    monkeypatch.setattr(q_stats.views, "long_bars", lambda *_: spark.createDataFrame(b))
+    r = b.assign(ret=b.groupby("sid")["close"].pct_change()).groupby("sid")["ret"].agg(["mean", "std", "count"]).reset_index()
+    trials = spark.createDataFrame(pd.DataFrame({"sid": r["sid"], "sharpe": r["mean"] / r["std"], "n_obs": r["count"]}))
+    want = stats.deflated_sharpe(trials, "sharpe", "n_obs").toPandas()
+    got = q_stats.e11(spark, "").toPandas()
+    assert len(got) == len(want)
+    for c in set(got.columns) & set(want.columns):
+        assert np.allclose(np.sort(got[c].astype(float)), np.sort(want[c].astype(float)))

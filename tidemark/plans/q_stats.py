@@ -119,7 +119,7 @@ def e10(spark, sf):
 
 @query("e11_deflated_sharpe", None)
 def e11(spark, sf):
-    r = stats.with_returns(long_curve(spark, sf), ["sid"], "d", "close").groupBy("sid").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), F.count("ret").alias("n_obs"))
+    r = stats.with_returns(views.long_bars(spark, sf), ["sid"], "d", "close").groupBy("sid").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), F.count("ret").alias("n_obs"))
     return stats.deflated_sharpe(r, "sharpe", "n_obs")
 
 
