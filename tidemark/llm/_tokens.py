@@ -1,7 +1,8 @@
 """Token ids of whole texts through caches of short pieces, in bounded memory.
 
-A text is cut where no token can cross, each distinct piece is encoded once for each cache, and the ids are kept packed
-as little-endian unsigned integers, so that joining bytes is all that a known piece costs.
+A text is cut at spaces where the splitting pattern always starts a new match. A piece that is met for the first time is
+cut into the pattern's matches, and only matches never met are encoded. Ids are kept packed as little-endian unsigned
+integers, so that joining bytes is all that a known piece costs.
 """
 
 from __future__ import annotations
@@ -14,58 +15,88 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: A space after which the byte-level pattern always starts a new match.
+#: Fixed value: the pattern of byte-level vocabularies, for which the cuts below hold.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space after which this pattern always starts a new match.
 _BEFORE_WORD = regex.compile(r" (?=[^\s\x1c-\x1f])")
-_OTHER_SPACE = regex.compile(r" (?![^\s\x1c-\x1f])")
 _GAP = regex.compile(r"[ \n\t]")
-#: Letters, and ASCII marks but the apostrophe: every vocabulary's pattern starts a new match between them. (Lower-casing İ
-#: gives a sign that is no letter, so words with it stay whole.)
-_WORD_AND_MARKS = regex.compile(r"(?![^İ]*İ)( ?\p{L}+)([!-&(-/:-@\[-`{-~]+)")
+#: White space but the plain space and the line feed; the first eight are ASCII.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f" + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: ASCII marks but the apostrophe: after letters they are a match of their own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Cache(dict):
+    """What make gives for a key, kept in two generations of at most size entries: what is in use stays."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PieceEncoder:
     """Packed ids of texts.
 
-    encode_many: the ids of each of many short texts. lead: what stands before all pieces but a text's first (a space
-    for byte-level vocabularies, nothing where white space is dropped). The cache is emptied at max_pieces entries;
-    texts are taken in windows of about window characters, however long they are.
+    encode: ids of a match of the pattern. byte_level: texts are split by BYTE_LEVEL; otherwise white space is dropped and
+    separates, and encode takes whatever stands between. The cache has two generations of cached pieces; texts are taken
+    in windows of about window characters, however long they are.
+
+    A cache key of a byte-level encoder is what follows a space; a text's first piece has a space before it instead, and
+    one that begins with a line feed follows no space.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[Iterable[int]]], lead: str, dtype=np.uint16, max_pieces: int = 250_000, window: int = 1 << 20):
-        self.encode_many, self.lead, self.dtype, self.max_pieces, self.window = encode_many, lead, dtype, max_pieces, window
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, rows: Iterable[list[str]]) -> None:
-        """Makes all keys in the rows known. A word with marks after it is put together from the word and the marks."""
-        keys: set[str] = set().union(*rows)
-        new = [k for k in keys if k not in self.known]
-        if len(self.known) + len(new) > self.max_pieces:
-            self.known.clear()
-            new = list(keys)
-        parts = [m.groups() if (m := _WORD_AND_MARKS.fullmatch(t)) else (t,) for t in map(self.text_of, new)]
-        need = {x for p in parts for x in p}
-        fresh = [x for x in need if x not in self.parts]
-        if len(self.parts) + len(fresh) > self.max_pieces:
-            self.parts.clear()
-            fresh = list(need)
-        code = "H" if self.dtype == np.uint16 else "I"
-        self.parts.update(zip(fresh, (array(code, ids).tobytes() for ids in self.encode_many(fresh)), strict=True))
-        get = self.parts.__getitem__
-        self.known.update((k, get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1])) for k, p in zip(new, parts, strict=True))
+    def __init__(self, encode: Callable[[str], list[int]], byte_level: bool, dtype=np.uint16, cached: int = 400_000, window: int = 1 << 20):
+        self.encode_match, self.byte_level, self.dtype, self.window = encode, byte_level, np.dtype(dtype), window
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known = Cache(self._made_of, cached)
+        self.marks = Cache(self._packed, 10_000)
+        self._matches = regex.compile(BYTE_LEVEL).findall
+
+    def _packed(self, match: str) -> bytes:
+        return array(self.code, self.encode_match(match)).tobytes()
+
+    def _made_of(self, key: str) -> bytes:
+        """The ids of a cache key."""
+        if key.isalpha():
+            return self._packed(" " + key if self.byte_level else key)
+        word = key.rstrip(_MARKS)
+        if word.isalpha() and "İ" not in word:  # letters, and marks that stand alone (İ in lower case is no letter)
+            return self.known[word] + self.marks[key[len(word) :]]
+        if not self.byte_level:
+            return self._packed(key) if key else b""
+        if key[:1] in "\n ":
+            word = key[1:]
+            if word.isalpha():
+                return self.marks["\n"] + self.known[" " + word] if key[0] == "\n" else self._packed(word)
+            return b"".join(map(self._packed, self._matches(key if key[:1] == "\n" else word)))
+        return b"".join(map(self._packed, self._matches(" " + key)))
 
     def _pieces(self, text: str, first: bool) -> list[str]:
-        """Cache keys of a window. With a lead, a text's first piece is marked by a space, which starts no other."""
-        if not self.lead:
+        """Cache keys of a window."""
+        if not self.byte_level:
             return text.replace("\n", " ").replace("\t", " ").split(" ")
-        parts = _BEFORE_WORD.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
+        odd = _OTHER_SPACE[:8] if text.isascii() else _OTHER_SPACE
+        if not first or "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text[-1:] in " \n" or any(c in text for c in odd):
+            parts = _BEFORE_WORD.split(text)
+        else:
+            # one or two line feeds between words are matches of their own, and the word after them has no space
+            parts = text.replace("\n", " \n").split(" ")
         if first:
             parts[0] = " " + parts[0]
         return parts
 
     def _windows(self, text: str) -> Iterator[tuple[str, bool]]:
         at, first = 0, True
-        gap = _BEFORE_WORD if self.lead else _GAP
+        gap = _BEFORE_WORD if self.byte_level else _GAP
         while len(text) - at > self.window and (m := gap.search(text, at + self.window)):
             yield text[at : m.start()], first
             at, first = m.end(), False
@@ -73,51 +104,41 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
-        held: list[tuple[bytearray, list[list[str]]]] = []
-        size = 0
-        for text in texts:
-            done, rows = bytearray(), []
-            held.append((done, rows))
-            for window, first in self._windows(text):
-                if size > self.window:
-                    # the windows before this one are turned to bytes, so that one long text is never held in pieces
-                    self._join(held)
-                    size = 0
-                rows.append(self._pieces(window, first))
-                size += len(window)
-            if size > self.window:
-                self._join(held)
-                yield from (bytes(done) for done, _ in held)
-                held, size = [], 0
-        self._join(held)
-        yield from (bytes(done) for done, _ in held)
-
-    def _join(self, held: list[tuple[bytearray, list[list[str]]]]) -> None:
-        self._learn([r for _, rows in held for r in rows])
         get = self.known.__getitem__
-        for done, rows in held:
-            for r in rows:
-                done += b"".join(map(get, r))
-            rows.clear()
+        for text in texts:
+            if len(text) <= self.window:
+                yield b"".join(map(get, self._pieces(text, True)))
+            else:
+                yield b"".join(b"".join(map(get, self._pieces(*w))) for w in self._windows(text))
+
 
-    def text_of(self, key: str) -> str:
-        """What a cache key stands for."""
-        return key if not self.lead else key[1:] if key[:1] == " " else self.lead + key
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """Ids as the tokenizers library gives them without special tokens; special tokens' strings are ordinary text."""
+    """Ids as the tokenizers library gives them without special tokens; special tokens' strings are ordinary text.
+
+    Texts of letters go to the library's model as its own first steps would give them; all others go through the whole of it.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    byte_level = t.pre_tokenizer is not None and "ByteLevel" in str(t.pre_tokenizer) and "Split" not in str(t.pre_tokenizer)
-
-    def many(texts: list[str]) -> Iterator[list[int]]:
-        for at in range(0, len(texts), 20_000):
-            for e in t.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                yield e.ids
-
-    return PieceEncoder(many, " " if byte_level else "", np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
+    steps = str(t.pre_tokenizer)
+    byte_level = "ByteLevel" in steps and "Split" not in steps and t.normalizer is None
+    letters, model = _byte_letters(), t.model
+
+    def encode(part: str) -> list[int]:
+        if (part[1:] if byte_level and part[:1] == " " else part).isalpha() and "ByteLevel" in steps:
+            shown = part if t.normalizer is None else t.normalizer.normalize_str(part)
+            if byte_level or shown.isalpha():
+                shown = shown.replace(" ", "Ġ") if shown.isascii() else shown.encode().decode("latin-1").translate(letters)
+                return [x.id for x in model.tokenize(shown)]
+        return t.encode(part, add_special_tokens=False).ids
+
+    return PieceEncoder(encode, byte_level, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)

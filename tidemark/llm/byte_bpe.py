@@ -17,11 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 
 from ._shared import whole_text
-from ._tokens import PieceEncoder
+from ._tokens import BYTE_LEVEL, PieceEncoder
 
 
 class BpeTransducer:
@@ -188,15 +187,10 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.fst = BpeTransducer(self.ranks)
-        find = regex.compile(pattern).findall
-        dtype = np.uint16 if len(self.ranks) <= 1 << 16 else np.uint32
+        if pattern != BYTE_LEVEL:
+            raise ValueError("texts are cut at spaces, which is proved for the one pattern BYTE_LEVEL alone")
         one = self.fst.encode
-
-        def many(texts: list[str]) -> Iterator[list[int]]:
-            for t in texts:
-                yield [i for piece in find(t) for i in one(piece.encode())]
-
-        self.pieces = PieceEncoder(many, " ", dtype)
+        self.pieces = PieceEncoder(lambda match: one(match.encode()), True, np.uint16 if len(self.ranks) <= 1 << 16 else np.uint32)
         top = max(self.ranks.values()) + 1
         self.names = [str(i) for i in range(top)]
         self.parts = [self.fst.bytes_of.get(i, b"") for i in range(top)]
