@@ -242,8 +242,9 @@ def _by_rare_shingles(hits: DataFrame, texts: DataFrame, threshold: float, table
     about = with_group(of, ["key"], [F.min("total").alias("lightest")], "node").groupBy("node").agg(F.first("root").alias("root"), F.max("asks").alias("asks"), F.min("lightest").alias("lightest"))
     # shingles that one node alone has come first in the order; they lead to no partner and only take weight
     shared = with_group(table, ["shingle"], [F.count("*").alias("texts")], "node", having="texts > 1")
-    w = Window.partitionBy("node").orderBy("texts", "shingle")
-    shared = shared.withColumn("after", F.sum("weight").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    w = Window.partitionBy("node")
+    before = F.sum("weight").over(w.orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = shared.withColumn("after", F.sum("weight").over(w) - before + F.col("weight"))
     early = shared.join(about, "node").where(f"after >= {least} * (total + greatest(lightest, {threshold} * total)) - 1e-6")
     early = tables.written(early.select("shingle", "node", "root", "asks", "total", "after"), "early-shingles")
     x, y = (early.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "asks", "total", "after")]) for s in "xy")
