@@ -2,13 +2,14 @@
 
 A change is a document with a sign: +1 enters it, -1 takes it out, and a revision is both, with the old and the new text.
 A batch of changes is reduced to its delta, the signed numbers of documents and tokens by source, language and tokenizer
-version, and written as one partition of a table, named by the batch. Committing a batch again replaces that partition by
-the same rows, so a repeated or restarted commit changes nothing. Totals are the sums over all batches: additive, in any
-order, without reading a document again.
+version, and written as one partition of a table, named by the batch. It is written aside and then renamed, so a batch
+is there whole or not at all, and committing it again changes nothing. Totals are the sums over all batches: additive,
+in any order, without reading a document again. Totals below nothing, from deleting what was never entered, are refused.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,41 +38,55 @@ def counted(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     return picked.mapInPandas(run, "sign int, source string, lang string, tokenizer string, tokens long")
 
 
-def commit(changes: DataFrame, batch: int, root: str, tokenizers: dict[str, str]) -> None:
-    """Writes the delta of a batch of changes (sign, source, lang, text) under root; the same batch replaces itself."""
+def commit(changes: DataFrame, batch: int, root: str, tokenizers: dict[str, str]) -> bool:
+    """Writes the delta of a batch of changes (sign, source, lang, text) under root, unless this batch is there; whether it wrote.
+
+    A commit that died before the rename leaves files under a name that readers pass over, and can be repeated.
+    """
+    spark = changes.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place, aside = path(f"{root}/batch={batch}"), path(f"{root}/_aside/{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        return False
     # Spark adds up inside each task first, so a hot source sends a few rows a task
     delta = counted(changes, tokenizers).groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-    delta.coalesce(1).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+    delta.coalesce(1).write.parquet(aside.toString())
+    if not fs.rename(aside, place):
+        raise RuntimeError(f"batch {batch} was committed by another at the same time")
+    return True
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
     """(source, lang, tokenizer, docs, tokens) over all committed batches; groups without documents are left out."""
     deltas = spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long, batch int").parquet(root)
     sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    return sums.where("docs <> 0 OR tokens <> 0")
+    there = F.assert_true((F.col("docs") >= 0) & (F.col("tokens") >= 0), "more was deleted than entered").isNull()
+    return sums.where(there & ((F.col("docs") != 0) | (F.col("tokens") != 0)))
 
 
-def changing(docs: DataFrame) -> list[DataFrame]:
-    """Three batches from a table of documents: all enter, a tenth go, a tenth get their source's name as a last line.
+def history(docs: DataFrame) -> list[DataFrame]:
+    """Four batches of changes after which the documents are exactly those of docs.
 
-    Deleted and revised documents are told by crc32 of doc_id modulo 10 (3 and 7).
+    All enter, a tenth of them as a draft that has their source's name as a further line; the drafts are revised; another
+    tenth is deleted; it enters again. The tenths are told by crc32 of doc_id modulo 10 (7 and 3).
     """
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10))
     d = docs.select("doc_id", "source", "lang", "text")
-    revised = d.where(part == 7)
-    new = revised.withColumn("text", F.concat_ws("\n", "text", "source"))
+    draft = F.concat_ws("\n", "text", "source")
     signed = lambda x, s: x.withColumn("sign", F.lit(s))
-    return [signed(d, 1), signed(d.where(part == 3), -1), signed(revised, -1).unionByName(signed(new, 1))]
+    late, gone = d.where(part == 7), d.where(part == 3)
+    return [signed(d.withColumn("text", F.when(part == 7, draft).otherwise(F.col("text"))), 1), signed(late.withColumn("text", draft), -1).unionByName(signed(late, 1)), signed(gone, -1), signed(gone, 1)]
 
 
 def rollup(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
-    """Totals after committing the batches of changing(docs), the second of them twice.
+    """Totals after committing the batches of history(docs), the second of them twice: the totals of docs as they are.
 
     Null texts have no tokens; a null source or lang is a group of its own; repeated rows count each; an empty table has
     no totals. Columns but doc_id, source, lang and text are ignored.
     """
     root = scratch(docs.sparkSession, "token-counts")
-    batches = changing(docs)
+    batches = history(docs)
     for i, b in [*enumerate(batches), (1, batches[1])]:
         commit(b, i, root, tokenizers)
     return totals(docs.sparkSession, root)
