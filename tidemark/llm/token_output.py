@@ -4,7 +4,8 @@ A segment holds whole documents in ascending doc_id order: their ids one after a
 integers of 2 or 4 bytes, and where each document ends as an Elias-Fano sequence. Of n boundaries up to u it keeps the
 low l = floor(log2(u / n)) bits of each in a packed array and the rest in unary, n + (u >> l) bits, which is within two
 bits a boundary of the least possible. select(i) finds the i-th set bit through the counts of each 512-bit block, so no
-table of 64-bit offsets is stored. Segments are rows (shard, seq, n_docs, n_ids, width, ids, ends, doc_ids) of a Parquet
+table of 64-bit offsets is stored. The doc_ids, ascending as well, are
+kept in the same way, less the first. Segments are rows (shard, seq, n_docs, n_ids, width, ids, ends, doc_ids ...) of a Parquet
 table, because executors may reach storage through Spark only; each is bounded to about segment_ids ids, but a longer
 document has one of its own. Shards are ranges of doc_id, so (shard, seq) is the order of the whole array.
 """
@@ -48,32 +49,35 @@ class EliasFano:
         at = _HEAD.size + (self.n * self.low + 7) // 8
         self.lows = np.frombuffer(data, np.uint8, at - _HEAD.size, _HEAD.size)
         self.highs = np.frombuffer(data, np.uint8, offset=at)
-        ones = np.bitwise_count(self.highs)
-        pad = np.zeros(-len(ones) % (_BLOCK // 8), np.uint8)
-        self.before = np.concatenate(([0], np.cumsum(np.concatenate((ones, pad)).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))))
+        self.padded = np.concatenate((self.highs, np.zeros(-len(self.highs) % (_BLOCK // 8), np.uint8)))
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.padded).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i[:, None] * self.low + np.arange(self.low)
         return (((self.lows[at >> 3] >> (at & 7)) & 1).astype(np.int64) << np.arange(self.low)).sum(1) if self.low else np.zeros(len(i), np.int64)
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        block = int(np.searchsorted(self.before, i, "right")) - 1
-        bits = np.unpackbits(self.highs[block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
-        at = block * _BLOCK + int(np.flatnonzero(bits)[i - self.before[block]])
-        return (at - i) << self.low | int(self._low(np.array([i]))[0])
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values at ascending places i: the i-th set bits, found by their blocks' counts, and the low bits beside."""
+        i = np.asarray(i, np.int64)
+        block = np.searchsorted(self.before, i, "right") - 1
+        blocks, row = np.unique(block, return_inverse=True)
+        size = _BLOCK // 8
+        rows = self.padded.reshape(-1, size)[blocks]
+        bits = np.unpackbits(rows, axis=1, bitorder="little")
+        # of the set bits of these blocks, one after another, those at the wanted ranks
+        ones = np.flatnonzero(bits.ravel())
+        starts = np.cumsum(np.bitwise_count(rows).sum(1, dtype=np.int64)) - np.bitwise_count(rows).sum(1, dtype=np.int64)
+        at = ones[starts[row] + i - self.before[block]]
+        place = blocks[row] * _BLOCK + at % _BLOCK
+        return (place - i) << self.low | self._low(i)
 
-    def values(self, portion: int = 1 << 16) -> Iterator[np.ndarray]:
-        """All values in order, block by block."""
-        seen = 0
-        for at in range(0, len(self.highs), portion // 8):
-            ones = np.flatnonzero(np.unpackbits(self.highs[at : at + portion // 8], bitorder="little")) + at * 8
-            i = np.arange(seen, seen + len(ones))
-            yield (ones - i) << self.low | self._low(i)
-            seen += len(ones)
+    def values(self, portion: int = 1 << 14) -> Iterator[np.ndarray]:
+        """All values in order, a portion at a time."""
+        for at in range(0, self.n, portion):
+            yield self.select(np.arange(at, min(self.n, at + portion)))
 
 
-_SEGMENT = "shard int, seq int, n_docs long, n_ids long, width int, ids binary, ends binary, doc_ids binary, null_ids binary"
+_SEGMENT = "shard int, seq int, n_docs long, n_ids long, width int, ids binary, ends binary, doc_ids binary, first_id long, n_null int"
 
 
 def write_segments(docs: DataFrame, vocabulary: str, end_id: int, path: str, segment_ids: int = 1 << 21, shards: int | None = None) -> None:
@@ -93,25 +97,25 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int, path: str, seg
         last = np.array([end_id], encoder.dtype).tobytes()
         width = len(last)
         held: list[bytes] = []
-        owners: list[int] = []
-        nulls: list[bool] = []
+        owners: list[int | None] = []
         size, seq = 0, 0
 
         def segment() -> pd.DataFrame:
             ends = np.cumsum([len(x) // width for x in held])
-            row = (shard, seq, len(held), int(ends[-1]), width, b"".join(held), ef_encode(ends), np.array(owners, np.int64).tobytes(), np.packbits(nulls).tobytes())
+            named = np.array([o for o in owners if o is not None], np.int64)  # null ids come first
+            first = int(named[0]) if len(named) else 0
+            row = (shard, seq, len(held), int(ends[-1]), width, b"".join(held), ef_encode(ends), ef_encode(named.astype(np.uint64) - np.int64(first).astype(np.uint64)), first, len(owners) - len(named))
             return pd.DataFrame([row], columns=[c.split()[0] for c in _SEGMENT.split(", ")])
 
         for b in batches:
             missing = b["doc_id"].isna().tolist()
             for doc_id, null, ids in zip(b["doc_id"].fillna(0).astype("int64").tolist(), missing, encoder.encode(b["text"]), strict=True):
                 held.append(ids + last)
-                owners.append(doc_id)
-                nulls.append(null)
+                owners.append(None if null else doc_id)
                 size += len(ids) // width + 1
                 if size >= segment_ids:
                     yield segment()
-                    held, owners, nulls, size, seq = [], [], [], 0, seq + 1
+                    held, owners, size, seq = [], [], 0, seq + 1
         if held:
             yield segment()
 
@@ -132,14 +136,19 @@ def read_segments(spark, path: str) -> DataFrame:
         for b in batches:
             for s in b.itertuples(index=False):
                 ids = np.frombuffer(s.ids, np.uint16 if s.width == 2 else np.uint32)
-                ends = np.concatenate(list(EliasFano(s.ends).values()))
-                begins = np.concatenate(([0], ends[:-1]))
-                crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
-                owners = pd.array(np.frombuffer(s.doc_ids, np.int64), dtype="Int64")
-                owners[np.unpackbits(np.frombuffer(s.null_ids, np.uint8), count=s.n_docs).astype(bool)] = pd.NA
-                yield pd.DataFrame({"doc_id": owners, "shard": s.shard, "seq": s.seq, "begin": begins, "n_tokens": ends - begins, "ids_crc32": crc})
-
-    rows = seg.select("shard", "seq", "n_docs", "width", "ids", "ends", "doc_ids", "null_ids").mapInPandas(run, "doc_id long, shard int, seq int, begin long, n_tokens long, ids_crc32 long")
+                ends, names = EliasFano(s.ends), EliasFano(s.doc_ids)
+                for at in range(0, s.n_docs, 1 << 14):
+                    i = np.arange(at, min(s.n_docs, at + (1 << 14)))
+                    end = ends.select(i)
+                    begin = np.concatenate(([0], end[:-1])) if at == 0 else ends.select(i - 1)
+                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                    named = i >= s.n_null
+                    owner = pd.array(np.zeros(len(i), np.int64), dtype="Int64")
+                    owner[named] = names.select(i[named] - s.n_null) + s.first_id
+                    owner[~named] = pd.NA
+                    yield pd.DataFrame({"doc_id": owner, "shard": s.shard, "seq": s.seq, "begin": begin, "n_tokens": end - begin, "ids_crc32": crc})
+
+    rows = seg.select("shard", "seq", "n_docs", "width", "ids", "ends", "doc_ids", "first_id", "n_null").mapInPandas(run, "doc_id long, shard int, seq int, begin long, n_tokens long, ids_crc32 long")
     # a row for each segment: it is broadcast only while Spark measures it as small
     return rows.join(starts, ["shard", "seq"]).select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
