@@ -201,11 +201,26 @@ def test_secrets(spark, docs, texts, empty):
 
 
 def test_owner_specific_values_are_added(spark):
-    live, shared = "ghp_" + "aB3dE5fG7h" * 3 + "Qw8rT2", "ghp_" + "Zx9cV1bN4m" * 3 + "Lk6jH0"
-    rows = [(1, f"use {live}", "en", "s1", 0), (2, f"use {shared}", "en", "s1", 0), (3, f"use {shared}", "en", "s2", 0)]
+    live, shared, copied, own = ("ghp_" + x * 3 + "Qw8rT2" for x in ("aB3dE5fG7h", "Zx9cV1bN4m", "Kp2sD6gH8j", "Tt5yU7iO1w"))
+    rows = [(1, f"use {live}", "en", "s1", 0), *[(i, f"{i} use {shared}", "en", f"s{i % 2}", 0) for i in range(2, 12)]]
+    rows += [(i, f"use {copied}", "en", f"s{i % 2}", 0) for i in range(12, 42)]  # one text, copied far
+    rows += [(i, f"{i} use {own}", "en", "s1", 0) for i in range(100, 250)]  # one owner, in many texts
     got = {r["doc_id"]: r for r in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
     assert got[1]["spans"] == "owned:4:44" and got[1]["n_live"] == 1
-    assert got[2]["spans"] == got[3]["spans"] == "" and got[2]["n_example"] == 1
+    assert all(got[i]["spans"] == "" and got[i]["n_example"] == 1 for i in [*range(2, 12), *range(100, 250)])
+    assert all(got[i]["n_live"] == 1 and got[i]["n_example"] == 0 for i in range(12, 42))
+
+
+def test_secrets_of_a_long_text(spark):
+    import time
+
+    t = "😀".join(f"{i:032x}" for i in range(30_000)) + " end"
+    d = spark.createDataFrame([(1, t, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.time()
+    r, clean = secret_scan.find(d).first(), secret_scan.redact(d).first()["text"]
+    assert time.time() - began < 60
+    assert r["n_hex"] == 30_000 and r["base_sha256"] == sha(",".join(x[2] for x in spans_of(t)))
+    assert clean == "😀".join(["[secret]"] * 30_000) + " end"
 
 
 def test_odd_rows_in_secrets_and_quality(spark, odd, empty):
