@@ -160,6 +160,8 @@ def test_packing_plan_fills_up():
     p = packing.plan(dict(lengths), 4096)
     assert Counter({k: int((g["hi"] - g["lo"]).sum()) for k, g in p.groupby("length")}) == lengths
     sequences = int(max(p["sequence"] + p["hi"] - p["lo"]))
+    by_patterns = packing.fit(dict(lengths), 4096)
+    assert all(sum(pat) == 4096 for pat, _ in by_patterns) and sum(len(pat) * n for pat, n in by_patterns) > 4000  # ten of these short pieces fill a sequence, and patterns have five
     assert sequences <= sum(k * n for k, n in lengths.items()) / 4096 * 1.01 + 1
 
 

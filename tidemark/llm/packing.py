@@ -1,16 +1,18 @@
 """Packing documents into fixed-length sequences by patterns fitted to the length histogram.
 
 Only the histogram of piece lengths is planned on, which has at most max_len entries however many documents there are.
-Patterns of one to three lengths that fill a sequence exactly are enumerated; non-negative least squares fits how often
-each is repeated so that the patterns' lengths come near the histogram (coordinate descent, as the matrix has three
-entries a column); the counts are rounded down and held to what is there. What remains is packed best fit, longest first,
-a whole run of equal lengths at a time. The plan says, for the pieces of each length in their order, which sequence and
-offset they take; pieces find their place by rank, so no task holds more than its own rows.
+Patterns of one to five pieces that fill a sequence exactly are enumerated: one length, two, or two and up to three pieces
+of a third. Non-negative least squares fits how often each is repeated so that the patterns' lengths come near the
+histogram (multiplicative steps, which keep counts positive); the counts are rounded up, largest first, as far as there
+are pieces. What remains is packed best fit, longest first, a whole run of equal lengths at a time. The plan says, for
+the pieces of each length in their order, which sequence and offset they take; pieces find their place by rank, so no
+task holds more than its own rows. The table of patterns takes about a quarter of max_len squared rows on the driver.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,51 +30,62 @@ _BLOCK = 4096
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def patterns(lengths: list[int], max_len: int) -> Iterator[tuple[int, ...]]:
-    """Multisets of one to three of the given lengths with sum max_len, longest first."""
-    there = set(lengths)
-    desc = sorted(there, reverse=True)
-    for i in desc:
-        if i == max_len:
-            yield (i,)
-            continue
-        rest = max_len - i
-        if rest <= i and rest in there:
-            yield (i, rest)
-        for j in desc:
-            k = rest - j
-            if j <= i and 0 < k <= j and k in there:
-                yield (i, j, k)
+#: Pieces of a pattern at most.
+_MOST = 5
 
 
-def fit(histogram: dict[int, int], max_len: int, sweeps: int = 2) -> list[tuple[tuple[int, ...], int]]:
+def patterns(lengths: list[int], max_len: int) -> np.ndarray:
+    """Multisets of the given lengths with sum max_len, a row each, padded with 0."""
+    there = np.zeros(max_len + 1, bool)
+    there[lengths] = True
+    desc = np.array(sorted(set(lengths), reverse=True))
+    kind = np.int16 if max_len < 1 << 15 else np.int32
+    out = [np.array([[max_len] + [0] * (_MOST - 1)], kind)] if there[max_len] else []
+    for i in desc.tolist():
+        rest = max_len - i
+        if 0 < rest <= i and there[rest]:
+            out.append(np.array([[i, rest] + [0] * (_MOST - 2)], kind))
+        j = desc[(desc <= i) & (desc < rest)]
+        for n in range(1, _MOST - 1):
+            k, odd = np.divmod(rest - j, n)
+            ok = (odd == 0) & (k <= j)
+            ok &= there[np.where(ok, k, 0)]
+            row = np.zeros((int(ok.sum()), _MOST), kind)
+            row[:, 0], row[:, 1], row[:, 2 : 2 + n] = i, j[ok], k[ok][:, None]
+            out.append(row)
+    return np.concatenate(out) if out else np.zeros((0, _MOST), kind)
+
+
+def fit(histogram: dict[int, int], max_len: int, rounds: int = 10) -> list[tuple[tuple[int, ...], int]]:
     """Repeat counts of patterns: least squares against the histogram with x >= 0, rounded, never beyond what is there."""
-    found = list(patterns(list(histogram), max_len))
-    left = [0.0] * (max_len + 1)
-    for k, v in histogram.items():
-        left[k] = float(v)
-    x = [0.0] * len(found)
-    for _ in range(sweeps):
-        for p, pat in enumerate(found):
-            step = sum(left[k] for k in pat)
-            old = x[p]
-            if step <= 0 and old == 0:
-                continue
-            square = sum(pat.count(k) for k in pat)
-            new = max(0.0, old + step / square)
-            if new != old:
-                for k in pat:
-                    left[k] -= new - old
-                x[p] = new
-    there, out = dict(histogram), []
-    for p in sorted(range(len(found)), key=lambda p: -x[p]):
-        n = int(x[p] + 1e-6)
-        for k in set(found[p]):
-            n = min(n, there[k] // found[p].count(k))
-        if n > 0:
-            out.append((found[p], n))
-            for k in found[p]:
-                there[k] -= n
+    found = patterns(list(histogram), max_len)
+    wanted = np.zeros(max_len + 1)
+    wanted[list(histogram)] = list(histogram.values())
+
+    def over(values: np.ndarray) -> np.ndarray:
+        """The sum of values over each pattern's pieces."""
+        return sum(values[found[:, c]] for c in range(_MOST))
+
+    x, target = np.full(len(found), 1e-3), over(wanted)
+    for _ in range(rounds):
+        made = np.zeros(max_len + 1)
+        for c in range(_MOST):
+            np.add.at(made, found[:, c], x)
+        made[0] = 0
+        x *= target / np.maximum(over(made), 1e-12)
+    there, out = wanted.astype(np.int64), []
+    there[0] = 1 << 62  # padding is never short
+    order = np.argsort(-x, kind="stable")
+    while len(order):
+        for p in order[:20_000].tolist():
+            lengths = tuple(k for k in found[p].tolist() if k)
+            n = min(math.ceil(x[p]), *(int(there[k]) // lengths.count(k) for k in lengths))
+            if n > 0:
+                out.append((lengths, n))
+                for k in lengths:
+                    there[k] -= n
+        order = order[20_000:]
+        order = order[np.logical_and.reduce([there[found[order, c]] > 0 for c in range(_MOST)])]
     return out
 
 
