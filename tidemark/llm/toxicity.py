@@ -1,17 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters look for toxic language in a text: lists of insults, words and word beginnings mined from labelled texts, and
-patterns. How often each combination of votes occurs is counted over all documents that may be learned from. A
+Voters look for toxic language in a text: lists of insults, words and word beginnings mined from labelled texts (one
+word with a beginning may be chance where three are not, so these count as features of their own), and patterns. How often each combination of votes occurs is counted over all documents that may be learned from. A
 generative model explains these counts by one hidden label: it gives each voter its rates of firing on toxic and clean
 texts, and lets a voter depend on the one it is most correlated with given the label (a Chow-Liu tree), so that copies
-of one signal are not counted twice. Its posterior labels train a sparse linear classifier over words and word
-beginnings, which scores every whole text.
+of one signal are not counted twice. Its posterior labels, of labelled and unlabelled texts, train a sparse linear
+classifier over words and word beginnings, which scores every whole text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,9 @@ INSULTS = {
 BEGINNINGS = (4, 5, 6)
 #: Lists that mined words are dealt to, a voter each.
 LISTS = 6
-#: At most about so many labelled texts of each class are mined and fitted on.
+#: Numbers of different words with one beginning that are features.
+REPEATS = (1, 2, 3)
+#: The classifier is fitted on about so many labelled texts of each class at most, and on so many unlabelled ones.
 PER_CLASS = 4000
 #: Mined words or beginnings at most, those with the most toxic texts first.
 MINED = 600
@@ -42,15 +44,51 @@ _SHOUT = regex.compile(r"\p{Lu}{4,}[^\p{L}]{0,4}!{2,}")
 _MASKED = regex.compile(r"\b\p{L}+[*@#]{2,}\p{L}+\b")
 
 
-def features_of(word: str) -> list[str]:
-    """A word and its beginnings; a beginning ends with a hyphen."""
-    return [word, *[word[:n] + "-" for n in BEGINNINGS if len(word) > n]]
+def beginnings_of(word: str) -> list[str]:
+    return [word[:n] for n in BEGINNINGS if len(word) > n]
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words, and each beginning with a hyphen and how many of the words have it: "abcd-2" if two or more."""
+    counts = Counter(b for w in words for b in beginnings_of(w))
+    return words | {f"{b}-{n}" for b, k in counts.items() for n in REPEATS if k >= n}
+
+
+class Lexicon:
+    """Which of given features a text has, through a cache of words."""
+
+    def __init__(self, features: Iterable[str]):
+        self.features = set(features)
+        self.stems = {f.split("-")[0] for f in self.features if "-" in f}
+        self.known: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
+
+    def _seen(self, word: str) -> tuple[bool, tuple[str, ...]] | None:
+        if word in self.known:
+            return self.known[word]
+        if len(self.known) > 300_000:
+            self.known.clear()
+        got = word in self.features, tuple(b for b in beginnings_of(word) if b in self.stems)
+        self.known[word] = got = got if got[0] or got[1] else None
+        return got
+
+    def found(self, words: set[str]) -> tuple[list[str], int]:
+        """The features, and how many words gave them."""
+        out, counts, hits = [], Counter(), 0
+        for w in words:
+            if got := self._seen(w):
+                if got[0]:
+                    out.append(w)
+                counts.update(got[1])
+        out += [f for b, k in counts.items() for n in REPEATS if k >= n and (f := f"{b}-{n}") in self.features]
+        heads = {f.split("-")[0] for f in out if "-" in f}
+        hits = sum(1 for w in words if (got := self._seen(w)) and (got[0] or not heads.isdisjoint(got[1])))
+        return sorted(out), hits
+
+
 def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
     """Words and beginnings that mark toxic texts, each with its voter, from (text, label)."""
 
@@ -58,7 +96,7 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
         seen = (Counter(), Counter())
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
-                seen[label].update({f for w in set(words_of(text)) for f in features_of(w)})
+                seen[label].update(features_of(set(words_of(text))))
             if len(seen[0]) + len(seen[1]) > 300_000:
                 yield pd.DataFrame([(f, label, n) for label in (0, 1) for f, n in seen[label].items()], columns=["feature", "label", "n"])
                 for c in (seen[0], seen[1]):
@@ -78,41 +116,27 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
     share, both = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
     gain = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share) + 1e-9))).otherwise(0)
     best = counts.where((F.col("toxic") > 0) & (rate >= 40) & (gain >= 20)).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(most).collect()
-    lists = {f: n for n, f in enumerate(sorted(r["feature"] for r in best if not r["feature"].endswith("-")))}
-    return {r["feature"]: LISTS + BEGINNINGS.index(len(r["feature"]) - 1) if r["feature"].endswith("-") else lists[r["feature"]] % LISTS for r in best}
+    lists = {f: n for n, f in enumerate(sorted(r["feature"] for r in best if "-" not in r["feature"]))}
+    return {r["feature"]: lists[r["feature"]] % LISTS if r["feature"] in lists else LISTS + BEGINNINGS.index(r["feature"].index("-")) for r in best}
 
 
 class Voters:
-    """The votes of a text as bits. found: mined words and beginnings with their voters."""
+    """The votes of a text as bits. found: mined features with their voters."""
 
     def __init__(self, found: dict[str, int]):
-        self.found = found
         self.names = [f"words {i}" for i in range(LISTS)] + [f"beginnings {n}" for n in BEGINNINGS] + list(INSULTS) + ["shouting", "masked", "several", "dense"]
-        self.insults = {}
+        self.bits = {f: 1 << v for f, v in found.items()}
         for i, k in enumerate(INSULTS):
             for w in INSULTS[k].split():
-                self.insults[w] = self.insults.get(w, 0) | 1 << LISTS + len(BEGINNINGS) + i
-        self.known: dict[str, int] = {}
-
-    def bits(self, word: str) -> int:
-        got = self.known.get(word)
-        if got is None:
-            got = self.insults.get(word, 0)
-            for f in features_of(word):
-                if (v := self.found.get(f)) is not None:
-                    got |= 1 << v
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = got
-        return got
+                self.bits[w] = self.bits.get(w, 0) | 1 << LISTS + len(BEGINNINGS) + i
+        self.lexicon = Lexicon(self.bits)
 
     def votes(self, text: str) -> int:
         words = words_of(text)
-        out, hits, get = 0, 0, self.bits
-        for w in set(words):
-            if b := get(w):
-                out |= b
-                hits += 1
+        found, hits = self.lexicon.found(set(words))
+        out = 0
+        for f in found:
+            out |= self.bits[f]
         last = len(self.names)
         for i, on in enumerate((_SHOUT.search(text), _MASKED.search(text), hits >= 2, hits * 50 >= len(words) > 0)):
             if on:
@@ -192,28 +216,19 @@ class Classifier:
     """A sparse linear score over the words and beginnings that a text has."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.weights, self.bias, self.lexicon = weights, bias, Lexicon(weights)
 
     def score(self, text: str) -> float:
-        get, found = self.known.get, set()
-        for w in set(words_of(text)):
-            fs = get(w)
-            if fs is None:
-                if len(self.known) > 300_000:
-                    self.known.clear()
-                fs = self.known[w] = tuple(f for f in features_of(w) if f in self.weights)
-            if fs:
-                found.update(fs)
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in sorted(found)), -40, 40))))
+        found, _ = self.lexicon.found(set(words_of(text)))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in found), -40, 40))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, epochs: int = 5) -> Classifier:
     """The classifier. docs: (doc_id, text); labels: (doc_id, toxic); learn: the rows whose labels may be seen.
 
     Words are mined from all labelled texts that may be learned from, and the label model counts the votes of all documents
-    and of all labelled ones among them. Only the classifier is fitted on about per_class labelled texts of each class at
-    most, chosen by a hash. Only vote combinations, of 17 voters at most, and bounded lists come to the driver.
+    and of all labelled ones among them. Only the classifier is fitted on about per_class labelled texts of each class and as
+    many unlabelled ones at most, chosen by a hash. Only vote combinations, of 17 voters at most, and bounded lists come to the driver.
     """
     docs = docs.where(learn)
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where(learn)
@@ -221,9 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     share = F.lit(0)
     for k, n in counts.items():
         share = F.when(F.col("label") == k, F.lit(int(1_000_000 * min(1.0, per_class / n)))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
-    # two classes of about per_class rows: small enough to send to every task
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").persist()
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
+    picked = known.where(drawn < share)
     voters = Voters(mined(docs.join(known, "doc_id").select("text", "label")))
     m = len(voters.names)
 
@@ -236,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     told = cast.groupBy("votes", "label").agg(F.count("*").alias("n")).toPandas()
     rows = np.array(sorted(set(told["votes"])), np.int64)
     where = {v: i for i, v in enumerate(rows.tolist())}
-    n, labelled = np.zeros(len(rows)), np.zeros((len(rows), 2))
+    n, labelled, unlabelled = np.zeros(len(rows)), np.zeros((len(rows), 2)), int(told["n"][told["label"].isna()].sum())
     for v, k, c in zip(told["votes"], told["label"], told["n"], strict=True):
         n[where[v]] += c
         if not pd.isna(k):
@@ -250,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
         rows, seen = [], Counter()
         for b in batches:
             for text in b["text"]:
-                fs = {f for w in set(words_of(text)) for f in features_of(w)}
+                fs = features_of(set(words_of(text)))
                 seen.update(fs)
                 rows.append((fs, posterior[voters.votes(text)]))
         names = sorted(f for f, k in seen.items() if k >= 5)
@@ -268,8 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
         on = np.flatnonzero(w[:-1])
         yield pd.DataFrame({"feature": [names[i] for i in on] + [""], "w": np.append(w[on], w[-1])})
 
-    got = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text").mapInPandas(train, "feature string, w double").toPandas()
-    sample.unpersist()
+    # two classes of about per_class rows: small enough to send to every task
+    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text")
+    few = docs.where(drawn < int(1_000_000 * min(1.0, per_class / max(1, unlabelled)))).join(known, "doc_id", "left_anti").select("doc_id", "text")
+    got = sample.unionByName(few).repartition(1).sortWithinPartitions("doc_id", "text").select("text").mapInPandas(train, "feature string, w double").toPandas()
     weights = dict(zip(got["feature"], got["w"], strict=True))
     bias = weights.pop("", 0.0)
     return Classifier(weights, bias if counts.get(1) else -4.0)
