@@ -8,18 +8,19 @@ import numpy as np
 import pandas as pd
 
 from tidemark.operators import joins, market, stats, technical, warehouse
+from tidemark.sources import text
 
 
 def test_wilder_and_ema_by_hand():
     x = np.array([1.0, 2.0, 3.0, 6.0])
-    assert np.allclose(technical.wilder(x, 3)[2:], [2.0, 2.0 + 4 / 3])
-    assert np.allclose(technical.ema(x, 3)[2:], [2.0, 4.0])
+    assert np.allclose(technical.smoothed(x, 3, 1 / 3)[2:], [2.0, 2.0 + 4 / 3])
+    assert np.allclose(technical.smoothed(x, 3, 2 / 4)[2:], [2.0, 4.0])
 
 
 def test_zigzag_finds_the_turns():
     h = np.array([1, 2, 5, 3, 1, 2, 4, 6, 3], float)
     pts = technical.zigzag_points(h, h, np.full(len(h), 1.5))
-    assert [(p[0], p[1]) for p in pts] == [(2, "high"), (4, "low"), (7, "high")]
+    assert [(p[0], p[1]) for p in pts] == [(0, "low"), (2, "high"), (4, "low"), (7, "high")]
 
 
 def test_closed_trades(spark):
@@ -65,10 +66,43 @@ def test_asof_at_equal_times(spark):
     assert v(joins.asof_forward(left, right, ["k"], "t", ["v"])) == 2
 
 
-def test_drawdown_levels_hold_until_reset(spark):
-    c = spark.createDataFrame([("a", i, e) for i, e in enumerate([100.0, 85.0, 95.0, 99.5, 100.0])], "account string, d int, equity double")
-    got = market.drawdown_state(c, "account", "d", "equity", (0.05, 0.1, 0.2), 0.01).orderBy("d").toPandas()["level"].tolist()
-    assert got == [0, 2, 2, 0, 0]
+def test_drawdown_levels(spark):
+    c = spark.createDataFrame([("a", i, e) for i, e in enumerate([100.0, 94.0, 96.0, 88.0, 93.0, 98.0, 75.0, 99.0, 99.0, 85.0, 120.0])], "account string, d int, equity double")
+    acts = spark.createDataFrame([("a", 7, "resume", None), ("a", 9, "reset", 85.0)], "account string, d int, kind string, peak double")
+    got = lambda a: market.drawdown_state(c, "account", "d", "equity", (0.05, 0.1, 0.2), 0.04, a).orderBy("d").toPandas()["level"].tolist()
+    # a warning goes by itself, reducing lasts until 0.04, a halt lasts
+    assert got(None) == [0, 1, 0, 2, 2, 0, 3, 3, 3, 3, 3]
+    assert got(acts) == [0, 1, 0, 2, 2, 0, 3, 3, 0, 2, 0]
+
+
+def test_strength_index_and_smoothing(spark):
+    x = [10.0, 11.0, 11.0, 12.0, 12.0, 11.0, 13.0, 13.0]
+    d = spark.createDataFrame([("a", i, v, v, v) for i, v in enumerate(x)] + [("b", i, 5.0, 5.0, 5.0) for i in range(6)], "k string, t int, close double, high double, low double")
+    r = technical.recursive_indicators(d, "k", "t", 3, 2, 3, 2).orderBy("k", "t").toPandas()
+    up, down, want = None, None, [np.nan] * 3
+    for i in range(3, len(x)):
+        g, f = ([max(s * (b - a), 0) for a, b in zip(x, x[1:])] for s in (1, -1))
+        up = sum(g[:3]) / 3 if i == 3 else up + (g[i - 1] - up) / 3
+        down = sum(f[:3]) / 3 if i == 3 else down + (f[i - 1] - down) / 3
+        want.append(100.0 if down == 0 else 100 - 100 / (1 + up / down))
+    assert np.allclose(r[r.k == "a"].rsi, want, equal_nan=True)
+    assert (r[r.k == "b"].rsi.dropna() == 100).all() and r[r.k == "b"].rsi.notna().sum() == 3
+
+
+def test_zigzag_of_bars():
+    h = np.array([10.0, 12, 11, 9, 9.5, 14, 13, 10])
+    lo = h - 1
+    size = np.full(8, 3.5)
+    # undecided until bar 3 is 3.5 below the high of bar 1; the low is then sought from the bar after that high on
+    assert technical.zigzag_points(h, lo, size) == [(1, "high", 12.0, 3), (3, "low", 8.0, 5), (5, "high", 14.0, 7)]
+    size[0] = np.nan
+    assert technical.zigzag_points(h, lo, size)[0] == (1, "high", 12.0, 3)
+    assert technical.zigzag_points(h, lo, np.full(8, np.nan)) == []
+
+
+def test_tables_of_a_page():
+    page = "<table><tr><td>a <b>b</b><td>c&amp;<tr><th>d<table><tr><td>in</table>x</table><tr><td>none"
+    assert text.table_rows(page) == [(0, 0, ["a b", "c&"]), (0, 1, ["d"]), (1, 0, ["in"])]
 
 
 def test_normal_quantile_is_the_inverse(spark):

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins
 
 C = F.col
 
@@ -167,22 +166,54 @@ def concentration(df: DataFrame, by: list[str], weight: str, id_: str) -> DataFr
     return d.groupBy(*by).agg(*[F.sum(F.when(C("__r") <= n, C(weight))).alias(f"top{n}") for n in (1, 3, 5)], (1 - F.sum(weight)).alias("cash"))
 
 
-def drawdown_state(df: DataFrame, account: str, order: str, equity: str, levels: tuple[float, float, float], reset: float) -> DataFrame:
-    """Level by the fall from the peak: 0 normal, 1 warn, 2 reduce, 3 halt. A level holds until the fall is under reset; the state
-    depends on all days before, so each account is one group."""
+def next_level(level: int, before: float, loss: float, limits: tuple[float, float, float], recover: float) -> int:
+    """The level after a close: 0 normal, 1 warn, 2 reduce, 3 halt. before, loss: the fall from the peak at the last close and now.
+
+    Crossing the third limit halts, and only an action ends that; reducing lasts until the fall is under recover; a warning
+    goes with its reason.
+    """
+    warn, reduce, halt = limits
+    if level == 3 or before < halt <= loss:
+        return 3
+    if loss >= reduce or (level == 2 and loss >= recover):
+        return 2
+    return int(loss >= warn)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        peak, level, out = -math.inf, 0, []
-        for e in g[equity]:
-            peak = max(peak, e)
-            fall = 1 - e / peak
-            level = 0 if fall < reset else max(level, sum(fall >= x for x in levels))
-            out.append(level)
-        return g.assign(level=out)[[account, order, "level"]]
 
+def drawdown_state(df: DataFrame, account: str, order: str, equity: str, limits: tuple[float, float, float], recover: float, actions: DataFrame | None = None) -> DataFrame:
+    """(account, order, level, peak, loss) after each close, by next_level; the state depends on all days before, so each account is one group.
+
+    actions: (account, order, kind, peak): "reset" starts at normal from a new peak, "resume" turns a halt into reducing;
+    one on a day of a close comes after it.
+    """
     t = dict(df.dtypes)
-    return df.select(account, order, equity).groupBy(account).applyInPandas(run, f"{account} {t[account]}, {order} {t[order]}, level int")
+    rows = df.select(account, order, C(equity).cast("double").alias("equity"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("peak"))
+    if actions is not None:
+        rows = rows.unionByName(actions.select(account, order, F.lit(None).cast("double").alias("equity"), "kind", C("peak").cast("double").alias("peak")))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.assign(late=g["kind"].notna()).sort_values([order, "late"], kind="stable")
+        top, level, loss, out = -math.inf, 0, 0.0, []
+        for e, kind, peak in zip(g["equity"], g["kind"], g["peak"], strict=True):
+            if kind == "reset":
+                top, level, loss = peak, 0, 0.0
+            elif kind == "resume":
+                level = 2 if level == 3 else level
+            else:
+                top, before = max(top, e), loss
+                loss = 1 - e / top
+                level = next_level(level, before, loss, limits, recover)
+            out.append((level, top, loss))
+        g[["level", "top", "loss"]] = out
+        g = g[~g["late"]]
+        return pd.DataFrame({account: g[account], order: g[order], "level": g["level"].astype("int32"), "peak": g["top"], "loss": g["loss"]})
+
+    return rows.groupBy(account).applyInPandas(run, f"{account} {t[account]}, {order} {t[order]}, level int, peak double, loss double")
+
+
+def panic_fraction(df: DataFrame, day: str, rsi: str, below: float = 30.0) -> DataFrame:
+    """(day, panic): the share of names with a strength index under a bound among those that have one."""
+    return df.where(C(rsi).isNotNull() & ~F.isnan(rsi)).groupBy(day).agg(F.avg((C(rsi) < below).cast("double")).alias("panic"))
 
 
 # ---- market
@@ -225,9 +256,3 @@ def decile_odds(df: DataFrame, by: str, idx: str, score: str, price: str, horizo
     base = d.agg(F.avg((C("fwd") > 0).cast("int")).alias("base"))
     g = d.groupBy("decile").agg(F.count("*").alias("n"), F.avg((C("fwd") > 0).cast("int")).alias("odds"), F.avg("fwd").alias("mean"))
     return g.join(F.broadcast(base))
-
-
-def last_as_of(df: DataFrame, schedule: DataFrame, on: str, value: str) -> DataFrame:
-    """Each row with the value of a schedule, a few dates, that holds on its date (a tax rate, a fee)."""
-    one = F.lit(1).alias("__k")
-    return joins.asof_backward(df.select(one, "*"), schedule.select(one, on, value), ["__k"], on, [value]).drop("__k")

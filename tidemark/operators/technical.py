@@ -52,47 +52,35 @@ def stochastic(df: DataFrame, by, order, n: int, smooth: int) -> DataFrame:
     return d.withColumn("slow_k", series.ts_mean(by, order, C("__k"), smooth)).drop("__k")
 
 
-def smooth(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Exponential smoothing from the mean of the first n values on."""
+def smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """Exponential smoothing that starts at the mean of the first n values; leading NaNs are passed over."""
     out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = out[i - 1] + alpha * (x[i] - out[i - 1])
+    lead = int(np.cumprod(np.isnan(x)).sum())
+    first = lead + n - 1
+    if first < len(x):
+        seeded = pd.Series(x[first:]).astype(float)
+        seeded.iloc[0] = x[lead : first + 1].mean()
+        out[first:] = seeded.ewm(alpha=alpha, adjust=False).mean()
     return out
 
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 2 / (n + 1))
-
-
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    return smooth(x, n, 1 / n)
-
-
-def _after_start(f, x: np.ndarray) -> np.ndarray:
-    """f of what follows the leading NaNs."""
-    k = int(np.isnan(x).argmin()) if len(x) and not np.isnan(x).all() else len(x)
-    return np.concatenate((np.full(k, np.nan), f(x[k:])))
-
-
 def recursive_indicators(df: DataFrame, by: str, order: str, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """(by, order, ema, atr, rsi, macd, macd_signal)."""
+    """(by, order, ema, atr, rsi, macd, macd_signal). The strength index is 100 where nothing fell."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
-        c, h, lo = (g[k].to_numpy(float) for k in ("close", "high", "low"))
-        before = np.concatenate(([np.nan], c[:-1]))
-        tr = np.fmax(h - lo, np.fmax(abs(h - before), abs(lo - before)))
-        d = np.diff(c, prepend=np.nan)
-        up, down = (_after_start(lambda x: wilder(x, n), x) for x in (np.where(np.isnan(d), np.nan, np.maximum(d, 0)), np.where(np.isnan(d), np.nan, np.maximum(-d, 0))))
+        spans = lambda x, k: smoothed(x, k, 2 / (k + 1))
+        close, change = g["close"].to_numpy(float), g["change"].to_numpy(float)
+        gain, fall = (smoothed(np.clip(s * change, 0, None), n, 1 / n) for s in (1, -1))
         with np.errstate(invalid="ignore", divide="ignore"):
-            rsi = np.where(up + down == 0, 50.0, 100 * up / (up + down))
-        macd = ema(c, fast) - ema(c, slow)
-        return pd.DataFrame({by: g[by], order: g[order], "ema": ema(c, n), "atr": wilder(tr, n), "rsi": rsi, "macd": macd, "macd_signal": _after_start(lambda x: ema(x, signal), macd)})
+            rsi = np.where(fall == 0, 100.0, gain / (gain + fall) * 100)
+        macd = spans(close, fast) - spans(close, slow)
+        return pd.DataFrame({by: g[by], order: g[order], "ema": spans(close, n), "atr": smoothed(g["range"].to_numpy(float), n, 1 / n), "rsi": rsi, "macd": macd, "macd_signal": spans(macd, signal)})
 
     t = dict(df.dtypes)
-    return df.select(by, order, "close", "high", "low").groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, ema double, atr double, rsi double, macd double, macd_signal double")
+    change = C("close") - F.lag("close").over(Window.partitionBy(by).orderBy(order))
+    rows = df.select(by, order, "close", true_range([by], order).alias("range"), change.alias("change"))
+    return rows.groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, ema double, atr double, rsi double, macd double, macd_signal double")
 
 
 def pivot_points(df: DataFrame, by: str, day: str, period: str) -> DataFrame:
@@ -118,23 +106,39 @@ def volume_profile(df: DataFrame, by: str, bins: int) -> DataFrame:
 
 
 def zigzag_points(high: np.ndarray, low: np.ndarray, size: np.ndarray) -> list[tuple[int, str, float, int]]:
-    """(bar, kind, price, bar of confirmation): swings that reversed by more than the size at their extreme."""
+    """(bar, kind, price, bar of confirmation): swings that came back by at least the size of the bar that confirms them.
+
+    Highs and negative lows are both sought as greatest values, so a rise and a fall are one rule seen from two sides. The
+    first swing is the one that comes back first, by the larger way if one bar does both; the next extreme is then sought
+    from the bar after it on. Bars without a size or a price are passed over.
+    """
+    side = {"high": np.asarray(high, float), "low": -np.asarray(low, float)}
+    other = {"high": "low", "low": "high"}
+    bars = np.flatnonzero(~np.isnan(size)).tolist()
     out: list[tuple[int, str, float, int]] = []
-    if not len(high):
+    if not bars:
         return out
-    up, ext, at = True, high[0], 0
-    for i in range(1, len(high)):
-        if up:
-            if high[i] >= ext:
-                ext, at = high[i], i
-            elif ext - low[i] > size[at]:
-                out.append((at, "high", float(ext), i))
-                up, ext, at = False, low[i], i
-        elif low[i] <= ext:
-            ext, at = low[i], i
-        elif high[i] - ext > size[at]:
-            out.append((at, "low", float(ext), i))
-            up, ext, at = True, high[i], i
+    best = {k: (v[bars[0]], bars[0]) for k, v in side.items()}  # the greatest value of each side and its bar
+    sought = ["high", "low"]
+    for t in bars[1:]:
+        if np.isnan(side["high"][t]) or np.isnan(side["low"][t]):
+            continue
+        # how far the bar has come back from each extreme that is sought
+        back = {k: best[k][0] + side[other[k]][t] for k in sought}
+        turned = [k for k in sought if back[k] >= size[t]]
+        if not turned:
+            for k in sought:
+                if side[k][t] > best[k][0]:
+                    best[k] = side[k][t], t
+            continue
+        k = max(turned, key=lambda k: (back[k], k == "low"))
+        value, at = best[k]
+        out.append((at, k, float(value if k == "high" else -value), t))
+        new = other[k]
+        begin = at + 1 if len(sought) == 2 else t
+        stretch = side[new][begin : t + 1]
+        best[new] = float(np.nanmax(stretch)), begin + int(np.nanargmax(stretch))
+        sought = [new]
     return out
 
 
@@ -143,16 +147,12 @@ def zigzag(df: DataFrame, by: str, order: str, n: int = 14, factor: float = 3.0)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order).reset_index(drop=True)
-        h, lo, c = (g[k].to_numpy(float) for k in ("high", "low", "close"))
-        before = np.concatenate(([np.nan], c[:-1]))
-        tr = np.fmax(h - lo, np.fmax(abs(h - before), abs(lo - before)))
-        size = wilder(tr, n) * factor
-        size = np.where(np.isnan(size), np.inf, size)
-        pts = zigzag_points(h, lo, size)
+        size = smoothed(g["range"].to_numpy(float), n, 1 / n) * factor
+        pts = zigzag_points(g["high"].to_numpy(float), g["low"].to_numpy(float), size)
         return pd.DataFrame([(g[by][0], g[order][i], k, p, g[order][j]) for i, k, p, j in pts], columns=[by, order, "kind", "price", "confirmed"])
 
     t = dict(df.dtypes)
-    return df.select(by, order, "high", "low", "close").groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, kind string, price double, confirmed {t[order]}")
+    return df.select(by, order, "high", "low", true_range([by], order).alias("range")).groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, kind string, price double, confirmed {t[order]}")
 
 
 def zones(pivots: DataFrame, by: str, price: str, tolerance: float) -> DataFrame:
@@ -225,12 +225,21 @@ def retracement(df: DataFrame, by: str, lo: str, hi: str, shares: tuple[float, .
 
 
 def confluence(bands: DataFrame, by: str, kinds: int = 2) -> DataFrame:
-    """(by, lo, hi, kinds): stretches between band edges that bands of at least so many kinds cover."""
-    e = bands.select(by, F.explode(F.array("lo", "hi")).alias("lo")).distinct()
-    e = e.withColumn("hi", F.lead("lo").over(Window.partitionBy(by).orderBy("lo"))).where("hi IS NOT NULL")
-    b = bands.select(by, C("lo").alias("b_lo"), C("hi").alias("b_hi"), "kind")
-    j = e.join(b, by).where("b_lo <= lo AND b_hi >= hi")
-    return j.groupBy(by, "lo", "hi").agg(F.countDistinct("kind").alias("kinds")).where(C("kinds") >= kinds)
+    """(by, lo, hi, kinds): stretches between band edges that bands of at least so many kinds cover, by a sweep over the edges.
+
+    Overlapping bands of one kind are first made one, so that a running sum of begins and ends counts kinds.
+    """
+    w = Window.partitionBy(by, "kind").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = bands.select(by, "lo", "hi", "kind").withColumn("__new", F.when(C("lo") <= reach, 0).otherwise(1))
+    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = d.groupBy(by, "kind", "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    step = lambda c, n: F.struct(C(c).alias("at"), F.lit(n).alias("step"))
+    edges = bands.select(by, F.explode(F.array(step("lo", 0), step("hi", 0))).alias("e")).unionByName(runs.select(by, F.explode(F.array(step("lo", 1), step("hi", -1))).alias("e")))
+    at = edges.groupBy(by, C("e.at").alias("lo")).agg(F.sum("e.step").alias("step"))
+    v = Window.partitionBy(by).orderBy("lo")
+    out = at.select(by, "lo", F.lead("lo").over(v).alias("hi"), F.sum("step").over(v.rowsBetween(Window.unboundedPreceding, 0)).alias("kinds"))
+    return out.where(C("hi").isNotNull() & (C("kinds") >= kinds))
 
 
 def nearest_levels(levels: DataFrame, by: str, level: str, price: str, tolerance: float, k: int) -> DataFrame:

@@ -111,9 +111,9 @@ def t17(spark, sf):
     return rnd(technical.retracement(e, "sid", "lo", "hi"), "level")
 
 
-@query("t17_confluence", ", b AS MATERIALIZED (SELECT sid, floor(low) AS lo, floor(high) + 1 AS hi, volume % 4 AS kind FROM panel WHERE idx < 8), e AS (SELECT sid, lo FROM b UNION SELECT sid, hi FROM b), n AS MATERIALIZED (SELECT sid, lo, lead(lo) OVER (PARTITION BY sid ORDER BY lo) AS hi FROM e) SELECT n.sid, n.lo, n.hi, count(DISTINCT kind) AS kinds FROM n JOIN b ON b.sid = n.sid WHERE n.hi IS NOT NULL AND b.lo - n.lo <= 0 AND b.hi - n.hi >= 0 GROUP BY ALL HAVING count(DISTINCT kind) >= 2", "panel")
+@query("t17_confluence", ", b AS MATERIALIZED (SELECT sid, floor(low) AS lo, floor(high) + 1 AS hi, volume % 4 AS kind FROM panel), e AS (SELECT sid, lo FROM b UNION SELECT sid, hi FROM b), n AS MATERIALIZED (SELECT sid, lo, lead(lo) OVER (PARTITION BY sid ORDER BY lo) AS hi FROM e) SELECT n.sid, n.lo, n.hi, count(DISTINCT kind) AS kinds FROM n JOIN b ON b.sid = n.sid WHERE n.hi IS NOT NULL AND b.lo - n.lo <= 0 AND b.hi - n.hi >= 0 GROUP BY ALL HAVING count(DISTINCT kind) >= 2", "panel")
 def t17b(spark, sf):
-    b = views.panel(spark, sf).where("idx < 8").select("sid", F.floor("low").cast("double").alias("lo"), (F.floor("high") + 1).cast("double").alias("hi"), (C("volume") % 4).alias("kind"))
+    b = views.panel(spark, sf).select("sid", F.floor("low").cast("double").alias("lo"), (F.floor("high") + 1).cast("double").alias("hi"), (C("volume") % 4).alias("kind"))
     return technical.confluence(b, "sid")
 
 

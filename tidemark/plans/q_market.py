@@ -223,7 +223,11 @@ def r04(spark, sf):
 
 @query("r05_drawdown_state", None)
 def r05(spark, sf):
-    return market.drawdown_state(views.curve(spark, sf), "account", "d", "equity", (0.001, 0.01, 0.05), 0.0005)
+    """An account for each user: what its events brought so far; every seventh account is resumed on one day."""
+    w = Window.partitionBy("account").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    c = views.bars(spark, sf).select(C("sid").alias("account"), "d", (C("amount") - 10 * C("volume")).alias("gain")).select("account", "d", (1000 + F.sum("gain").over(w)).alias("equity"))
+    resumed = c.where("account % 7 = 0").groupBy("account").agg(F.max("d").alias("d")).select("account", F.date_sub("d", 5).alias("d"), F.lit("resume").alias("kind"), F.lit(None).cast("double").alias("peak"))
+    return rnd(market.drawdown_state(c, "account", "d", "equity", (0.01, 0.05, 0.1), 0.02, resumed), "peak", "loss")
 
 
 @query("r06_index_summary", ", i AS (SELECT d, avg(close) AS c FROM panel GROUP BY d), k AS (SELECT *, row_number() OVER (ORDER BY d DESC) AS i FROM i) SELECT max(d) AS d, round(arg_max(c, d), 6) AS last, round(max(c) FILTER (i = 1) - max(c) FILTER (i = 2), 6) AS change, round(max(c), 6) AS hi, round(min(c), 6) AS lo FROM k WHERE i <= 20", "panel")
@@ -283,9 +287,15 @@ def r14(spark, sf):
     return b.select("idx", F.round(trailing_pct(["k"], "idx", C("up"), 10, 4), 6).alias("temperature"))
 
 
-@query("r15_panic_fraction", "SELECT d, round(avg(CASE WHEN close < open * 0.5 THEN 1.0 ELSE 0.0 END), 6) AS panic FROM panel GROUP BY d", "panel")
+_STRENGTH = """, x AS (SELECT sid, idx, close - lag(close) OVER w AS x FROM panel WINDOW w AS (PARTITION BY sid ORDER BY idx)), l AS (SELECT idx, list(greatest(x, 0)) FILTER (x IS NOT NULL) OVER w AS g, list(greatest(-x, 0)) FILTER (x IS NOT NULL) OVER w AS f FROM x WINDOW w AS (PARTITION BY sid ORDER BY idx)),
+    s AS (SELECT idx, list_reduce([list_avg(g[1:5])] || g[6:], lambda a, b : a + (b - a) / 5) AS up, list_reduce([list_avg(f[1:5])] || f[6:], lambda a, b : a + (b - a) / 5) AS down FROM l WHERE len(g) >= 5)"""
+
+
+@query("r15_panic_fraction", _STRENGTH + " SELECT idx, round(avg(CASE WHEN down > 0 AND 100 * up / (up + down) < 30 THEN 1.0 ELSE 0.0 END), 6) AS panic FROM s GROUP BY idx", "panel")
 def r15(spark, sf):
-    return views.panel(spark, sf).groupBy("d").agg(F.round(F.avg((C("close") < C("open") * 0.5).cast("double")), 6).alias("panic"))
+    from tidemark.operators.technical import recursive_indicators
+
+    return rnd(market.panic_fraction(recursive_indicators(views.panel(spark, sf), "sid", "idx", 5, 4, 8, 3), "idx", "rsi"), "panic")
 
 
 @query("r16_sector_members", "SELECT sid, l1, l2, s_acctbal, row_number() OVER (PARTITION BY l2 ORDER BY s_acctbal DESC, sid) AS place FROM sectors", "sectors")

@@ -148,11 +148,19 @@ def m16(spark, sf):
     return views.panel(spark, sf).select("sid", "idx", F.lag("volume", 1).over(w).alias("level"), (F.lag("volume", 1).over(w) - F.lag("volume", 4).over(w)).alias("change"), flow.alias("flow"))
 
 
-@query("q01_columns", "SELECT 'lineitem' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS problems FROM lineitem")
+#: What the line items are declared to be.
+_LINEITEM = {
+    **dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey"], "bigint"), "l_linenumber": "int", **dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "double"),
+    **dict.fromkeys(["l_returnflag", "l_linestatus"], "string"), "l_shipdate": "timestamp_ntz",
+}
+
+
+@query("q01_columns", "SELECT 'lineitem' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS problems, count(*) FILTER (length(l_returnflag) > 1 OR length(l_linestatus) > 1) AS too_long FROM lineitem")
 def q01(spark, sf):
     x = views.read(spark, sf, "lineitem")
-    problems = quality.check_columns(x, dict(x.dtypes))
-    return x.agg(F.lit("lineitem").alias("name"), F.count("*").alias("rows"), F.lit(len(problems)).cast("long").alias("problems"))
+    problems = quality.check_columns(x, _LINEITEM)
+    too_long = F.count_if((F.length("l_returnflag") > 1) | (F.length("l_linestatus") > 1))
+    return x.agg(F.lit("lineitem").alias("name"), F.count("*").alias("rows"), F.lit(len(problems)).cast("long").alias("problems"), too_long.alias("too_long"))
 
 
 @query("q02_row_equation", "SELECT count(*) AS n_in, count(DISTINCT (l_orderkey, l_linenumber)) AS n_out, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_dedup, true AS holds FROM lineitem")

@@ -91,11 +91,11 @@ def e08(spark, sf):
     return rnd(stats.drawdown(views.curve(spark, sf), ACC, "d", "equity").select("account", "d", "depth", "under_water"), "depth")
 
 
-_LC = ", c AS (SELECT sid, d, close FROM long_bars WHERE sid < 40)"
+_LC = ", c AS (SELECT sid, d, close FROM long_bars)"
 
 
 def long_curve(spark, sf):
-    return views.long_bars(spark, sf).where("sid < 40").select("sid", "d", "close")
+    return views.long_bars(spark, sf).select("sid", "d", "close")
 
 
 @query("e09_monthly_returns", _LC + ", m AS (SELECT sid, CAST(date_trunc('month', d) AS DATE) AS month, arg_max(close, d) AS e, arg_min(close, d) AS f FROM c GROUP BY ALL) SELECT sid, month, round(e / coalesce(lag(e) OVER (PARTITION BY sid ORDER BY month), f) - 1, 6) AS ret FROM m", "long_bars")
@@ -153,10 +153,10 @@ def e15(spark, sf):
     return rnd(stats.neighbor_mean(cells(spark, sf), ["a", "b"], "score").drop("neighbor_rank"), "score", "neighbor_mean")
 
 
-@query("e16_plateau_map", _CELLS + ", c2 AS (SELECT a, b, CASE WHEN (a + b) % 6 <> 0 THEN round(score, 6) END AS score FROM cells), s AS (SELECT * FROM c2 WHERE score IS NOT NULL), m AS (SELECT x.a, x.b, x.score, avg(y.score) AS nm FROM s x JOIN s y ON abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY nm DESC, a, b) AS k FROM m) SELECT a, b, score, round(nm, 6) AS neighbor_mean, CASE WHEN nm < 0.99 * score THEN 'peak' WHEN k = 1 THEN 'recommended' ELSE 'plain' END AS verdict FROM r UNION ALL SELECT a, b, score, NULL, 'failed' FROM c2 WHERE score IS NULL")
+@query("e16_plateau_map", _CELLS + ", c2 AS (SELECT a, b, CASE WHEN (a + b) % 6 <> 0 THEN score END AS score FROM cells), s AS (SELECT * FROM c2 WHERE score IS NOT NULL), m AS (SELECT x.a, x.b, x.score, avg(y.score) AS nm FROM s x JOIN s y ON abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY nm DESC, a, b) AS k FROM m) SELECT a, b, round(score, 6) AS score, round(nm, 6) AS neighbor_mean, CASE WHEN nm < 0.99 * score THEN 'peak' WHEN k = 1 THEN 'recommended' ELSE 'plain' END AS verdict FROM r UNION ALL SELECT a, b, score, NULL, 'failed' FROM c2 WHERE score IS NULL")
 def e16(spark, sf):
-    c = cells(spark, sf).withColumn("score", F.when((C("a") + C("b")) % 6 != 0, F.round("score", 6)))
-    return rnd(stats.plateau_map(c, ["a", "b"], "score", 0.99), "neighbor_mean")
+    c = cells(spark, sf).withColumn("score", F.when((C("a") + C("b")) % 6 != 0, C("score")))
+    return rnd(stats.plateau_map(c, ["a", "b"], "score", 0.99), "score", "neighbor_mean")
 
 
 @query("e17_walk_forward", ", n AS (SELECT max(idx) + 1 AS n FROM calendar), s AS (SELECT unnest(range(0, n - 17 + 1, 5)) AS s FROM n) SELECT row_number() OVER (ORDER BY s) - 1 AS window, s AS train_from, s + 9 AS train_to, s + 12 AS test_from, s + 16 AS test_to FROM s", "calendar")

@@ -79,5 +79,5 @@ def st6(spark, sf):
 
 @query("st7_drawdown", None)
 def st7(spark, sf):
-    s = events(spark, sf).select(C("event_type").alias("account"), "ts", (C("value") + 100).alias("equity"))
+    s = events(spark, sf).select(C("user_id").alias("account"), "ts", (C("value") + 100).alias("equity"))
     return drained(spark, streams.stream_drawdown(s, "account", "ts", "equity", (0.1, 0.3, 0.5), 0.05))

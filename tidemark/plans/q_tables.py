@@ -129,11 +129,11 @@ def d16(spark, sf):
     return versions.first_version(known, ["sid"], [F.desc("m"), "available", "src", "value"]).select("sid", "m", "src", "value")
 
 
-@query("d17_consensus_sessions", ", o AS (SELECT DISTINCT sid, d FROM long_bars WHERE sid < 20), c AS (SELECT d FROM (SELECT DISTINCT d FROM long_bars) WHERE day(d) % 5 = 0) SELECT o.sid, o.d, c.d AS session FROM o ASOF LEFT JOIN c ON o.d >= c.d", "long_bars")
+@query("d17_consensus_sessions", ", o AS (SELECT DISTINCT sid, d FROM long_bars), c AS (SELECT d FROM (SELECT DISTINCT d FROM long_bars) WHERE day(d) % 5 = 0) SELECT o.sid, o.d, c.d AS session FROM o ASOF LEFT JOIN c ON o.d >= c.d", "long_bars")
 def d17(spark, sf):
     b = views.long_bars(spark, sf)
     cal = views.calendar(b.where(F.dayofmonth("d") % 5 == 0))
-    return warehouse.snap_to_session(b.where("sid < 20").select("sid", "d").distinct(), cal, "d").select("sid", "d", "session")
+    return warehouse.snap_to_session(b.select("sid", "d").distinct(), cal, "d").select("sid", "d", "session")
 
 
 @query("d18_opinion_daily", "SELECT d, payload, count(*) AS n, count(DISTINCT sid) AS names, round(avg(value), 4) AS mean FROM versions GROUP BY ALL", "versions")
@@ -202,14 +202,15 @@ def d28b(spark, sf):
     return warehouse.factor_readiness(warehouse.dataset_profile(x, "d", ["close", "amount"], {}), {"value": ["close", "amount"], "price": ["close"]}, 0.5)
 
 
-@query("d29_raw_panel", ", f AS (SELECT sid, available_date AS d, max(n) AS n FROM fundamentals GROUP BY ALL) SELECT b.sid, b.d, x.close AS lagged, f.n FROM bars b LEFT JOIN bars x ON x.sid = b.sid AND x.d = b.d - 1 ASOF LEFT JOIN f ON f.sid = b.sid AND b.d >= f.d", "bars fundamentals")
+@query("d29_raw_panel", ", f AS (SELECT sid, available_date AS d, max(n) AS n FROM fundamentals GROUP BY ALL) SELECT b.sid, b.d, x.close AS lagged, f.n FROM panel b LEFT JOIN panel x ON x.sid = b.sid AND x.idx = b.idx - 1 ASOF LEFT JOIN f ON f.sid = b.sid AND b.d >= f.d", "panel fundamentals")
 def d29(spark, sf):
     from tidemark.operators.joins import asof_backward
 
-    b = views.bars(spark, sf).select("sid", "d", "close")
-    lagged = b.select("sid", F.date_add("d", 1).alias("d"), C("close").alias("lagged"))
+    # a session back, as long as the security was there: the row before belongs to the same span if it is the session before
+    w = Window.partitionBy("sid").orderBy("idx")
+    b = views.panel(spark, sf).select("sid", "d", F.when(F.lag("idx").over(w) == C("idx") - 1, F.lag("close").over(w)).alias("lagged"))
     f = views.fundamentals(spark, sf).groupBy("sid", C("available_date").alias("d")).agg(F.max("n").alias("n"))
-    return asof_backward(b.join(lagged, ["sid", "d"], "left").select("sid", "d", "lagged"), f, ["sid"], "d", ["n"]).select("sid", "d", "lagged", "n")
+    return asof_backward(b, f, ["sid"], "d", ["n"]).select("sid", "d", "lagged", "n")
 
 
 @query("d31_membership_intervals", """, r AS (SELECT b.sid, c.d, c.idx - row_number() OVER (PARTITION BY sid ORDER BY c.idx) AS run FROM bars b JOIN calendar c USING (d)) SELECT sid, min(d) AS "from", max(d) AS "to" FROM r GROUP BY sid, run""", "calendar")

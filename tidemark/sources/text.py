@@ -24,41 +24,45 @@ def normalize_text(df: DataFrame, columns: list[str], strip_tags: bool = False)
     return df
 
 
-class _Tables(HTMLParser):
-    """Cells by table and row; a nested table's cells are its own."""
+class _Marks(HTMLParser):
+    """What a page consists of, in order: (what, value), with what one of begin, end, text."""
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[str]]] = []
-        self.open: list[int] = []
-        self.cell: list[str] | None = None
-
-    def _close_cell(self):
-        if self.cell is not None and self.open and self.tables[self.open[-1]]:
-            self.tables[self.open[-1]][-1].append(" ".join("".join(self.cell).split()))
-        self.cell = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._close_cell()
-            self.open.append(len(self.tables))
-            self.tables.append([])
-        elif tag == "tr" and self.open:
-            self._close_cell()
-            self.tables[self.open[-1]].append([])
-        elif tag in ("td", "th") and self.open:
-            self._close_cell()
-            self.cell = []
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th", "tr", "table"):
-            self._close_cell()
-        if tag == "table" and self.open:
-            self.open.pop()
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        self.seen: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.seen.append(("begin", tag))
+        self.handle_endtag = lambda tag: self.seen.append(("end", tag))
+        self.handle_data = lambda data: self.seen.append(("text", data))
+        self.feed(page)
+        self.close()
+
+
+def table_rows(page: str) -> list[tuple[int, int, list[str]]]:
+    """(table, row, cells) of a page in the order of its tables; a nested table's cells are its own, as is text before the next cell."""
+    grids: dict[int, list[list[str]]] = {}
+    inside: list[int] = []  # numbers of the tables around
+    text: list[str] | None = None  # of the cell that is open
+    for what, value in _Marks(page).seen:
+        if what == "text":
+            if text is not None:
+                text.append(value)
+            continue
+        if value not in ("table", "tr", "td", "th"):
+            continue
+        if text is not None and inside and grids[inside[-1]]:
+            grids[inside[-1]][-1].append(" ".join("".join(text).split()))
+        text = None
+        if value == "table" and what == "begin":
+            inside.append(len(grids))
+            grids[inside[-1]] = []
+        elif value == "table":
+            inside = inside[:-1]
+        elif what == "begin" and inside:
+            if value == "tr":
+                grids[inside[-1]].append([])
+            else:
+                text = []
+    return [(t, r, cells) for t, grid in grids.items() for r, cells in enumerate(grid)]
 
 
 def html_tables(pages: DataFrame, id_: str, html: str) -> DataFrame:
@@ -68,10 +72,7 @@ def html_tables(pages: DataFrame, id_: str, html: str) -> DataFrame:
         for b in batches:
             out = []
             for i, h in zip(b["id"], b["html"], strict=True):
-                p = _Tables()
-                p.feed(h or "")
-                p.close()
-                out += [(i, t, r, cells) for t, rows in enumerate(p.tables) for r, cells in enumerate(rows)]
+                out += [(i, *row) for row in table_rows(h or "")]
             yield pd.DataFrame(out, columns=["id", "table_no", "row_no", "cells"])
 
     kind = pages.schema[id_].dataType.simpleString()

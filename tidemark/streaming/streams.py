@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.market import next_level
+
 C = F.col
 
 
@@ -68,24 +70,24 @@ def stream_fold_consecutive(s: DataFrame, unit: str, time: str, payload: str, de
     return s.select(unit, time, payload).withWatermark(time, delay).groupBy(unit).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_drawdown(s: DataFrame, account: str, time: str, equity: str, levels: tuple[float, float, float], reset: float) -> DataFrame:
-    """(account, time, level) of each batch's rows: 0 normal to 3 halt, by the fall from the peak so far."""
+def stream_drawdown(s: DataFrame, account: str, time: str, equity: str, limits: tuple[float, float, float], recover: float) -> DataFrame:
+    """(account, time, level) of each batch's rows by market.next_level; what a later batch brings counts as later."""
     t = dict(s.dtypes)
 
     def run(key, batches: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        peak, level = st.get if st.exists else (float("-inf"), 0)
+        peak, level, loss = st.get if st.exists else (float("-inf"), 0, 0.0)
         out = []
         for at, e in sorted(r for b in batches for r in zip(b[time].tolist(), b[equity].tolist(), strict=True)):
-            peak = max(peak, e)
-            fall = 1 - e / peak
-            level = 0 if fall < reset else max(level, sum(fall >= x for x in levels))
+            peak, before = max(peak, e), loss
+            loss = 1 - e / peak
+            level = next_level(level, before, loss, limits, recover)
             out.append((key[0], at, level))
-        st.update((peak, level))
+        st.update((peak, level, loss))
         yield pd.DataFrame(out, columns=[account, time, "level"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return s.select(account, time, equity).groupBy(account).applyInPandasWithState(run, f"{account} {t[account]}, {time} {t[time]}, level int", "peak double, level int", "append", GroupStateTimeout.NoTimeout)
+    return s.select(account, time, equity).groupBy(account).applyInPandasWithState(run, f"{account} {t[account]}, {time} {t[time]}, level int", "peak double, level int, loss double", "append", GroupStateTimeout.NoTimeout)
 
 
 def split_late(batch: DataFrame, high_water: DataFrame, by: str, time: str, allowed: str) -> tuple[DataFrame, DataFrame]:
