@@ -54,7 +54,7 @@ class PieceEncoder:
     one that begins with a line feed follows no space.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], byte_level: bool, dtype=np.uint16, cached: int = 400_000, window: int = 1 << 20):
+    def __init__(self, encode: Callable[[str], list[int]], byte_level: bool, dtype=np.uint16, cached: int = 300_000, window: int = 1 << 20):
         self.encode_match, self.byte_level, self.dtype, self.window = encode, byte_level, np.dtype(dtype), window
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known = Cache(self._made_of, cached)
