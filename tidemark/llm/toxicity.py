@@ -34,7 +34,7 @@ BEGINNINGS = (4, 5, 6)
 #: Lists that mined words are dealt to, a voter each.
 LISTS = 6
 #: Numbers of different words with one beginning that are features.
-REPEATS = (1, 2, 3)
+REPEATS = (2, 3)
 #: The classifier is fitted on about so many labelled texts of each class at most, and on so many unlabelled ones.
 PER_CLASS = 4000
 #: Mined words or beginnings at most, those with the most toxic texts first.
@@ -53,9 +53,15 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(words: set[str]) -> set[str]:
-    """The words, and each beginning with a hyphen and how many of the words have it: "abcd-2" if two or more."""
-    counts = Counter(b for w in words for b in beginnings_of(w))
-    return words | {f"{b}-{n}" for b, k in counts.items() for n in REPEATS if k >= n}
+    """The words, and each repeated beginning with a hyphen and how many of the words have it: "abcd-2" if two or more."""
+    out = set(words)
+    for size in BEGINNINGS:
+        counts = Counter([w[:size] for w in words if len(w) > size])
+        out.update(f"{b}-{n}" for b, k in counts.items() if k >= REPEATS[0] for n in REPEATS if k >= n)
+    return out
+
+
+_UNSEEN = object()
 
 
 class Lexicon:
@@ -67,9 +73,7 @@ class Lexicon:
         self.known: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
 
     def _seen(self, word: str) -> tuple[bool, tuple[str, ...]] | None:
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) > 300_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         got = word in self.features, tuple(b for b in beginnings_of(word) if b in self.stems)
         self.known[word] = got = got if got[0] or got[1] else None
@@ -77,16 +81,20 @@ class Lexicon:
 
     def found(self, words: set[str]) -> tuple[list[str], int]:
         """The features, and how many words gave them."""
-        out, counts, hits = [], Counter(), 0
+        get, matched = self.known.get, []
         for w in words:
-            if got := self._seen(w):
-                if got[0]:
-                    out.append(w)
-                counts.update(got[1])
+            got = get(w, _UNSEEN)
+            if got is _UNSEEN:
+                got = self._seen(w)
+            if got is not None:
+                matched.append((w, *got))
+        if not matched:
+            return [], 0
+        counts = Counter(b for _, _, stems in matched for b in stems)
+        out = [w for w, itself, _ in matched if itself]
         out += [f for b, k in counts.items() for n in REPEATS if k >= n and (f := f"{b}-{n}") in self.features]
         heads = {f.split("-")[0] for f in out if "-" in f}
-        hits = sum(1 for w in words if (got := self._seen(w)) and (got[0] or not heads.isdisjoint(got[1])))
-        return sorted(out), hits
+        return sorted(out), sum(1 for _, itself, stems in matched if itself or not heads.isdisjoint(stems))
 
 
 def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
@@ -97,7 +105,8 @@ def mined(sample: DataFrame, most: int = MINED) -> dict[str, int]:
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
                 seen[label].update(features_of(set(words_of(text))))
-            if len(seen[0]) + len(seen[1]) > 300_000:
+                if len(seen[0]) + len(seen[1]) <= 300_000:
+                    continue
                 yield pd.DataFrame([(f, label, n) for label in (0, 1) for f, n in seen[label].items()], columns=["feature", "label", "n"])
                 for c in (seen[0], seen[1]):
                     c.clear()
