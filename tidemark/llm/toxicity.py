@@ -34,7 +34,7 @@ BEGINNINGS = (4, 5, 6)
 #: Lists that mined words are dealt to, a voter each.
 LISTS = 6
 #: Numbers of different words with one beginning that are features.
-REPEATS = (2, 3)
+REPEATS = (1, 2, 3)
 #: The classifier is fitted on about so many labelled texts of each class at most, and on so many unlabelled ones.
 PER_CLASS = 4000
 #: Mined words or beginnings at most, those with the most toxic texts first.
@@ -53,7 +53,7 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(words: set[str]) -> set[str]:
-    """The words, and each repeated beginning with a hyphen and how many of the words have it: "abcd-2" if two or more."""
+    """The words, and each beginning with a hyphen and how many of the words have it: "abcd-2" if two or more."""
     out = set(words)
     for size in BEGINNINGS:
         counts = Counter([w[:size] for w in words if len(w) > size])
