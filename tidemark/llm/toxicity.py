@@ -11,7 +11,7 @@ classifier over words and word beginnings, which scores every whole text.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ MINED = 600
 _WORD = regex.compile(r"\p{L}+")
 _SHOUT = regex.compile(r"\p{Lu}{4,}[^\p{L}]{0,4}!{2,}")
 _MASKED = regex.compile(r"\b\p{L}+[*@#]{2,}\p{L}+\b")
+_MARKS = regex.compile(r"[*@#]{2}")  # what a masked word holds; far quicker to look for
 
 
 def beginnings_of(word: str) -> list[str]:
@@ -147,7 +148,7 @@ class Voters:
         for f in found:
             out |= self.bits[f]
         last = len(self.names)
-        for i, on in enumerate((_SHOUT.search(text), _MASKED.search(text), hits >= 2, hits * 50 >= len(words) > 0)):
+        for i, on in enumerate((_SHOUT.search(text), _MARKS.search(text) and _MASKED.search(text), hits >= 2, hits * 50 >= len(words) > 0)):
             if on:
                 out |= 1 << last - 4 + i
         return out
@@ -221,15 +222,67 @@ class LabelModel:
         return self
 
 
+class _Kinds(dict):
+    """Words to kinds: words of one kind are the same features. Kind 0: of none."""
+
+    def __init__(self, features: Iterable[str], heads: dict[str, int]):
+        super().__init__()
+        self.features, self.heads = {f for f in features if "-" not in f}, heads
+        self.kinds: dict[tuple, int] = {("",) + (0,) * len(BEGINNINGS): 0}
+
+    def __missing__(self, word: str) -> int:
+        stems = [self.heads.get(b, 0) for b in beginnings_of(word)]
+        key = (word if word in self.features else "", *stems, *[0] * (len(BEGINNINGS) - len(stems)))
+        self[word] = kind = self.kinds.setdefault(key, len(self.kinds))
+        return kind
+
+
 class Classifier:
     """A sparse linear score over the words and beginnings that a text has."""
 
+    #: Words of texts that are scored at once.
+    RUN = 200_000
+
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.lexicon = weights, bias, Lexicon(weights)
+        # multiples of 2^-30 add up to the same in any order
+        self.weights = {f: round(w * 2**30) / 2**30 for f, w in weights.items()}
+        self.bias = round(bias * 2**30) / 2**30
+        self.heads = {b: i + 1 for i, b in enumerate(sorted({f.split("-")[0] for f in weights if "-" in f}))}
+        # by beginning and number of words that have it, which all fewer words also count for
+        self.rising = np.zeros((len(self.heads) + 1, max(REPEATS) + 1))
+        for b, i in self.heads.items():
+            self.rising[i] = [sum(self.weights.get(f"{b}-{n}", 0.0) for n in REPEATS if n <= k) for k in range(max(REPEATS) + 1)]
+        self.kinds = _Kinds(self.weights, self.heads)
 
     def score(self, text: str) -> float:
-        found, _ = self.lexicon.found(set(words_of(text)))
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in found), -40, 40))))
+        return float(self.scores([text])[0])
+
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        out, flat, sizes = [np.empty(0)], [], []
+        for text in texts:
+            if len(self.kinds) > 200_000:
+                out.append(self._sums(flat, sizes))
+                flat, sizes, self.kinds = [], [], _Kinds(self.weights, self.heads)
+            words = set(words_of(text))
+            flat.extend(map(self.kinds.__getitem__, words))
+            sizes.append(len(words))
+            if len(flat) > self.RUN:
+                out.append(self._sums(flat, sizes))
+                flat, sizes = [], []
+        out.append(self._sums(flat, sizes))
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -40, 40)))
+
+    def _sums(self, flat: list[int], sizes: list[int]) -> np.ndarray:
+        """The texts' sums of weights. flat: the kinds of their different words, text after text."""
+        kinds = list(self.kinds.kinds)
+        own = np.array([self.weights.get(k[0], 0.0) for k in kinds])
+        stems = np.array([k[1:] for k in kinds], np.int64)
+        ids, text = np.array(flat, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        text, ids = text[ids > 0], ids[ids > 0]
+        total = self.bias + np.bincount(text, own[ids], len(sizes))
+        of = stems[ids]
+        pairs, n = np.unique((text[:, None] * len(self.rising) + of)[of > 0], return_counts=True)
+        return total + np.bincount(pairs // len(self.rising), self.rising[pairs % len(self.rising), np.minimum(n, max(REPEATS))], len(sizes))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, epochs: int = 5) -> Classifier:
@@ -247,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
         share = F.when(F.col("label") == k, F.lit(int(1_000_000 * min(1.0, per_class / n)))).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     picked = known.where(drawn < share)
-    voters = Voters(mined(docs.join(known, "doc_id").select("text", "label")))
+    # labels grow with the documents: never broadcast, at any size
+    voters = Voters(mined(docs.join(known.hint("merge"), "doc_id").select("text", "label")))
     m = len(voters.names)
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "votes": [voters.votes(t) for t in b["text"]]})
 
     # the votes are joined with the labels, not the texts
-    cast = docs.select("doc_id", "text").mapInPandas(votes, "doc_id long, votes int").join(known, "doc_id", "left")
+    cast = docs.select("doc_id", "text").mapInPandas(votes, "doc_id long, votes int").join(known.hint("merge"), "doc_id", "left")
     told = cast.groupBy("votes", "label").agg(F.count("*").alias("n")).toPandas()
     rows = np.array(sorted(set(told["votes"])), np.int64)
     where = {v: i for i, v in enumerate(rows.tolist())}
@@ -270,15 +324,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # every feature of the bounded sample that five texts have at least
-        rows, seen = [], Counter()
+        first, number = [], {}
         for b in batches:
             for text in b["text"]:
-                fs = features_of(set(words_of(text)))
-                seen.update(fs)
-                rows.append((fs, posterior[voters.votes(text)]))
-        names = sorted(f for f, k in seen.items() if k >= 5)
-        number = {f: i for i, f in enumerate(names)}
-        rows = [(np.array(sorted(number[f] for f in fs if f in number), np.int64), y) for fs, y in rows]
+                ids = [number.setdefault(f, len(number)) for f in features_of(set(words_of(text)))]
+                first.append((np.array(ids, np.int32), posterior[voters.votes(text)]))
+        seen = np.zeros(len(number), np.int64)
+        for ids, _ in first:
+            seen[ids] += 1
+        names = sorted(f for f, i in number.items() if seen[i] >= 5)
+        place = np.full(len(number), -1)
+        place[[number[f] for f in names]] = np.arange(len(names))
+        number.clear()
+        rows = [(np.sort(at[at >= 0]), y) for at, y in ((place[ids], y) for ids, y in first)]
         f = Ftrl(len(names), 2, alpha=0.2, l1=1.0, l2=1e-2)
         positive = max(1.0, sum(y for _, y in rows))
         balance = min(2.0, max(1.0, (len(rows) - positive) / positive))
@@ -315,7 +373,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            s = np.array([m.score(t) for t in b["text"]])
+            s = m.scores(b["text"])
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     return picked.withColumn("held_out", held).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
