@@ -342,6 +342,24 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.score(empty, lab).count() == 0 and toxicity.score(odd, lab).count() == odd.count()
 
 
+def test_toxicity_scores_in_runs(monkeypatch):
+    """Scores of runs of texts are the sums of the weights of each text's features, wherever the runs end."""
+    rng = np.random.default_rng(4)
+    stock = ["".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(400)]
+    texts = ["", "12 !!", "abc ABC abc"] + [" ".join(rng.choice(stock, rng.integers(1, 60))) for _ in range(200)] + [" ".join(rng.choice(stock, 5000))]
+    seen = Counter(f for t in texts for f in toxicity.features_of(set(toxicity.words_of(t))))
+    weights = {f: float(rng.normal()) for f, n in sorted(seen.items()) if n >= 2}
+    assert any(f.endswith("-3") for f in weights) and any("-" not in f for f in weights)
+    want = [sum(weights.get(f, 0.0) for f in toxicity.features_of(set(toxicity.words_of(t)))) - 1 for t in texts]
+    want = 1 / (1 + np.exp(-np.clip(want, -40, 40)))
+    whole = toxicity.Classifier(weights, -1.0).scores(texts)
+    assert np.allclose(whole, want, atol=1e-6)
+    monkeypatch.setattr(toxicity.Classifier, "RUN", 100)
+    parted = toxicity.Classifier(weights, -1.0)
+    assert (parted.scores(texts) == whole).all() and (parted.scores(texts[::-1]) == whole[::-1]).all()
+    assert parted.score("") == whole[0] and len(parted.scores([])) == 0
+
+
 def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 50, 8)) + (" vile" if i % 2 else "") + (" zorblax" if i % 40 == 1 else ""), i % 2) for i in range(2000)]
