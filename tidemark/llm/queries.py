@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity
+from . import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity, url_filter
 from ._shared import table
 
 
+# Verdict, host and path of the rules on URLs.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.rollup(table(spark, sf_dir, "documents"), {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json")})
 
@@ -50,6 +54,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.junk_pages(pages), URL_RULES)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +70,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLE = {
@@ -69,4 +79,26 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+                   list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'),
+                                         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params,
+                   regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
+            FROM pages),
+        keyed AS (
+            SELECT page_id, host, path,
+                   regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+                   || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical,
+                   length(title) - length(translate(title, '#*$%|', '')) > 0.05 * length(title) AS junk
+            FROM parts),
+        rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+            FROM keyed, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT k.page_id, host, path, rule, canonical,
+               coalesce(verdict, CASE WHEN canonical <> '' AND canonical IN (SELECT canonical FROM keyed WHERE junk) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM keyed k LEFT JOIN fit USING (page_id)
+    """,
 }
