@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity, url_filter
 from ._shared import table
 
 
@@ -59,6 +59,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.junk_pages(pages), URL_RULES)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -71,8 +75,57 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
     "op11_url_filter": op11_url_filter,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _merkle_sql(depth: int = 5, upper: int = 4) -> str:
+    """DuckDB SQL of op13 for trees of up to 16^depth rows a source and 16^upper sources: a level is a common table."""
+    nibbles = []
+    for i in range(16):
+        c = i
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        nibbles.append(c)
+    # crc32 of the decimal doc_id: each byte is two steps of four bits
+    step = f"xor(xor(s, x) >> 4, ({nibbles}::BIGINT[])[(xor(s, x) & 15)::INT + 1])"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, 0]))), lambda s, x: {step}), 4294967295)"
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"rows AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {row('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {row(low)} ELSE {row('text')} END AS changed FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx FROM rows)",
+        "a0 AS (SELECT tree, idx, leaf AS digest FROM d)",
+    ]
+
+    def climb(name: str, levels: int) -> None:
+        for k in range(levels):
+            ctes.append(f"{name}{k}n AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n, idx // 16 AS up FROM {name}{k})")
+            ctes.append(f"{name}{k}r AS (SELECT tree, up, list(digest ORDER BY idx) AS run FROM {name}{k}n WHERE n > 1 GROUP BY tree, up)")
+            ctes.append(f"{name}{k + 1} AS (SELECT tree, up AS idx, sha256(array_to_string(run, '')) AS digest FROM {name}{k}r UNION ALL SELECT tree, idx, digest FROM {name}{k}n WHERE n = 1)")
+
+    climb("a", depth)
+    ctes.append(f"b0 AS (SELECT 'top' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, digest, tree AS source FROM a{depth})")
+    ctes.append("b0x AS (SELECT source AS tree, idx, digest FROM b0)")
+    climb("b", upper)
+    at = "SELECT doc_id, d.tree, d.idx, x.idx AS top_idx, x.digest AS subroot, leaf, changed AS cur, '' AS proof FROM d JOIN b0x x USING (tree)"
+    ctes.append(f"w0 AS ({at})")
+    k = 0
+    for name, levels in (("a", depth), ("b", upper)):
+        for lv in range(levels):
+            tree, idx = ("w.tree", "w.idx") if name == "a" else ("'top'", "w.top_idx")
+            slot = f"({idx} % 16)"
+            before, after = f"array_to_string(run[:{slot}], '')", f"array_to_string(run[{slot} + 2:], '')"
+            moved = f"{idx} // 16"
+            i, t = (f"CASE WHEN run IS NULL THEN w.idx ELSE {moved} END", "w.top_idx") if name == "a" else ("w.idx", f"CASE WHEN run IS NULL THEN w.top_idx ELSE {moved} END")
+            ctes.append(
+                f"w{k + 1} AS (SELECT doc_id, w.tree, {i} AS idx, {t} AS top_idx, subroot, leaf, CASE WHEN run IS NULL THEN cur ELSE sha256({before} || cur || {after}) END AS cur, "
+                f"CASE WHEN run IS NULL THEN proof ELSE proof || {before} || {after} END AS proof FROM w{k} w LEFT JOIN {name}{lv}r r ON r.tree = {tree} AND r.up = {moved})"
+            )
+            k += 1
+    return f"WITH {', '.join(c.replace(' AS (', ' AS MATERIALIZED (', 1) for c in ctes)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM w{k}, (SELECT digest AS root FROM b{upper})"
+
+
 ORACLE = {
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -101,4 +154,5 @@ ORACLE = {
                coalesce(verdict, CASE WHEN canonical <> '' AND canonical IN (SELECT canonical FROM keyed WHERE junk) THEN 'block' ELSE 'allow' END) AS verdict
         FROM keyed k LEFT JOIN fit USING (page_id)
     """,
+    "op13_merkle_manifest": _merkle_sql(),
 }
