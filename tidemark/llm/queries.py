@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, merkle, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, lexical_search, merkle, near_dedup, packing, quality_rules, secret_scan, token_counts, token_output, toxicity, url_filter
 from ._shared import table
 
 
@@ -59,6 +59,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.junk_pages(pages), URL_RULES)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_language_id": op10_language_id,
     "op11_url_filter": op11_url_filter,
+    "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -154,5 +159,23 @@ ORACLE = {
                coalesce(verdict, CASE WHEN canonical <> '' AND canonical IN (SELECT canonical FROM keyed WHERE junk) THEN 'block' ELSE 'allow' END) AS verdict
         FROM keyed k LEFT JOIN fit USING (page_id)
     """,
+    "op12_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM lengths),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+        weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, docs),
+        impacts AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // l))) AS impact
+            FROM tfs JOIN lengths USING (doc_id) JOIN weights USING (term), totals),
+        scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op13_merkle_manifest": _merkle_sql(),
 }
