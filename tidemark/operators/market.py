@@ -166,49 +166,37 @@ def concentration(df: DataFrame, by: list[str], weight: str, id_: str) -> DataFr
     return d.groupBy(*by).agg(*[F.sum(F.when(C("__r") <= n, C(weight))).alias(f"top{n}") for n in (1, 3, 5)], (1 - F.sum(weight)).alias("cash"))
 
 
-def next_level(level: int, before: float, loss: float, limits: tuple[float, float, float], recover: float) -> int:
-    """The level after a close: 0 normal, 1 warn, 2 reduce, 3 halt. before, loss: the fall from the peak at the last close and now.
-
-    Crossing the third limit halts, and only an action ends that; reducing lasts until the fall is under recover; a warning
-    goes with its reason.
-    """
-    warn, reduce, halt = limits
-    if level == 3 or before < halt <= loss:
-        return 3
-    if loss >= reduce or (level == 2 and loss >= recover):
-        return 2
-    return int(loss >= warn)
-
-
 def drawdown_state(df: DataFrame, account: str, order: str, equity: str, limits: tuple[float, float, float], recover: float, actions: DataFrame | None = None) -> DataFrame:
-    """(account, order, level, peak, loss) after each close, by next_level; the state depends on all days before, so each account is one group.
+    """(account, order, level, peak, loss) after each close: 0 normal, 1 warn, 2 reduce, 3 halt by the limits.
 
-    actions: (account, order, kind, peak): "reset" starts at normal from a new peak, "resume" turns a halt into reducing;
-    one on a day of a close comes after it.
+    * A halt begins with a close whose loss crosses the third limit from below, and lasts until an action.
+    * Reducing begins with a loss at the second limit or a resumed halt, and ends with a loss under recover.
+    * A warning is given at a loss of the first limit.
+
+    actions: (account, order, kind, peak): "reset" starts anew from a peak, "resume" ends a halt; one on the day of a close
+    comes after it. Halts are spans from a crossing to the next action, reducing is what its last begin or end says: windows
+    over the account's closes and actions in one order.
     """
-    t = dict(df.dtypes)
-    rows = df.select(account, order, C(equity).cast("double").alias("equity"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("peak"))
+    warn, reduce, halt = limits
+    rows = df.select(account, order, C(equity).cast("double").alias("__e"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("__p"))
     if actions is not None:
-        rows = rows.unionByName(actions.select(account, order, F.lit(None).cast("double").alias("equity"), "kind", C("peak").cast("double").alias("peak")))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(late=g["kind"].notna()).sort_values([order, "late"], kind="stable")
-        top, level, loss, out = -math.inf, 0, 0.0, []
-        for e, kind, peak in zip(g["equity"], g["kind"], g["peak"], strict=True):
-            if kind == "reset":
-                top, level, loss = peak, 0, 0.0
-            elif kind == "resume":
-                level = 2 if level == 3 else level
-            else:
-                top, before = max(top, e), loss
-                loss = 1 - e / top
-                level = next_level(level, before, loss, limits, recover)
-            out.append((level, top, loss))
-        g[["level", "top", "loss"]] = out
-        g = g[~g["late"]]
-        return pd.DataFrame({account: g[account], order: g[order], "level": g["level"].astype("int32"), "peak": g["top"], "loss": g["loss"]})
-
-    return rows.groupBy(account).applyInPandas(run, f"{account} {t[account]}, {order} {t[order]}, level int, peak double, loss double")
+        rows = rows.unionByName(actions.select(account, order, F.lit(None).cast("double").alias("__e"), "kind", C("peak").cast("double").alias("__p")))
+    timeline = [C(order), C("kind").isNotNull()]
+    so_far = Window.partitionBy(account).orderBy(*timeline).rowsBetween(Window.unboundedPreceding, 0)
+    # a reset opens an era with its peak; an action closes a spell, and the next one begins unhalted
+    d = rows.withColumn("__era", F.count_if(F.coalesce(C("kind") == "reset", F.lit(False))).over(so_far))
+    d = d.withColumn("__spell", F.count("kind").over(so_far) - C("kind").isNotNull().cast("int"))
+    era = Window.partitionBy(account, "__era").orderBy(*timeline)
+    spell = Window.partitionBy(account, "__spell").orderBy(*timeline)
+    d = d.withColumn("peak", F.max(F.coalesce("__e", "__p")).over(era.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("loss", 1 - C("__e") / C("peak"))
+    before = F.coalesce(F.last("loss", True).over(era.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    d = d.withColumn("__crossed", F.coalesce((before < halt) & (C("loss") >= halt), F.lit(False)))
+    d = d.withColumn("__halted", F.max("__crossed").over(spell.rowsBetween(Window.unboundedPreceding, 0)))
+    says = F.when((C("loss") >= reduce) | ((C("kind") == "resume") & C("__halted")), True).when((C("loss") < recover) | (C("kind") == "reset"), False)
+    d = d.withColumn("__reducing", F.coalesce(F.last(says, True).over(so_far), F.lit(False)))
+    level = F.when(C("__halted"), 3).when(C("__reducing"), 2).when(C("loss") >= warn, 1).otherwise(0)
+    return d.where("kind IS NULL").select(account, order, level.alias("level"), "peak", "loss")
 
 
 def panic_fraction(df: DataFrame, day: str, rsi: str, below: float = 30.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import market
 
 from . import views
+from .q_streams import LEVELS_SQL
 from .registry import query
 
 C = F.col
@@ -221,7 +222,11 @@ def r04(spark, sf):
     return x.groupBy("idx").agg(F.round(F.sum("loss") / F.count("*"), 6).alias("loss"))
 
 
-@query("r05_drawdown_state", None)
+_LEVELS = """, g AS (SELECT sid AS k, d AS t, 1000 + sum(amount - 10 * volume) OVER (PARTITION BY sid ORDER BY d ROWS UNBOUNDED PRECEDING) AS e FROM bars), a AS (SELECT k, max(t) - 5 AS t FROM g WHERE k % 7 = 0 GROUP BY k), x AS (SELECT g.*, 0 AS era, CAST(g.t > a.t AS INT) AS spell FROM g LEFT JOIN a USING (k))""" + LEVELS_SQL.format(halt=0.1) + """,
+    s AS (SELECT k, t, 0 AS o, CASE WHEN loss >= 0.05 THEN true WHEN loss < 0.02 THEN false END AS says FROM c UNION ALL SELECT a.k, a.t, 1, CASE WHEN max(c.halted AND c.spell = 0) THEN true END FROM a JOIN c USING (k) GROUP BY a.k, a.t), r AS (SELECT k, t, o, last_value(says IGNORE NULLS) OVER (PARTITION BY k ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS reducing FROM s)"""
+
+
+@query("r05_drawdown_state", _LEVELS + " SELECT c.k AS account, c.t AS d, CASE WHEN halted THEN 3 WHEN reducing THEN 2 WHEN loss >= 0.01 THEN 1 ELSE 0 END AS level, round(peak, 6) AS peak, round(loss, 6) AS loss FROM c JOIN r ON r.k = c.k AND r.t = c.t AND o = 0", "bars")
 def r05(spark, sf):
     """An account for each user: what its events brought so far; every seventh account is resumed on one day."""
     w = Window.partitionBy("account").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)

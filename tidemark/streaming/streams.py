@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.market import next_level
-
 C = F.col
 
 
@@ -37,57 +36,69 @@ def stream_runs(s: DataFrame, by: str, time: str, gap: str, delay: str) -> DataF
     return g.select(by, C("w.start").alias("start"), C("w.end").alias("end"), "n")
 
 
-def stream_fold_consecutive(s: DataFrame, unit: str, time: str, payload: str, delay: str) -> DataFrame:
-    """Rows whose payload differs from the one before, in the order of event time.
+def _in_order(s: DataFrame, unit: str, time: str, value: str, kind: str, delay: str, out: str, state: str, start: tuple, step) -> DataFrame:
+    """Rows of each unit in the order of event time, whatever order they come in.
 
-    A unit's rows wait in its state until the watermark is past them, then they are compared with the last one let through.
+    They wait in the unit's state until the watermark is past them; step(state, times, values) then gives the new state and
+    the rows to emit.
     """
-    t = dict(s.dtypes)
-    out = f"{unit} {t[unit]}, {time} {t[time]}, {payload} string"
-    state = "last string, times array<bigint>, payloads array<string>"
+    columns = [c.split()[0] for c in out.split(", ")]
 
     def run(key, batches: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        last, times, payloads = st.get if st.exists else (None, [], [])
-        rows = list(zip(times, payloads, strict=True))
+        *own, times, values = st.get if st.exists else (*start, [], [])
+        rows = list(zip(times, values, strict=True))
         if not st.hasTimedOut:
             for b in batches:
-                rows += list(zip(b[time].astype("datetime64[us]").astype("int64").tolist(), b[payload].tolist(), strict=True))
+                rows += zip(b[time].astype("datetime64[us]").astype("int64").tolist(), b[value].tolist(), strict=True)
         rows.sort()
         mark = st.getCurrentWatermarkMs() * 1000
-        done = []
-        while rows and rows[0][0] < mark:
-            at, p = rows.pop(0)
-            if p != last:
-                done.append((key[0], pd.Timestamp(at, unit="us"), p))
-                last = p
-        st.update((last, [r[0] for r in rows], [r[1] for r in rows]))
+        n = sum(at < mark for at, _ in rows)
+        done, rows = rows[:n], rows[n:]
+        emitted = []
+        if done:
+            own, emitted = step(tuple(own), [r[0] for r in done], [r[1] for r in done])
+        st.update((*own, [r[0] for r in rows], [r[1] for r in rows]))
         if rows:
             st.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, st.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=[unit, time, payload])
+        if emitted:
+            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="us"), *v) for at, *v in emitted], columns=columns)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return s.select(unit, time, payload).withWatermark(time, delay).groupBy(unit).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    state = f"{state}, times array<bigint>, waiting array<{kind}>"
+    return s.select(unit, time, value).withWatermark(time, delay).groupBy(unit).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_drawdown(s: DataFrame, account: str, time: str, equity: str, limits: tuple[float, float, float], recover: float) -> DataFrame:
-    """(account, time, level) of each batch's rows by market.next_level; what a later batch brings counts as later."""
+def stream_fold_consecutive(s: DataFrame, unit: str, time: str, payload: str, delay: str) -> DataFrame:
+    """Rows whose payload differs from the one before, in the order of event time."""
     t = dict(s.dtypes)
 
-    def run(key, batches: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        peak, level, loss = st.get if st.exists else (float("-inf"), 0, 0.0)
-        out = []
-        for at, e in sorted(r for b in batches for r in zip(b[time].tolist(), b[equity].tolist(), strict=True)):
-            peak, before = max(peak, e), loss
-            loss = 1 - e / peak
-            level = next_level(level, before, loss, limits, recover)
-            out.append((key[0], at, level))
-        st.update((peak, level, loss))
-        yield pd.DataFrame(out, columns=[account, time, "level"])
+    def step(own, times, payloads):
+        kept = [(at, p) for at, p, last in zip(times, payloads, [own[0], *payloads], strict=False) if p != last]
+        return (payloads[-1],), kept
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    return _in_order(s, unit, time, payload, "string", delay, f"{unit} {t[unit]}, {time} {t[time]}, {payload} string", "last string", (None,), step)
 
-    return s.select(account, time, equity).groupBy(account).applyInPandasWithState(run, f"{account} {t[account]}, {time} {t[time]}, level int", "peak double, level int, loss double", "append", GroupStateTimeout.NoTimeout)
+
+def stream_drawdown(s: DataFrame, account: str, time: str, equity: str, limits: tuple[float, float, float], recover: float, delay: str) -> DataFrame:
+    """(account, time, level) of each row in the order of event time, by the rules of market.drawdown_state without actions."""
+    t = dict(s.dtypes)
+    warn, reduce, halt = limits
+
+    def step(own, times, values):
+        peak, loss, halted, reducing = own
+        peaks = np.maximum.accumulate([peak, *values])[1:]
+        losses = 1 - np.array(values) / peaks
+        crossed = (np.r_[loss, losses[:-1]] < halt) & (losses >= halt)
+        halts = np.logical_or.accumulate(np.r_[halted, crossed])[1:]
+        # the last row that begins (1) or ends (0) reducing decides
+        says = np.r_[int(reducing), np.select([losses >= reduce, losses < recover], [1, 0], -1)]
+        last = np.maximum.accumulate(np.where(says >= 0, np.arange(len(says)), 0))[1:]
+        levels = np.select([halts, says[last] == 1, losses >= warn], [3, 2, 1], 0)
+        return (float(peaks[-1]), float(losses[-1]), bool(halts[-1]), bool(says[last[-1]])), [(at, int(v)) for at, v in zip(times, levels, strict=True)]
+
+    start = (float("-inf"), 0.0, False, False)
+    return _in_order(s, account, time, equity, "double", delay, f"{account} {t[account]}, {time} {t[time]}, level int", "peak double, loss double, halted boolean, reducing boolean", start, step)
 
 
 def split_late(batch: DataFrame, high_water: DataFrame, by: str, time: str, allowed: str) -> tuple[DataFrame, DataFrame]:
@@ -97,6 +108,51 @@ def split_late(batch: DataFrame, high_water: DataFrame, by: str, time: str, allo
     return j.where(~late).drop("high"), j.where(late).drop("high")
 
 
+class Quarantine:
+    """Micro-batches split into rows in time and late ones, against the time that each key had reached before the batch.
+
+    Under root: in_time, late and high, a folder a batch. A batch writes its own folders anew, from the high-water table of
+    the batch before it, so a batch that is run again changes nothing. Old high-water tables are kept for `keep` batches.
+    """
+
+    def __init__(self, root: str, by: str, time: str, allowed: str, keep: int = 3):
+        self.root, self.by, self.time, self.allowed, self.keep = root, by, time, allowed, keep
+
+    def _folder(self, spark, path: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+    def high_before(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """(by, high) as of the last batch before this one; empty at first."""
+        spark = batch.sparkSession
+        for n in range(batch_id - 1, max(-1, batch_id - 1 - self.keep), -1):
+            fs, p = self._folder(spark, f"{self.root}/high/batch={n}/_SUCCESS")
+            if fs.exists(p):
+                return spark.read.parquet(f"{self.root}/high/batch={n}")
+        return batch.select(self.by, C(self.time).alias("high")).limit(0)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        high = self.high_before(batch, batch_id)
+        in_time, late = split_late(batch, high, self.by, self.time, self.allowed)
+        in_time.write.mode("overwrite").parquet(f"{self.root}/in_time/batch={batch_id}")
+        late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
+        now = high.unionByName(batch.select(self.by, C(self.time).alias("high"))).groupBy(self.by).agg(F.max("high").alias("high"))
+        now.write.mode("overwrite").parquet(f"{self.root}/high/batch={batch_id}")
+        if batch_id >= self.keep:
+            fs, p = self._folder(batch.sparkSession, f"{self.root}/high/batch={batch_id - self.keep}")
+            fs.delete(p, True)
+
+    def run(self, s: DataFrame) -> None:
+        """All that is there now, in one batch or several."""
+        q = s.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    def rows(self, spark) -> DataFrame:
+        """All rows with their batch and whether they were late."""
+        read = lambda kind, late: spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}/batch=*").withColumn("late", F.lit(late))
+        return read("in_time", False).unionByName(read("late", True))
+
+
 def drain(s: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote."""
     q = s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
