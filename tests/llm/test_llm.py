@@ -165,6 +165,22 @@ def test_packing_plan_fills_up():
     assert sequences <= sum(k * n for k, n in lengths.items()) / 4096 * 1.01 + 1
 
 
+def test_packing_plan_does_not_grow_with_the_pieces():
+    rng = np.random.default_rng(2)
+    lengths = Counter(np.clip(rng.lognormal(6, 1, 6_000), 1, 4096).astype(int).tolist())
+    few, many = (packing.plan({k: n * m for k, n in lengths.items()}, 4096) for m in (10, 1000))
+    assert len(many) < 2 * len(few) and len(many) < 25 * 4096
+    share = [sum(len(p) * n for p, n in packing.fit({k: n * m for k, n in lengths.items()}, 4096)) / (6_000 * m) for m in (10, 1000)]
+    assert min(share) > 0.5 and abs(share[0] - share[1]) < 0.01
+    places = packing.Places(many)
+    for k in (1, 400, 4096):
+        rows = many[many["length"] == k]
+        for r in rows.itertuples():
+            rank = np.array([r.lo, r.hi - 1])
+            sequence, offset = places.find(np.array([k, k]), rank)
+            assert sequence.tolist() == [r.sequence, r.sequence + r.hi - 1 - r.lo] and offset.tolist() == [r.offset] * 2
+
+
 def test_exact_dedup(spark, docs, texts, odd, empty):
     groups = defaultdict(list)
     for i, t in texts.items():

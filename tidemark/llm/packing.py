@@ -3,9 +3,10 @@
 Only the histogram of piece lengths is planned on, which has at most max_len entries however many documents there are.
 Patterns of one to five pieces that fill a sequence exactly are enumerated: one length, two, or two and up to three pieces
 of a third. Non-negative least squares fits how often each is repeated so that the patterns' lengths come near the
-histogram (multiplicative steps, which keep counts positive); the counts are rounded up, largest first, as far as there
-are pieces. What remains is packed best fit, longest first, a whole run of equal lengths at a time. The plan says, for
-the pieces of each length in their order, which sequence and offset they take; pieces find their place by rank, so no
+histogram (multiplicative steps, which keep counts positive): once over all patterns, to choose a few for each length, then
+in earnest over those. Counts are rounded, largest first, as far as there are pieces; what remains is fitted again and at
+last packed best fit, longest first, a whole run of equal lengths at a time. The plan has a few rows a length however many
+pieces there are; a piece finds its place by its rank among those of its length with a binary search in the plan, so no
 task holds more than its own rows. The table of patterns takes about a quarter of max_len squared rows on the driver.
 """
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from ._shared import whole_text, written
 from ._tokens import library_encoder
 
-#: Ranks of one length that are looked up together.
-_BLOCK = 4096
+#: Fits of what the ones before left, how many of the last repeat patterns as often as they can, and the share of the
+#: squares that a step must gain.
+ROUNDS, AS_THEY_COME, TOLERANCE = 10, 5, 1e-3
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -56,37 +58,64 @@ def patterns(lengths: list[int], max_len: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, _MOST), kind)
 
 
-def fit(histogram: dict[int, int], max_len: int, rounds: int = 10) -> list[tuple[tuple[int, ...], int]]:
-    """Repeat counts of patterns: least squares against the histogram with x >= 0, rounded, never beyond what is there."""
-    found = patterns(list(histogram), max_len)
-    wanted = np.zeros(max_len + 1)
-    wanted[list(histogram)] = list(histogram.values())
+def _steps(found: np.ndarray, wanted: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Least squares with x >= 0 by multiplicative steps, until a step gains less than TOLERANCE of the squares, or most."""
 
     def over(values: np.ndarray) -> np.ndarray:
         """The sum of values over each pattern's pieces."""
         return sum(values[found[:, c]] for c in range(_MOST))
 
-    x, target = np.full(len(found), 1e-3), over(wanted)
-    for _ in range(rounds):
-        made = np.zeros(max_len + 1)
-        for c in range(_MOST):
-            np.add.at(made, found[:, c], x)
+    target, squares = over(wanted), math.inf
+    for _ in range(most):
+        made = np.bincount(found[:, 0], x, len(wanted))
+        for c in range(1, _MOST):
+            made += np.bincount(found[:, c], x, len(wanted))
         made[0] = 0
-        x *= target / np.maximum(over(made), 1e-12)
-    there, out = wanted.astype(np.int64), []
-    there[0] = 1 << 62  # padding is never short
+        now = float(((made - wanted)[1:] ** 2).sum())
+        if now > squares * (1 - TOLERANCE):
+            break
+        squares = now
+        x = x * target / np.maximum(over(made), 1e-12)
+    return x
+
+
+def _support(found: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The patterns that are the most repeated ones of some length: at most _MOST for each length."""
     order = np.argsort(-x, kind="stable")
-    while len(order):
-        for p in order[:20_000].tolist():
-            lengths = tuple(k for k in found[p].tolist() if k)
-            n = min(math.ceil(x[p]), *(int(there[k]) // lengths.count(k) for k in lengths))
+    first = [order[np.unique(found[order, c], return_index=True)[1]] for c in range(_MOST)]
+    return np.unique(np.concatenate(first))
+
+
+def fit(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """Repeat counts of patterns: least squares against the histogram with x >= 0, rounded, never beyond what is there.
+
+    A first fit over all patterns chooses those that are fitted in earnest, at most _MOST for each length; so counts grow
+    with the histogram while their number doesn't. What rounding leaves is fitted again; in the last rounds each
+    pattern is repeated as often as there are pieces.
+    """
+    found = patterns(list(histogram), max_len)
+    there = np.zeros(max_len + 1, np.int64)
+    there[list(histogram)] = list(histogram.values())
+    out: dict[tuple[int, ...], int] = {}
+    for turn in range(ROUNDS):
+        there[0] = 1  # padding is never short
+        found = found[np.logical_and.reduce([there[found[:, c]] > 0 for c in range(_MOST)])]
+        if not len(found):
+            break
+        wanted = there.astype(float)
+        wanted[0] = 0
+        some = found[_support(found, _steps(found, wanted, np.full(len(found), 1e-3), 10))]
+        x = _steps(some, wanted, np.full(len(some), 1.0), 200)
+        there[0] = 1 << 62
+        for p in np.argsort(-x, kind="stable").tolist():
+            lengths = tuple(k for k in some[p].tolist() if k)
+            most = min(int(there[k]) // lengths.count(k) for k in lengths)
+            n = most if turn >= ROUNDS - AS_THEY_COME else min(round(x[p]), most)
             if n > 0:
-                out.append((lengths, n))
+                out[lengths] = out.get(lengths, 0) + n
                 for k in lengths:
                     there[k] -= n
-        order = order[20_000:]
-        order = order[np.logical_and.reduce([there[found[order, c]] > 0 for c in range(_MOST)])]
-    return out
+    return list(out.items())
 
 
 def best_fit(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
@@ -130,7 +159,7 @@ def best_fit(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, .
 
 
 def plan(histogram: dict[int, int], max_len: int) -> pd.DataFrame:
-    """(length, lo, hi, sequence, offset): of the pieces of a length, those with ranks lo <= r < hi go to sequence + r - lo."""
+    """(length, lo, hi, sequence, offset), sorted: of a length's pieces, those with ranks lo <= r < hi go to sequence + r - lo."""
     fitted = fit(histogram, max_len)
     rest = dict(histogram)
     for lengths, n in fitted:
@@ -144,7 +173,24 @@ def plan(histogram: dict[int, int], max_len: int) -> pd.DataFrame:
             given[k] += n
             offset += k
         sequence += n
-    return pd.DataFrame(rows, columns=["length", "lo", "hi", "sequence", "offset"]).astype("int64")
+    slots = pd.DataFrame(rows, columns=["length", "lo", "hi", "sequence", "offset"]).astype("int64")
+    return slots.sort_values(["length", "lo"], ignore_index=True)
+
+
+class Places:
+    """A plan to look ranks up in: a binary search among a length's rows, which follow each other without gaps."""
+
+    def __init__(self, slots: pd.DataFrame):
+        self.length, self.lo, self.sequence, self.offset = (slots[c].to_numpy() for c in ("length", "lo", "sequence", "offset"))
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces."""
+        lo, hi = np.searchsorted(self.length, length), np.searchsorted(self.length, length, "right") - 1
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            right = self.lo[mid] <= rank
+            lo, hi = np.where(right, mid, lo), np.where(right, hi, np.maximum(lo, mid - 1))
+        return self.sequence[lo] + rank - self.lo[lo], self.offset[lo]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, max_len: int) -> DataFrame:
@@ -183,12 +229,15 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, max_len: int = 4096)
     cut = written(pieces(docs, vocabulary, end_id, max_len), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     totals = by_task.groupBy("length").agg(F.sum("n").alias("n"))
-    # at most max_len rows, whatever the table's size
+    # at most max_len rows, whatever the table's size, and so is the plan that goes to the tasks: see fit and best_fit
     slots = plan({r["length"]: r["n"] for r in totals.collect()}, max_len)
     before = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.expr(f"rank div {_BLOCK}"))
-    places = spark.createDataFrame(slots, "length long, lo long, hi long, sequence long, offset long")
-    places = places.withColumn("block", F.explode(F.expr(f"sequence(lo div {_BLOCK}, (hi - 1) div {_BLOCK})")))
-    # both sides are keyed by length and block of ranks: a length that many pieces have is spread over its blocks
-    out = ranked.join(places, ["length", "block"]).where("rank >= lo AND rank < hi")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "task", "nth")
+    places = Places(slots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sequence, offset = places.find(b["length"].to_numpy(), b["rank"].to_numpy())
+            yield b.drop(columns="rank").assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
+
+    return ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
