@@ -32,6 +32,32 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], on: str, valu
     return _asof(left, right, by, on, values, True, False)
 
 
+def scheduled(df: DataFrame, at: str, schedule: DataFrame, values: list[str], forward: bool = False) -> DataFrame:
+    """df with the values of the schedule's (d, values) last entry on or before the date at (forward: the first on or after).
+
+    For schedules without a key of their own, such as rates or calendars. An entry a day at most. Dates meet the entries of
+    their month and the one carried into it by equality on the month, so rows stay where they are and no task holds all.
+    """
+    lo, hi = schedule.agg(F.add_months(F.trunc(F.min("d"), "month"), -1), F.add_months(F.trunc(F.max("d"), "month"), 1)).first()
+    if lo is None:
+        return df.withColumns({v: F.lit(None).cast(dict(schedule.dtypes)[v]) for v in values})
+    month = lambda c: F.greatest(F.lit(lo), F.least(F.lit(hi), F.trunc(c, "month"))).alias("__m")
+    entry = F.struct("d", *values)
+    own = schedule.select(month(F.col("d")), entry.alias("e")).groupBy("__m").agg(F.array_sort(F.collect_list("e")).alias("own"))
+    months = schedule.sparkSession.range(1).select(F.explode(F.expr(f"sequence(date'{lo}', date'{hi}', interval 1 month)")).alias("__m")).join(own, "__m", "left")
+    w = Window.orderBy("__m")  # a row a month
+    rest = w.rowsBetween(1, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, -1)
+    near = F.get("own", F.lit(0)) if forward else F.try_element_at("own", F.lit(-1))
+    carried = (F.first if forward else F.last)(near, True).over(rest)
+    there = F.coalesce("own", F.array().cast(dict(own.dtypes)["own"]))
+    months = months.withColumn("c", F.array_compact(F.array(carried))).select("__m", (F.concat(there, "c") if forward else F.concat("c", there)).alias("__e"))
+    d = df.withColumn("__m", month(F.col(at))).join(months, "__m", "left")
+    fits = F.filter("__e", lambda e: e["d"] >= F.col(at) if forward else e["d"] <= F.col(at))
+    found = F.get(fits, F.lit(0)) if forward else F.try_element_at(fits, F.lit(-1))
+    d = d.withColumn("__f", found)
+    return d.select(*df.columns, *[F.col(f"__f.{v}").alias(v) for v in values])
+
+
 def range_join(points: DataFrame, ranges: DataFrame, by: list[str], at: str, lo: str, hi: str) -> DataFrame:
     """Points inside ranges, both by integer session: ranges are spread over their sessions, then joined by equality."""
     spread = ranges.where(F.col(lo) <= F.col(hi)).withColumn(at, F.explode(F.sequence(lo, hi)))
@@ -61,11 +87,10 @@ def match_best(units: DataFrame, seen: DataFrame, by: list[str], at: str, value:
 
 
 def suppress_near_dups(events: DataFrame, by: list[str], day: str, rank: str, days: int) -> DataFrame:
-    """Events without those that one of a better (lower) rank has within so many days."""
-    better = events.select(*by, F.col(day).alias("__d"), F.col(rank).alias("__r"))
-    cond = [events[c].eqNullSafe(better[c]) for c in by]
-    near = (F.abs(F.datediff(events[day], better["__d"])) <= days) & (better["__r"] < events[rank])
-    return events.join(better, [*cond, near], "left_anti")
+    """Events without those that one of a better (lower) rank has within so many days: one window, no pairs."""
+    w = Window.partitionBy(*by).orderBy(F.unix_date(day)).rangeBetween(-days, days)
+    d = events.withColumn("__best", F.min(rank).over(w))
+    return d.where(F.col("__best").isNull() | F.col(rank).isNull() | (F.col("__best") >= F.col(rank))).drop("__best")
 
 
 def diff_builds(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
@@ -83,12 +108,18 @@ def diff_builds(before: DataFrame, after: DataFrame, keys: list[str], columns: l
 
 
 def previous_opinion(df: DataFrame, by: list[str], day: str, known: str, value: str) -> DataFrame:
-    """The value of the latest earlier record that was known by a record's day, and when it was known."""
-    at = F.struct(F.col(day).alias("d"), F.col(known).alias("k"), F.col(value).alias("v"))
-    # all earlier records of one source and security, a short list
-    past = F.collect_list(at).over(Window.partitionBy(*by).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("__p", F.array_max(F.filter(past, lambda x: x["k"] <= F.col(day))))
-    return d.select(*df.columns, F.col("__p.v").alias("prev_value"), F.col("__p.k").alias("prev_known"))
+    """The value of the latest earlier record that was known by a record's day, and when it was known.
+
+    A record can be found from the day after its own on, once it is known. In the order of that time, each record takes the
+    best of those that entered before it: a running maximum, whatever the length of a history.
+    """
+    entry = F.struct(F.col(day).alias("d"), F.col(known).alias("k"), F.col(value).alias("v"))
+    rows = df.select("*", F.col(day).alias("__at"), F.lit(1).alias("__asks"), F.lit(None).cast(df.select(entry.alias("e")).schema["e"].dataType).alias("__e"))
+    come = df.where(F.col(known).isNotNull() & F.col(day).isNotNull())
+    come = come.select("*", F.greatest(F.col(known), F.date_add(day, 1)).alias("__at"), F.lit(0).alias("__asks"), entry.alias("__e"))
+    w = Window.partitionBy(*by).orderBy("__at", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = rows.unionByName(come).withColumn("__p", F.max("__e").over(w))
+    return d.where("__asks = 1").select(*df.columns, F.col("__p.v").alias("prev_value"), F.col("__p.k").alias("prev_known"))
 
 
 def link_corrections(df: DataFrame, by: list[str], filed: str, id_: str, correction: Column) -> DataFrame:

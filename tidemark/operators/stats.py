@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import ranks
 
 from . import joins
+from .measures import normal_cdf, normal_quantile
 
 C = F.col
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Spark has no error function."""
-    n = NormalDist()
-    return x.map(lambda v: None if v is None or math.isnan(v) else n.cdf(v))
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    n = NormalDist()
-    return p.map(lambda v: n.inv_cdf(v) if 0 < v < 1 else None)
-
-
 def forward_labels(df: DataFrame, by: list[str], idx: str, price: str, last_idx: int, horizons: list[int]) -> DataFrame:
     """(by, idx, horizon, label, status): the return to the session horizon later, or why there is none."""
     h = df.select(*by, idx, C(price).alias("__entry"), F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
@@ -153,8 +138,8 @@ def rolling_sharpe(curve: DataFrame, by: list[str], order: str, equity: str, n:
 def excess_returns(curve: DataFrame, rates: DataFrame, by: list[str], order: str, equity: str) -> DataFrame:
     """Returns over the base rate (a year's, known from its day on), by actual days over 365."""
     d = with_returns(curve, by, order, equity)
-    d = d.withColumn("__days", F.datediff(order, F.lag(order).over(Window.partitionBy(*by).orderBy(order)))).withColumn("__k", F.lit(1))
-    j = joins.asof_backward(d, rates.select(F.lit(1).alias("__k"), C("d").alias(order), "rate"), ["__k"], order, ["rate"])
+    d = d.withColumn("__days", F.datediff(order, F.lag(order).over(Window.partitionBy(*by).orderBy(order))))
+    j = joins.scheduled(d, order, rates, ["rate"])
     return j.select(*by, order, (C("ret") - C("rate") * C("__days") / 365).alias("excess"))
 
 

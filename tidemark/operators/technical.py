@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import series
 
 C = F.col
+#: Width of a cell of prices, as a logarithm.
+CELL = 0.05
 
 
 def sma(by, order, c: Column, n: int) -> Column:
@@ -254,10 +256,16 @@ def nearest_levels(levels: DataFrame, by: str, level: str, price: str, tolerance
 
 
 def reactions(df: DataFrame, levels: DataFrame, by: str, order: str, tolerance: float, ahead: int) -> DataFrame:
-    """Touches of levels: (by, order, level, bounced): whether the close ahead sessions later is farther from the level."""
+    """Touches of levels: (by, order, level, bounced): whether the close ahead sessions later is farther from the level.
+
+    Bars and levels meet in cells of price: a bar is in those that its range crosses, a level in one.
+    """
     w = Window.partitionBy(by).orderBy(order)
-    d = df.withColumn("__f", F.lead("close", ahead).over(w))
-    j = d.join(levels.select(by, "level"), by).where((C("low") <= C("level") * (1 + tolerance)) & (C("high") >= C("level") * (1 - tolerance)))
+    d = df.withColumn("__f", F.lead("close", ahead).over(w)).where("high > 0")
+    cell = lambda p: F.floor(F.log(F.greatest(p, F.lit(1e-9))) / CELL)
+    d = d.withColumn("__cell", F.explode(F.sequence(cell(C("low") / (1 + tolerance)) - 1, cell(C("high") / (1 - tolerance)) + 1)))
+    j = d.join(levels.select(by, "level", cell(C("level")).alias("__cell")), [by, "__cell"])
+    j = j.where((C("low") <= C("level") * (1 + tolerance)) & (C("high") >= C("level") * (1 - tolerance)))
     return j.select(by, order, "level", (F.abs(C("__f") - C("level")) > F.abs(C("close") - C("level"))).alias("bounced"))
 
 

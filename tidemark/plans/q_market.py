@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import market
+from tidemark.operators import joins, market
 
 from . import views
 from .q_streams import LEVELS_SQL
@@ -159,9 +159,7 @@ def b17(spark, sf):
     # A schedule of rates by their first day.
     rates = spark.createDataFrame([("1990-01-01", 0.003), ("1996-06-01", 0.0025), ("1999-01-01", 0.002)], "d string, rate double").select(C("d").cast("date").alias("d"), "rate")
     o = views.read(spark, sf, "orders").select("o_orderkey", C("o_orderdate").cast("date").alias("d"))
-    hit = C("__d") <= C("d")
-    j = o.join(F.broadcast(rates.select(C("d").alias("__d"), "rate")), hit, "left")
-    return j.groupBy("o_orderkey").agg(F.max_by("rate", "__d").alias("rate"))
+    return joins.scheduled(o, "d", rates, ["rate"]).select("o_orderkey", "rate")
 
 
 @query("b18_impact_scale", ", r AS (SELECT sid, idx, close / nullif(lag(close) OVER (PARTITION BY sid ORDER BY idx), 0) - 1 AS ret, amount FROM panel) SELECT sid, idx, CASE WHEN count(ret) OVER w >= 3 THEN round(stddev_samp(ret) OVER w * sqrt(50.0 / avg(amount) OVER w), 6) END AS impact FROM r WINDOW w AS (PARTITION BY sid ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)", "panel")

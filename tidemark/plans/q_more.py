@@ -99,7 +99,7 @@ def d06(spark, sf):
     e = e.select(C("user_id").alias("sid"), F.date_add(C("ts").cast("date"), 1).alias("d"), "event_id", F.when(C("event_id") % 7 == 0, 1 + C("event_id") % 4).otherwise(1).alias("ratio"))
     one = versions.first_version(e, ["sid", "d"], ["event_id"])
     cal = views.calendar(views.bars(spark, sf)).select("d", C("d").alias("effective"))
-    j = joins.asof_forward(one.select("sid", "d", "ratio", "n_src_rows", F.lit(1).alias("k")), cal.withColumn("k", F.lit(1)), ["k"], "d", ["effective"])
+    j = joins.scheduled(one.select("sid", "d", "ratio", "n_src_rows"), "d", cal, ["effective"], forward=True)
     reason = F.when(C("effective").isNull(), "after_calendar").when(C("ratio") == 1, "no_change")
     return j.select("sid", "d", "ratio", "n_src_rows", "effective", reason.alias("reject_reason"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, stats
+from tidemark.operators import joins, measures, stats
 
 from . import views
 from .registry import query
@@ -55,11 +55,27 @@ def e04(spark, sf):
     return rnd(stats.factor_returns(p, ["idx"], "sid", "cap", "v", "r"), "mkt", "smb", "hml")
 
 
-@query("e05_newey_west", None)
+_NW = """, s AS (SELECT {key}, {order} AS t, {y} AS y, {x} AS x FROM {source}), m AS (SELECT *, avg(x) OVER p AS mx, avg(y) OVER p AS my, count(*) OVER p AS n, row_number() OVER (PARTITION BY {key} ORDER BY t) AS i FROM s WHERE y IS NOT NULL WINDOW p AS (PARTITION BY {key})),
+    c AS (SELECT *, x - mx AS u, least(24, CAST(floor(4 * pow(n / 100.0, 2 / 9.0)) AS INT)) AS lag FROM m), bb AS (SELECT {key}, sum(u * y) / nullif(sum(u * u), 0) AS beta, sum(u * u) AS sxx FROM c GROUP BY {key}), e AS (SELECT c.*, beta, sxx, y - my - coalesce(beta * u, 0) AS e FROM c JOIN bb USING ({key})),
+    w AS (SELECT a.{key}, sum(CASE WHEN a.i = b.i THEN 1.0 ELSE 1 - abs(a.i - b.i) / (a.lag + 1.0) END * a.e * b.e) AS s00, sum(CASE WHEN a.i = b.i THEN 1.0 ELSE 1 - abs(a.i - b.i) / (a.lag + 1.0) END * a.e * b.u * b.e) AS s01, sum(CASE WHEN a.i = b.i THEN 1.0 ELSE 1 - abs(a.i - b.i) / (a.lag + 1.0) END * a.u * a.e * b.u * b.e) AS s11 FROM e a JOIN e b ON a.{key} = b.{key} AND abs(a.i - b.i) <= a.lag GROUP BY 1),
+    g AS (SELECT {key}, any_value(n) AS n, any_value(lag) AS lag, any_value(beta) AS beta, any_value(my) AS my, any_value(mx) AS mx, any_value(sxx) AS sxx FROM e GROUP BY {key})"""
+
+
+@query("e05_newey_west", ", r AS (SELECT account, d, equity / lag(equity) OVER (PARTITION BY account ORDER BY d) - 1 AS ret FROM curve)" + _NW.format(key="account", order="d", y="ret", x="day(d)", source="r") + " SELECT account, n, lag, round(my - beta * mx, 8) AS alpha, round(beta, 9) AS beta, round(sqrt(s00 / (n * n) - 2 * mx * s01 / (n * sxx) + mx * mx * s11 / (sxx * sxx)), 8) AS se_alpha, round(sqrt(s11) / sxx, 9) AS se_beta FROM g JOIN w USING (account)", "curve")
 def e05(spark, sf):
-    c = stats.with_returns(views.curve(spark, sf).where("account = 'purchase'"), ACC, "d", "equity").where("ret IS NOT NULL").withColumn("t", F.dayofmonth("d").cast("double"))
-    r = stats.newey_west(c, "d", "ret", ["t"])
-    return spark.createDataFrame([(r["n"], r["lag"], *r["beta"], *r["se"])], "n long, lag int, alpha double, beta double, se_alpha double, se_beta double")
+    c = stats.with_returns(views.curve(spark, sf), ACC, "d", "equity").withColumn("t", F.dayofmonth("d").cast("double"))
+    r = measures.newey_west_by(c, ACC, "d", "ret", "t")
+    return rnd(rnd(r, "alpha", "se_alpha", places=8), "beta", "se_beta", places=9)
+
+
+_SUP = "li AS (SELECT l_suppkey AS sid, CAST(l_shipdate AS DATE) AS d, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL)"
+
+
+@query("e06_mean_difference", "WITH " + _SUP + ", r AS (SELECT sid, d, close / lag(close) OVER (PARTITION BY sid ORDER BY d) - 1 - (close - 900) / 1000 AS x FROM li)" + _NW.format(key="sid", order="d", y="x", x="0.0", source="r") + " SELECT sid, n, lag, round(my, 8) AS difference, round(my / nullif(sqrt(s00) / n, 0), 6) AS t FROM g JOIN w USING (sid)")
+def e06b(spark, sf):
+    b = views.long_bars(spark, sf)
+    r = stats.with_returns(b, ["sid"], "d", "close").withColumn("other", (C("close") - 900) / 1000)
+    return rnd(rnd(measures.mean_difference(r, ["sid"], "d", "ret", "other").drop("p"), "t"), "difference", places=8)
 
 
 @query("e06_holm", """WITH p AS (SELECT event_type AS name, (count(*) % 97) / 970.0 AS p FROM events GROUP BY 1), s AS (SELECT name, p, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)) AS s FROM p)
@@ -86,6 +102,43 @@ def e07b(spark, sf):
     return stats.performance(views.curve(spark, sf), ACC, "d", "equity").select("account", "psr", "sortino", "cagr")
 
 
+# A schedule of yearly rates by their first day.
+RATES = [("1992-03-01", 0.03), ("1994-07-15", 0.045), ("1996-02-20", 0.0525), ("1998-09-01", 0.05)]
+_ACCOUNTS = "WITH " + _SUP + """, t AS (SELECT l_suppkey AS sid, (l_discount - 0.05) * l_extendedprice AS pnl FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT l_suppkey AS sid, sum(l_extendedprice) AS notional, sum(l_tax * l_quantity) AS fees, sum(l_tax) AS taxes, sum(l_discount) AS slippage, sum(l_quantity) AS carry FROM lineitem GROUP BY 1),
+    pt AS (SELECT sid, d, close AS equity, CASE WHEN sid % 4 <> 1 THEN volume + 1 END AS benchmark, (volume % 50) / 50.0 AS gross, (volume % 30) / 60.0 AS net, row_number() OVER w AS n, lag(close) OVER w AS was, lag(d) OVER w AS from_, max(close) OVER (PARTITION BY sid ORDER BY d) AS peak FROM li WINDOW w AS (PARTITION BY sid ORDER BY d)),
+    rt(d0, rate) AS (VALUES """ + ", ".join(f"(DATE '{d}', {r})" for d, r in RATES) + """), x AS (SELECT pt.*, equity / was - 1 AS ret, rate FROM pt ASOF LEFT JOIN rt ON pt.from_ >= rt.d0),
+    y AS (SELECT *, ret - rate * date_diff('day', from_, d) / 365 AS excess, equity / peak - 1 AS depth, max(CASE WHEN equity = peak THEN n END) OVER (PARTITION BY sid ORDER BY d) AS top FROM x),
+    lw AS (SELECT sid, arg_min(n, (depth, n)) AS ln, arg_min(peak, (depth, n)) AS lp, min(depth) AS ld FROM y GROUP BY sid), bk AS (SELECT y.sid, min(n) FILTER (n > ln AND equity >= lp) - any_value(ln) AS recovery FROM y JOIN lw USING (sid) WHERE ld < 0 GROUP BY y.sid),
+    g AS (SELECT sid, count(ret) AS k, count(*) AS points, arg_min(equity, d) AS f, arg_max(equity, d) AS l, date_diff('day', min(d), max(d)) AS days, stddev_samp(ret) AS sd, count(excess) AS covered, avg(excess) AS ex, sqrt(sum(CASE WHEN excess < 0 THEN excess * excess ELSE 0 END) / count(ret)) AS down, min(depth) AS max_drawdown, max(n - top) AS longest,
+        count(benchmark) AS b, arg_min(benchmark, d) AS b0, arg_max(benchmark, d) AS b1, avg(equity) AS average, avg(gross) AS average_gross, max(gross) AS maximum_gross, avg(net) AS average_net, avg(ret) AS mu, avg(ret * ret) AS m2, avg(ret * ret * ret) AS m3, avg(ret * ret * ret * ret) AS m4 FROM y GROUP BY sid),
+    tr AS (SELECT sid, count(*) AS trades, avg(CAST(pnl > 0 AS INT)) AS win, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS won, -sum(pnl) FILTER (pnl < 0) AS lost FROM t GROUP BY sid),
+    h AS (SELECT *, CASE WHEN k > 1 AND covered = k AND sd > 0 THEN ex / sd END AS s, CASE WHEN days >= 365 THEN pow(l / f, 365.0 / days) - 1 END AS cagr, (m3 - 3 * mu * m2 + 2 * mu * mu * mu) / pow(m2 - mu * mu, 1.5) AS g3, (m4 - 4 * mu * m3 + 6 * mu * mu * m2 - 3 * mu * mu * mu * mu) / pow(m2 - mu * mu, 2) AS g4 FROM g LEFT JOIN tr USING (sid) LEFT JOIN c USING (sid) LEFT JOIN bk USING (sid))
+    SELECT sid, round(l / f - 1, 6) AS total_return, round(cagr, 6) AS cagr, round(sd * sqrt(252), 6) AS volatility, round(s * sqrt(252), 6) AS sharpe, round(sqrt(252 * greatest(0, (1 - g3 * s + (g4 - 1) / 4 * s * s) / (k - 1))), 5) AS sharpe_error, round(CASE WHEN k > 1 AND covered = k AND down > 0 THEN ex / down * sqrt(252) END, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, round(CASE WHEN max_drawdown < 0 THEN cagr / -max_drawdown END, 6) AS calmar,
+    round(notional / average, 6) AS turnover, longest AS longest_drawdown, recovery, round(CASE WHEN b = points THEN b1 / b0 - 1 END, 6) AS benchmark_return, round(l / f - CASE WHEN b = points THEN b1 / b0 END, 6) AS excess_return, trades AS trade_count, round(win, 6) AS win_rate, round(won / lost, 6) AS profit_factor, round(average_gross, 6) AS average_gross, round(maximum_gross, 6) AS maximum_gross, round(average_net, 6) AS average_net,
+    round(fees, 4) AS total_fees, round(taxes, 4) AS total_taxes, round(slippage, 4) AS total_slippage, round(carry, 4) AS total_carry, CASE WHEN s IS NULL THEN CASE WHEN covered <> k THEN 'base_rate_not_covered' ELSE 'zero_return_variance' END END AS sharpe_reason, CASE WHEN recovery IS NULL THEN 'not_recovered' END AS recovery_reason, CASE WHEN b <> points THEN 'benchmark_not_available' END AS benchmark_return_reason FROM h"""
+
+
+def accounts(spark, sf):
+    """Suppliers as accounts: points, closed trades, costs, rates."""
+    li = views.read(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "sid")
+    b = li.groupBy("sid", C("l_shipdate").cast("date").alias("d")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("equity"), F.sum("l_quantity").alias("volume"))
+    points = b.select("sid", "d", "equity", F.when(C("sid") % 4 != 1, C("volume") + 1).alias("benchmark"), (C("volume") % 50 / 50).alias("gross"), (C("volume") % 30 / 60).alias("net"))
+    trades = li.where("l_returnflag = 'A'").select("sid", ((C("l_discount") - 0.05) * C("l_extendedprice")).alias("pnl"))
+    costs = li.select("sid", C("l_extendedprice").alias("notional"), (C("l_tax") * C("l_quantity")).alias("fees"), C("l_tax").alias("taxes"), C("l_discount").alias("slippage"), C("l_quantity").alias("carry"))
+    rates = spark.createDataFrame(RATES, "d string, rate double").withColumn("d", C("d").cast("date"))
+    return points, trades, costs, rates
+
+
+@query("e07_metrics", _ACCOUNTS)
+def e07_all(spark, sf):
+    m = measures.metrics(*accounts(spark, sf), "sid").drop("probabilistic_sharpe")
+    keep = ["sharpe_reason", "recovery_reason", "benchmark_return_reason"]
+    m = m.select(*[c for c in m.columns if not c.endswith("_reason") or c in keep])
+    whole = ["sid", "longest_drawdown", "recovery", "trade_count", *keep, "total_fees", "total_taxes", "total_slippage", "total_carry", "sharpe_error"]
+    m = rnd(m, *[c for c in m.columns if c not in whole])
+    return rnd(rnd(m, "total_fees", "total_taxes", "total_slippage", "total_carry", places=4), "sharpe_error", places=5)
+
+
 @query("e08_drawdown", _DD + " SELECT account, d, round(depth, 6) AS depth, under AS under_water FROM u", "curve")
 def e08(spark, sf):
     return rnd(stats.drawdown(views.curve(spark, sf), ACC, "d", "equity").select("account", "d", "depth", "under_water"), "depth")
@@ -148,6 +201,39 @@ def e14(spark, sf):
     return stats.parameter_grid(spark, {"a": (0.1, 0.3, 0.1), "b": (1.0, 4.0, 1.0)}, "a * b < 0.85").join(F.broadcast(n))
 
 
+_AXES = "ax AS (SELECT c_nationkey AS g, c_mktsegment AS axis, CAST(floor(min(c_acctbal) / 1000) AS DECIMAL(18,2)) AS lo, CAST(floor(min(c_acctbal) / 1000) + count(*) % 3 AS DECIMAL(18,2)) AS hi, CASE WHEN count(*) % 11 = 4 THEN 0 ELSE CAST(0.5 + count(*) % 2 * 0.5 AS DECIMAL(18,2)) END AS step FROM customer GROUP BY ALL)"
+
+
+@query("e14_grids_of_tables", "WITH " + _AXES + """, n AS (SELECT *, CASE WHEN step > 0 THEN CAST(floor((hi - lo) / step) AS BIGINT) + 1 ELSE 0 END AS n FROM ax), s AS (SELECT g, min(n) AS least, CAST(product(n) AS BIGINT) AS size FROM n GROUP BY g)
+    SELECT g, CASE WHEN least = 0 THEN 'empty_axis' WHEN size > 500 THEN 'too_many_cells' ELSE 'ok' END AS status, CASE WHEN least = 0 OR size > 500 THEN 1 ELSE size END AS cells FROM s""")
+def e14_tables(spark, sf):
+    c = views.read(spark, sf, "customer").groupBy(C("c_nationkey").alias("g"), C("c_mktsegment").alias("axis")).agg(F.floor(F.min("c_acctbal") / 1000).cast("decimal(18,2)").alias("lo"), F.count("*").alias("n"))
+    axes = c.select("g", "axis", "lo", (C("lo") + C("n") % 3).cast("decimal(18,2)").alias("hi"), F.when(C("n") % 11 == 4, 0).otherwise(0.5 + C("n") % 2 * 0.5).cast("decimal(18,2)").alias("step"))
+    return measures.grids(axes, ["g"], 500).groupBy("g", "status").agg(F.count("*").alias("cells"))
+
+
+_PARAMS = "pm AS (SELECT p_partkey AS id, unnest(['price', 'size']) AS axis, unnest([CAST(p_retailprice / 1000 AS DECIMAL(18,2)), CAST(p_size AS DECIMAL(18,2))]) AS cur, unnest([CAST(0.5 AS DECIMAL(18,2)), 1]) AS lo, unnest([CAST(2 AS DECIMAL(18,2)), 50]) AS hi, unnest([NULL, CAST(3 AS DECIMAL(18,2))]) AS step FROM part)"
+
+
+@query("e21_robustness_axes", "WITH " + _PARAMS + ", dl AS (SELECT *, coalesce(step, cur * 0.2) AS delta FROM pm), v AS (SELECT id, axis, lo, hi, unnest([-1, 0, 1]) AS k, cur, delta FROM dl), x AS (SELECT id, axis, CASE WHEN axis = 'size' THEN floor(cur + k * delta) ELSE cur + k * delta END AS v FROM v WHERE cur + k * delta BETWEEN lo AND hi) SELECT id, axis, count(DISTINCT v) AS n, round(CAST(min(v) AS DOUBLE), 6) AS least, round(CAST(max(v) AS DOUBLE), 6) AS most FROM x GROUP BY ALL")
+def e21_axes(spark, sf):
+    a = measures.robustness_axes(parameters(spark, sf), ["id"])
+    return rnd(a.where(F.size("values") > 0).select("id", "axis", F.size("values").cast("long").alias("n"), F.array_min("values").alias("least"), F.array_max("values").alias("most")), "least", "most")
+
+
+def parameters(spark, sf):
+    """Two numbers of each part: a price without a step, a whole size with steps of three."""
+    p = views.read(spark, sf, "part")
+    row = lambda axis, cur, lo, hi, step, whole: F.struct(F.lit(axis).alias("axis"), cur.cast("decimal(18,2)").alias("current"), F.lit(lo).cast("decimal(18,2)").alias("lo"), F.lit(hi).cast("decimal(18,2)").alias("hi"), F.lit(step).cast("decimal(18,2)").alias("step"), F.lit(whole).alias("whole"))
+    return p.select(C("p_partkey").alias("id"), F.explode(F.array(row("price", C("p_retailprice") / 1000, 0.5, 2, None, False), row("size", C("p_size"), 1, 50, 3, True))).alias("x")).select("id", "x.*")
+
+
+@query("e21_robustness_split", "SELECT o_custkey AS id, CAST(min(o_orderdate) AS DATE) AS \"start\", CAST(max(o_orderdate) AS DATE) AS \"end\", CASE WHEN CAST(CAST(min(o_orderdate) AS DATE) + INTERVAL 4 YEAR AS DATE) - 15 <= CAST(max(o_orderdate) AS DATE) THEN 3 WHEN CAST(CAST(min(o_orderdate) AS DATE) + INTERVAL 3 YEAR AS DATE) - 15 <= CAST(max(o_orderdate) AS DATE) THEN 2 WHEN CAST(CAST(min(o_orderdate) AS DATE) + INTERVAL 2 YEAR AS DATE) - 15 <= CAST(max(o_orderdate) AS DATE) THEN 1 END AS train_years FROM orders GROUP BY 1")
+def e21_split(spark, sf):
+    o = views.read(spark, sf, "orders").groupBy(C("o_custkey").alias("id")).agg(F.min(C("o_orderdate").cast("date")).alias("start"), F.max(C("o_orderdate").cast("date")).alias("end"))
+    return measures.robustness_split(o)
+
+
 @query("e15_neighbor_mean", _CELLS + ", m AS (SELECT x.a, x.b, x.score, avg(y.score) AS neighbor_mean, count(*) AS n FROM cells x JOIN cells y ON abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1 GROUP BY ALL) SELECT a, b, round(score, 6) AS score, round(neighbor_mean, 6) AS neighbor_mean, n FROM m")
 def e15(spark, sf):
     return rnd(stats.neighbor_mean(cells(spark, sf), ["a", "b"], "score").drop("neighbor_rank"), "score", "neighbor_mean")
