@@ -440,6 +440,53 @@ def test_commits_of_token_counts(spark, tmp_path, monkeypatch):
         token_counts.totals(spark, root).collect()
 
 
+def test_a_commit_that_dies_or_comes_second(spark, tmp_path, monkeypatch):
+    path = {"v": public_tokenizers.path("byte_bpe_50k.json")}
+    changes = lambda *rows: spark.createDataFrame(rows, "sign int, source string, lang string, text string")
+    root = str(tmp_path / "t")
+    assert token_counts.commit(changes((1, "s", "en", "a b")), 0, root, path)
+    total = lambda: [(r["docs"], r["tokens"]) for r in token_counts.totals(spark, root).collect()]
+    with monkeypatch.context() as m:  # dies between the delta and its marker
+        m.setattr(token_counts, "_claim", lambda *a: (_ for _ in ()).throw(RuntimeError))
+        with pytest.raises(RuntimeError):
+            token_counts.commit(changes((1, "s", "en", "c")), 1, root, path)
+    assert total() == [(1, 2)]
+    claim = token_counts._claim
+
+    def late(spark, marker, folder):  # another writer of the batch is faster by a moment
+        assert claim(spark, marker, token_counts_of_other)
+        return claim(spark, marker, folder)
+
+    token_counts_of_other = "0" * 32
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "_claim", late)
+        assert not token_counts.commit(changes((1, "s", "en", "c")), 1, root, path)
+    assert total() == [(1, 2)]
+    assert not token_counts.commit(changes((1, "s", "en", "c")), 1, root, path)
+    assert token_counts.commit(changes((1, "s", "en", "c")), 2, root, path) and total() == [(2, 3)]
+
+
+def test_toxicity_on_all_held_out_rows(spark):
+    sf = f"{DATA}/sf0.1"
+    m = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").toPandas()
+    hit = int(((m.predicted == 1) & (m.toxic == 1)).sum())
+    assert len(m) > 1000 and hit / (m.toxic == 1).sum() > 0.75 and hit / (m.predicted == 1).sum() > 0.85
+
+
+def test_binomial_tail_at_any_size(spark):
+    import math
+
+    def exact(k, n, p):
+        logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(max(0, k - 200_000), k + 1)]
+        top = max(logs)
+        return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+
+    cases = [(0, 1), (1, 1), (0, 700), (3, 50), (5, 5), (10, 5000), (19, 5000), (25, 5000), (300, 100_000), (39_500, 10_000_000), (40_000, 10_000_000), (3_990_000, 1_000_000_000), (4_100_000, 1_000_000_000)]
+    d = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.004).alias("c"))
+    for r in d.collect():
+        assert r["c"] == pytest.approx(exact(r["k"], r["n"], 0.004), rel=1e-5, abs=1e-300), r
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 

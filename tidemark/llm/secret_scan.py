@@ -170,8 +170,8 @@ def find(docs: DataFrame, owner: Column | None = None, repository: Column | None
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every base match and every live-looking further match replaced by mark; n_chars follows the text.
 
-    A further shape is redacted wherever its pattern matches and one owner holds it; documents without matches are as
-    before, and no row goes. A null text stays null.
+    A further shape is redacted wherever find() would report it: it looks live and isn't widely copied. Documents without
+    matches are as before, and no row goes. A null text stays null.
     """
     d = written(docs.withColumn("__row", F.monotonically_increasing_id()), "secret-rows")
     found = scan(d, F.col("source"), default_repository(), F.col("__row"))

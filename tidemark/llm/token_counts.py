@@ -2,8 +2,8 @@
 
 A change is a document with a sign: +1 enters it, -1 takes it out, and a revision is both, with the old and the new text.
 A batch of changes is reduced to its delta, the signed numbers of documents and tokens by source, language and tokenizer
-version, and written as one partition of a table, named by the batch. It is written aside and then renamed, so a batch
-is there whole or not at all, and committing it again changes nothing. Totals are the sums over all batches: additive,
+version, and written to a folder of its own; a marker named by the batch, which only one writer can create, then names the
+folder. So a batch is there whole or not at all, and committing it again changes nothing. Totals are the sums over all batches: additive,
 in any order, without reading a document again. Totals below nothing, from deleting what was never entered, are refused.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,29 +39,48 @@ def counted(changes: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     return picked.mapInPandas(run, "sign int, source string, lang string, tokenizer string, tokens long")
 
 
+def _claim(spark: SparkSession, marker: str, folder: str) -> bool:
+    """Creates the marker with the folder's name in it, unless it is there; whether this call made it.
+
+    Creating a file that must not exist is one step of the file system (of HDFS' name node, of a store's conditional put;
+    a local disk checks first), so of two writers of one batch one is told that it is too late.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(path):
+            return False
+        raise
+    out.write(bytearray(folder.encode()))
+    out.close()
+    return True
+
+
 def commit(changes: DataFrame, batch: int, root: str, tokenizers: dict[str, str]) -> bool:
     """Writes the delta of a batch of changes (sign, source, lang, text) under root, unless this batch is there; whether it wrote.
 
-    A commit that died before the rename leaves files under a name that readers pass over, and can be repeated.
+    The delta goes to a folder of its own, then the batch's marker names that folder: what no marker names doesn't count. A
+    commit that dies on the way, or comes second, leaves a folder that readers pass over, and can be repeated.
     """
     spark = changes.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    place, aside = path(f"{root}/batch={batch}"), path(f"{root}/_aside/{uuid.uuid4().hex}")
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(place):
+    marker, folder = f"{root}/commits/{batch}", uuid.uuid4().hex
+    path = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return False
     # Spark adds up inside each task first, so a hot source sends a few rows a task
     delta = counted(changes, tokenizers).groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-    delta.coalesce(1).write.parquet(aside.toString())
-    if not fs.rename(aside, place):
-        raise RuntimeError(f"batch {batch} was committed by another at the same time")
-    return True
+    delta.coalesce(1).write.parquet(f"{root}/deltas/{folder}")
+    return _claim(spark, marker, folder)
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
     """(source, lang, tokenizer, docs, tokens) over all committed batches; groups without documents are left out."""
-    deltas = spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long, batch int").parquet(root)
-    sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    deltas = spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").option("recursiveFileLookup", True).parquet(f"{root}/deltas")
+    deltas = deltas.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "/deltas/([0-9a-f]+)/", 1))
+    committed = spark.read.text(f"{root}/commits").select(F.col("value").alias("folder"))
+    sums = deltas.join(committed, "folder", "left_semi").groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     there = F.assert_true((F.col("docs") >= 0) & (F.col("tokens") >= 0), "more was deleted than entered").isNull()
     return sums.where(there & ((F.col("docs") != 0) | (F.col("tokens") != 0)))
 
