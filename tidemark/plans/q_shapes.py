@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import shapes, technical
+from tidemark.operators import shapes, signals, technical
 
 from . import views
 from .registry import query
@@ -49,3 +49,45 @@ def t12_candles(spark, sf):
 def t15_channels(spark, sf):
     b = numbered_bars(spark, sf)
     return shapes.trend_channels(swings(b).select("sid", "n", "kind", "price"), b, "sid", "n", 3)
+
+
+# ---- signals, zones, regimes
+
+PERIODS = signals.Periods(short=8, middle=15, long=30, strength=7, fast=5, slow=10, signal=4, cloud=(4, 8, 16), stochastic=(6, 3, 3), profile=25, bins=12)
+
+
+def measured(spark, sf):
+    li = views.read(spark, sf, "lineitem").where("l_quantity > 0").groupBy(C("l_suppkey").alias("sid"), C("l_shipdate").cast("date").alias("d")).agg(F.sum("l_quantity").alias("volume"))
+    b = numbered_bars(spark, sf).drop("atr")
+    days = li.withColumn("n", (F.row_number().over(Window.partitionBy("sid").orderBy("d")) - 1).cast("long")).select("sid", "n", "volume")
+    b = b.join(days, ["sid", "n"])
+    m = signals.measured(b.select("sid", "n", "open", "high", "low", "close", "volume"), "sid", "n", PERIODS)
+    return signals.with_last_swings(m, swings(b), "sid", "n")
+
+
+@query("t11_signals", None)
+def t11_signals(spark, sf):
+    return signals.events(measured(spark, sf), "sid", "n")
+
+
+@query("t11_states", None)
+def t11_states(spark, sf):
+    return signals.states(measured(spark, sf), "sid", "n")
+
+
+@query("t14_tested_zones", None)
+def t14_zones(spark, sf):
+    b = numbered_bars(spark, sf).where("atr IS NOT NULL")
+    return signals.tested_zones(swings(b.drop("atr")).select("sid", "n", "price", "confirmed"), b, "sid", "n", 0.2)
+
+
+@query("t10_major_swings", None)
+def t10_major(spark, sf):
+    b = numbered_bars(spark, sf)
+    return signals.significant(swings(b), b, "sid", "n", 10)
+
+
+@query("t16_regimes", None)
+def t16_regimes(spark, sf):
+    b = numbered_bars(spark, sf)
+    return signals.regimes(b, signals.significant(swings(b), b, "sid", "n", 5), "sid", "n", 120)
