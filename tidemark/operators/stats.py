@@ -15,17 +15,22 @@ from .measures import normal_cdf, normal_quantile
 C = F.col
 
 
-def forward_labels(df: DataFrame, by: list[str], idx: str, price: str, last_idx: int, horizons: list[int]) -> DataFrame:
-    """(by, idx, horizon, label, status): the return to the session horizon later, or why there is none."""
-    h = df.select(*by, idx, C(price).alias("__entry"), F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
-    exits = df.select(*by, C(idx).alias("__x"), C(price).alias("__exit"))
-    ends = df.groupBy(*by).agg(F.max(idx).alias("__end"))
-    j = h.withColumn("__x", C(idx) + C("horizon")).join(exits, [*by, "__x"], "left").join(ends, by)
+def forward_labels(df: DataFrame, by: list[str], idx: str, price: str, last_idx: int | None, horizons: list[int], keep: list[str] | None = None) -> DataFrame:
+    """(by, idx, keep, horizon, label, status): the return to the session horizon later, or why there is none.
+
+    last_idx is the last session there is, by default that of df. The later session's price is found in a frame of just
+    that index, so all horizons share one sort.
+    """
+    w = Window.partitionBy(*by).orderBy(idx)
+    d = df.select(*by, idx, *(keep or []), C(price).alias("__entry"), F.max(idx).over(Window.partitionBy(*by)).alias("__end"), *[F.max(price).over(w.rangeBetween(h, h)).alias(f"__x{h}") for h in horizons])
+    d = d.withColumn("__last", F.lit(last_idx)) if last_idx is not None else d.join(F.broadcast(df.agg(F.max(idx).alias("__last"))))
+    d = d.withColumn("__h", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"__x{h}").alias("exit")) for h in horizons])))
+    at, out = C(idx) + C("__h.horizon"), C("__h.exit")
     status = (
-        F.when(C("__x") > last_idx, "not_matured").when(C("__x") > C("__end"), "listing_ended").when(C("__exit").isNull(), "gap")
+        F.when(at > C("__last"), "not_matured").when(at > C("__end"), "listing_ended").when(out.isNull(), "gap")
         .when(C("__entry").isNull() | (C("__entry") == 0), "missing_entry").otherwise("ok")
     )
-    return j.select(*by, idx, "horizon", F.when(status == "ok", C("__exit") / C("__entry") - 1).alias("label"), status.alias("status"))
+    return d.select(*by, idx, *(keep or []), C("__h.horizon").alias("horizon"), F.when(status == "ok", out / C("__entry") - 1).alias("label"), status.alias("status"))
 
 
 def rank_ic(df: DataFrame, keys: list[str], signal: str, label: str, min_pairs: int) -> DataFrame:

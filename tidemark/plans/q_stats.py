@@ -22,28 +22,24 @@ _LAB = """, h AS (SELECT sid, idx, close AS entry, unnest([1, 5]) AS horizon FRO
     FROM h LEFT JOIN panel x ON x.sid = h.sid AND x.idx = h.idx + h.horizon), labels_ AS (SELECT sid, idx, horizon, CASE WHEN status = 'ok' THEN r END AS label, status FROM l)"""
 
 
-def labels(spark, sf):
-    p = views.panel(spark, sf).select("sid", "idx", "close")
-    last = p.agg(F.max("idx")).first()[0]
-    return p, stats.forward_labels(p, ["sid"], "idx", "close", last if last is not None else -1, [1, 5])
+def labels(spark, sf, keep=None):
+    return stats.forward_labels(views.panel(spark, sf), ["sid"], "idx", "close", None, [1, 5], keep)
 
 
 @query("e01_forward_labels", _LAB + " SELECT sid, idx, horizon, round(label, 6) AS label, status FROM labels_", "panel")
 def e01(spark, sf):
-    return rnd(labels(spark, sf)[1], "label")
+    return rnd(labels(spark, sf), "label")
 
 
 @query("e02_rank_ic", _LAB + """, r AS (SELECT l.idx, horizon, rank() OVER (a ORDER BY p.volume) + (count(*) OVER (PARTITION BY l.idx, horizon, p.volume) - 1) / 2.0 AS x, rank() OVER (a ORDER BY label) + (count(*) OVER (PARTITION BY l.idx, horizon, label) - 1) / 2.0 AS y FROM labels_ l JOIN panel p USING (sid, idx) WHERE label IS NOT NULL WINDOW a AS (PARTITION BY l.idx, horizon))
     SELECT idx, horizon, count(*) AS n, CASE WHEN count(*) < 4 THEN 'too_few' WHEN stddev_pop(x) = 0 OR stddev_pop(y) = 0 THEN 'constant' ELSE 'ok' END AS status, round(CASE WHEN count(*) >= 4 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 6) AS ic FROM r GROUP BY idx, horizon""", "panel")
 def e02(spark, sf):
-    _, lab = labels(spark, sf)
-    j = lab.join(views.panel(spark, sf).select("sid", "idx", "volume"), ["sid", "idx"])
-    return rnd(stats.rank_ic(j, ["idx", "horizon"], "volume", "label", 4), "ic")
+    return rnd(stats.rank_ic(labels(spark, sf, ["volume"]), ["idx", "horizon"], "volume", "label", 4), "ic")
 
 
 @query("e03_ic_exclusions", _LAB + " SELECT horizon, status, count(*) AS n FROM labels_ GROUP BY ALL", "panel")
 def e03(spark, sf):
-    return labels(spark, sf)[1].groupBy("horizon", "status").agg(F.count("*").alias("n"))
+    return labels(spark, sf).groupBy("horizon", "status").agg(F.count("*").alias("n"))
 
 
 @query("e04_factor_returns", """, x AS (SELECT idx, sid, amount AS cap, close / amount AS v, open / nullif(close, 0) - 1 AS r FROM panel), y AS (SELECT * FROM x WHERE r IS NOT NULL), z AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY idx ORDER BY cap, sid) <= floor(count(*) OVER (PARTITION BY idx) / 2) THEN 'S' ELSE 'B' END AS s, row_number() OVER (PARTITION BY idx ORDER BY v, sid) AS k, count(*) OVER (PARTITION BY idx) AS n FROM y),
