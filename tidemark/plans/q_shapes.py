@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import shapes, signals, technical
+from tidemark.operators import fans, shapes, signals, technical
 
 from . import views
 from .registry import query
@@ -91,3 +91,10 @@ def t10_major(spark, sf):
 def t16_regimes(spark, sf):
     b = numbered_bars(spark, sf)
     return signals.regimes(b, signals.significant(swings(b), b, "sid", "n", 5), "sid", "n", 120)
+
+
+@query("t18_fan_scores", None)
+def t18_fans(spark, sf):
+    b = numbered_bars(spark, sf)
+    major = signals.significant(swings(b), b, "sid", "n", 3).where("major").select("sid", "n", "kind", "price")
+    return fans.fan_scores(major, b, "sid", "n", fans.Rules(least_gap=20, least_bars=30, recent=6))
