@@ -94,24 +94,38 @@ def guard_targets(df: DataFrame, max_weight: float, adv_share: float) -> DataFra
     return df.withColumn("target", out).withColumn("reasons", F.array_join(why, ","))
 
 
-def closed_trades(fills: DataFrame, by: str, order: str, qty: str, price: str, fee: float = 0.0) -> DataFrame:
-    """Sales against the average cost of what is held: (by, order, qty, cost, proceeds, profit). A security's fills are one group."""
+def closed_trades(fills: DataFrame, by: str, order: str, qty: str, price: str, fee: float = 0.0, splits: DataFrame | None = None, tax: str | None = None) -> DataFrame:
+    """Sales against the average cost of what is held: (by, order, qty, cost, proceeds, profit); at most what is held is sold.
+
+    splits (by, order, ratio) multiply what is held before the fills of their time, at the same cost. tax names a column
+    with the rate on a sale. fee is a share of each side. The average depends on all fills before, so a security's are one
+    group.
+    """
+    null = lambda: F.lit(None).cast("double")
+    rate = C(tax).cast("double") if tax else F.lit(0.0)
+    rows = fills.select(by, order, C(qty).cast("double").alias("__q"), C(price).cast("double").alias("__p"), rate.alias("__tax"), null().alias("__ratio"))
+    if splits is not None:
+        rows = rows.unionByName(splits.select(by, order, null().alias("__q"), null().alias("__p"), null().alias("__tax"), C("ratio").cast("double").alias("__ratio")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         held, cost, out = 0.0, 0.0, []
-        for o, q, p in g.sort_values(order)[[order, qty, price]].itertuples(index=False):
-            if q > 0:
+        g = g.assign(late=g["__ratio"].isna()).sort_values([order, "late"], kind="stable")
+        for o, q, p, t, ratio in g[[order, "__q", "__p", "__tax", "__ratio"]].itertuples(index=False):
+            if ratio == ratio:
+                held *= ratio
+            elif q > 0:
                 cost += q * p * (1 + fee)
                 held += q
             elif q < 0 and held > 0:
                 n = min(held, -q)
                 part = cost * n / held
-                out.append((g[by].iloc[0], o, n, part, n * p * (1 - fee), n * p * (1 - fee) - part))
+                got = n * p * (1 - fee - t)
+                out.append((g[by].iloc[0], o, n, part, got, got - part))
                 held, cost = held - n, cost - part
         return pd.DataFrame(out, columns=[by, order, "qty", "cost", "proceeds", "profit"])
 
     t = dict(fills.dtypes)
-    return fills.groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, qty double, cost double, proceeds double, profit double")
+    return rows.groupBy(by).applyInPandas(run, f"{by} {t[by]}, {order} {t[order]}, qty double, cost double, proceeds double, profit double")
 
 
 def portfolio_returns(w: DataFrame, returns: DataFrame, keys: list[str], name: str, limit: float) -> DataFrame:
@@ -199,6 +213,20 @@ def drawdown_state(df: DataFrame, account: str, order: str, equity: str, limits:
     return d.where("kind IS NULL").select(account, order, level.alias("level"), "peak", "loss")
 
 
+def temperature(parts: DataFrame, idx: str, names: list[str], n: int, least: int) -> DataFrame:
+    """(idx, temperature): the mean, from 0 to 100, of where each part's value stands among its last n (itself included, equal
+    ones half); null if a part is missing or has fewer than least values. parts has a row a session."""
+    w = Window.orderBy(idx).rowsBetween(-(n - 1), 0)
+
+    def place(c: str) -> Column:
+        cells = F.collect_list(c).over(w)
+        below, equal = F.size(F.filter(cells, lambda x: x < C(c))), F.size(F.filter(cells, lambda x: x == C(c)))
+        return F.when(C(c).isNotNull() & (F.size(cells) >= least), (below + 0.5 * equal) / F.size(cells))
+
+    first, *rest = map(place, names)
+    return parts.select(idx, (sum(rest, first) / len(names) * 100).alias("temperature"))
+
+
 def panic_fraction(df: DataFrame, day: str, rsi: str, below: float = 30.0) -> DataFrame:
     """(day, panic): the share of names with a strength index under a bound among those that have one."""
     return df.where(C(rsi).isNotNull() & ~F.isnan(rsi)).groupBy(day).agg(F.avg((C(rsi) < below).cast("double")).alias("panic"))

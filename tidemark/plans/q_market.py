@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, market
+from tidemark.operators import joins, market, technical
 
 from . import views
 from .q_streams import LEVELS_SQL
@@ -76,8 +76,11 @@ def b05(spark, sf):
 
 @query("b06_buffer_targets", None)
 def b06(spark, sf):
-    w = market.weights(selected(spark, sf), ["d"], "score").withColumn("portfolio", C("sector")).select("portfolio", "idx", "sid", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    return market.buffer_targets(w, "portfolio", "idx", "sid", "weight", 0.05)
+    """A portfolio for each user, its targets the shares of the kinds of events in a session's value."""
+    e = views.read(spark, sf, "events").withColumn("d", C("ts").cast("date")).join(views.calendar(views.bars(spark, sf)).select("d", "idx"), "d")
+    e = e.groupBy(C("user_id").alias("portfolio"), "idx", C("event_type").alias("name")).agg(F.sum(F.abs("value")).alias("v"))
+    w = e.withColumn("weight", F.coalesce(F.try_divide(C("v"), F.sum("v").over(Window.partitionBy("portfolio", "idx"))), F.lit(0.0)))
+    return market.buffer_targets(w.drop("v"), "portfolio", "idx", "name", "weight", 0.05)
 
 
 @query("b07_scheduled_targets", _LONG + ", f AS (SELECT idx, sid, rank % 2 AS candidate FROM sel) SELECT idx, sid, candidate FROM f WHERE candidate = (idx // 7) % 2", "panel")
@@ -294,6 +297,25 @@ _STRENGTH = """, x AS (SELECT sid, idx, close - lag(close) OVER w AS x FROM pane
     s AS (SELECT idx, list_reduce([list_avg(g[1:5])] || g[6:], lambda a, b : a + (b - a) / 5) AS up, list_reduce([list_avg(f[1:5])] || f[6:], lambda a, b : a + (b - a) / 5) AS down FROM l WHERE len(g) >= 5)"""
 
 
+@query("r14_market_temperature", _STRENGTH + """, pn AS (SELECT idx, avg(CAST(CASE WHEN down = 0 THEN 100 ELSE up / (up + down) * 100 END < 30 AS DOUBLE)) AS panic FROM s GROUP BY idx), m AS (SELECT idx, close, CASE WHEN count(*) OVER w = 5 THEN avg(close) OVER w END AS m FROM panel WINDOW w AS (PARTITION BY sid ORDER BY idx ROWS 4 PRECEDING)), br AS (SELECT idx, avg(CAST(close > m AS DOUBLE)) AS breadth FROM m WHERE m IS NOT NULL GROUP BY idx),
+    ix AS (SELECT idx, sum(amount) / sum(volume) AS c FROM panel GROUP BY idx), ds AS (SELECT idx, CASE WHEN count(*) OVER w = 5 THEN c / avg(c) OVER w - 1 END AS dist FROM ix WINDOW w AS (ORDER BY idx ROWS 4 PRECEDING)), pt AS (SELECT ix.idx, round(breadth, 9) AS a, round(-panic, 9) AS b, round(dist, 9) AS c FROM ix LEFT JOIN br USING (idx) LEFT JOIN pn USING (idx) LEFT JOIN ds USING (idx)),
+    ls AS (SELECT *, list(a) FILTER (a IS NOT NULL) OVER w AS la, list(b) FILTER (b IS NOT NULL) OVER w AS lb, list(c) FILTER (c IS NOT NULL) OVER w AS lc FROM pt WINDOW w AS (ORDER BY idx ROWS 11 PRECEDING))
+    SELECT idx, round((""" + " + ".join(f"CASE WHEN {x} IS NOT NULL AND len(l{x}) >= 4 THEN (len(list_filter(l{x}, lambda v: v < {x})) + 0.5 * len(list_filter(l{x}, lambda v: v = {x}))) / len(l{x}) END" for x in "abc") + """) / 3 * 100, 6) AS temperature FROM ls""", "panel")
+def r14_full(spark, sf):
+    """Breadth over a mean, panic turned over and the index's distance from its mean."""
+    p = views.panel(spark, sf)
+    rsi = technical.recursive_indicators(p, "sid", "idx", 5, 4, 8, 3).select("idx", "rsi")
+    panic = market.panic_fraction(rsi, "idx", "rsi")
+    w = Window.partitionBy("sid").orderBy("idx").rowsBetween(-4, 0)
+    m = p.select("idx", "close", F.when(F.count("*").over(w) == 5, F.avg("close").over(w)).alias("m")).where("m IS NOT NULL")
+    breadth = m.groupBy("idx").agg(F.avg((C("close") > C("m")).cast("double")).alias("breadth"))
+    v = Window.orderBy("idx").rowsBetween(-4, 0)
+    index = p.groupBy("idx").agg((F.sum("amount") / F.sum("volume")).alias("c"))
+    index = index.select("idx", F.when(F.count("*").over(v) == 5, C("c") / F.avg("c").over(v) - 1).alias("dist"))
+    parts = index.join(breadth, "idx", "left").join(panic, "idx", "left").select("idx", F.round("breadth", 9).alias("a"), F.round(-C("panic"), 9).alias("b"), F.round("dist", 9).alias("c"))
+    return rnd(market.temperature(parts, "idx", ["a", "b", "c"], 12, 4), "temperature")
+
+
 @query("r15_panic_fraction", _STRENGTH + " SELECT idx, round(avg(CASE WHEN down > 0 AND 100 * up / (up + down) < 30 THEN 1.0 ELSE 0.0 END), 6) AS panic FROM s GROUP BY idx", "panel")
 def r15(spark, sf):
     from tidemark.operators.technical import recursive_indicators

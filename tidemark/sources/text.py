@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalize_text(df: DataFrame, columns: list[str], strip_tags: bool = False) -> DataFrame:
@@ -127,9 +128,16 @@ def doc_sections(pages: DataFrame, id_: str, html: str) -> DataFrame:
     return d.mapInPandas(run, f"id {kind}, section_no int, level string, title string, text string").withColumnRenamed("id", id_)
 
 
+@F.pandas_udf(T.StringType())
+def cp949(contents: pd.Series) -> pd.Series:
+    """Spark itself decodes Unicode and Latin only. Bytes that are no character become the replacement character."""
+    return contents.map(lambda b: None if b is None else bytes(b).decode("cp949", "replace"))
+
+
 def doc_text(df: DataFrame, content: str, out: str = "text") -> DataFrame:
     """Text of HTML bytes: UTF-8 where valid, else CP949; scripts, styles, comments and tags go, white space is folded."""
-    s = F.coalesce(F.try_validate_utf8(F.col(content).cast("string")), F.decode(F.col(content), "x-windows-949"))
+    utf8 = F.try_validate_utf8(F.col(content).cast("string"))
+    s = F.coalesce(utf8, cp949(F.when(utf8.isNull(), F.col(content))))
     s = F.regexp_replace(s, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
