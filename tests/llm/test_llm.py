@@ -507,3 +507,24 @@ def test_pipeline(spark, docs):
             packed_well(after, 4096, 0.02)
         if name != "packing":
             assert d.columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, docs):
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    for name, stage in p.STAGES:
+        none = stage(spark, empty, SF)
+        assert none.count() == 0 and (name == "packing" or none.columns == empty.columns)
+    some = docs.limit(60)
+    mixed = some.unionByName(some.limit(5)).unionByName(spark.createDataFrame([(None, "no id, but words enough to tell", "en", None, 1)], docs.schema))
+    told = stages["language"](spark, odd, SF)
+    assert told.columns == odd.columns and not [r for r in told.collect() if not (r["text"] or "").strip()]
+    exact = stages["exact_dedup"](spark, odd, SF).collect()
+    assert sorted((r["text"] or "") for r in exact) == sorted({r["text"] or "" for r in odd.collect()})
+    near = stages["near_dedup"](spark, odd, SF)
+    assert near.columns == odd.columns and near.where("text = 'same text'").count() == 1
+    cleaned = stages["secrets"](spark, odd, SF).collect()
+    assert len(cleaned) == odd.count() and sum("[secret]" in (r["text"] or "") for r in cleaned) == 1 and sum(r["text"] is None for r in cleaned) == sum(r["text"] is None for r in odd.collect())
+    packed_well(stages["packing"](spark, odd, SF).collect(), 4096, 0.1)
+    assert {r["doc_id"] for r in stages["near_dedup"](spark, mixed, SF).collect()} <= {r["doc_id"] for r in mixed.collect()}
