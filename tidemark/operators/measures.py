@@ -44,11 +44,13 @@ def metrics(points: DataFrame, trades: DataFrame, costs: DataFrame, rates: DataF
     fees, taxes, slippage, carry); rates: (d, rate), a year's rate known from its day on. Excess returns are over the rate of
     the interval's first day by actual days over 365; an account with an interval before all rates has no ratio that needs
     them. Volatility is that of the raw returns; downside that of excess returns below 0 over all. Years under one are not
-    annualised. Durations are in sessions.
+    annualised. Durations are in sessions. A column base in points marks the point before a window: returns start from it,
+    averages leave it out.
     """
     w = Window.partitionBy(by).orderBy("d")
+    based = F.coalesce("base", F.lit(False)) if "base" in points.columns else F.lit(False)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = points.select(by, "d", *[C(c).cast("double").alias(c) for c in ("equity", "benchmark", "gross", "net")])
+    p = points.select(by, "d", based.alias("base"), *[C(c).cast("double").alias(c) for c in ("equity", "benchmark", "gross", "net")])
     p = p.withColumn("was", F.lag("equity").over(w)).withColumn("from", F.lag("d").over(w)).withColumn("n", F.row_number().over(w)).withColumn("peak", F.max("equity").over(so_far))
     p = scheduled(p, "from", rates, ["rate"]).withColumn("ret", C("equity") / C("was") - 1)
     p = p.withColumn("excess", C("ret") - C("rate") * F.datediff("d", "from") / YEAR_DAYS).withColumn("depth", C("equity") / C("peak") - 1)
@@ -62,8 +64,8 @@ def metrics(points: DataFrame, trades: DataFrame, costs: DataFrame, rates: DataF
         F.count("ret").alias("k"), F.count("*").alias("points"), F.min_by("equity", "d").alias("first"), F.max_by("equity", "d").alias("last"), F.datediff(F.max("d"), F.min("d")).alias("days"),
         F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("g3"), (F.kurtosis("ret") + 3).alias("g4"), F.count("excess").alias("covered"), F.avg("excess").alias("ex"),
         F.sqrt(F.sum(F.when(C("excess") < 0, C("excess") * C("excess")).otherwise(0.0)) / F.count("ret")).alias("down"), F.min("depth").alias("max_drawdown"), F.max(C("n") - C("top")).alias("longest"), F.max("back").alias("recovery"),
-        F.count("benchmark").alias("b"), F.min_by("benchmark", "d").alias("b0"), F.max_by("benchmark", "d").alias("b1"), F.avg("equity").alias("average"),
-        *[f(c).alias(f"{name}_{c}") for c in ("gross", "net") for name, f in (("average", F.avg), ("maximum", F.max))],
+        F.count("benchmark").alias("b"), F.min_by("benchmark", "d").alias("b0"), F.max_by("benchmark", "d").alias("b1"), F.avg(F.when(~C("base"), C("equity"))).alias("average"),
+        *[f(F.when(~C("base"), C(c))).alias(f"{name}_{c}") for c in ("gross", "net") for name, f in (("average", F.avg), ("maximum", F.max))],
     )
     t = trades.groupBy(by).agg(F.count("*").alias("trades"), F.avg((C("pnl") > 0).cast("double")).alias("win"), F.sum(F.when(C("pnl") > 0, C("pnl")).otherwise(0.0)).alias("won"), F.sum(F.when(C("pnl") < 0, -C("pnl"))).alias("lost"))
     spent = ["notional", "fees", "taxes", "slippage", "carry"]
@@ -94,6 +96,20 @@ def metrics(points: DataFrame, trades: DataFrame, costs: DataFrame, rates: DataF
     return g.select(by, *[v.alias(k) for k, (v, _) in values.items()], *reasons)
 
 
+def window_metrics(points: DataFrame, trades: DataFrame, costs: DataFrame, rates: DataFrame, by: str, lo: str, hi: str) -> DataFrame:
+    """metrics of the days from lo to hi, from each account's last point before lo if there is one.
+
+    trades count by the day d they close on, costs by that of their fill.
+    """
+    inside = lambda d: d.where(C("d").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    before = points.where(C("d") < F.lit(lo).cast("date"))
+    last = before.groupBy(by).agg(F.max_by(F.struct(*[c for c in points.columns if c != by]), "d").alias("p")).select(by, "p.*")
+    now = inside(points).withColumn("base", F.lit(False))
+    # an account without a point in the window has none
+    some = now.unionByName(last.join(now.select(by).distinct(), by, "left_semi").withColumn("base", F.lit(True)))
+    return metrics(some, inside(trades), inside(costs), rates, by)
+
+
 def newey_west_by(df: DataFrame, by: list[str], order: str, y: str, x: str | None = None, most: int = 24) -> DataFrame:
     """(by, n, lag, alpha, beta, se_alpha, se_beta): least squares of y on a constant and x (or a constant alone, beta null)
     for each series, with Newey-West errors of lag floor(4 (n/100)^(2/9)), at most `most`.

@@ -133,6 +133,13 @@ def monthly_returns(curve: DataFrame, by: list[str], order: str, equity: str) ->
     return m.select(*by, "month", (C("__e") / before - 1).alias("ret"))
 
 
+def weekly_returns(curve: DataFrame, by: list[str], order: str, equity: str) -> DataFrame:
+    """(by, week, ret, sessions): each calendar week's return from the last close before it, the first week's from its first."""
+    m = curve.groupBy(*by, F.date_trunc("week", order).cast("date").alias("week")).agg(F.max_by(equity, order).alias("__e"), F.min_by(equity, order).alias("__f"), F.count("*").alias("sessions"))
+    before = F.coalesce(F.lag("__e").over(Window.partitionBy(*by).orderBy("week")), C("__f"))
+    return m.select(*by, "week", (C("__e") / before - 1).alias("ret"), "sessions")
+
+
 def rolling_sharpe(curve: DataFrame, by: list[str], order: str, equity: str, n: int, year: int = 252) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0)
     d = with_returns(curve, by, order, equity)
@@ -217,6 +224,22 @@ def market_reference(index: DataFrame, calendar: DataFrame, day: str, close: str
     return d.join(F.broadcast(missing)).select(day, "equity", (C("__m") == 0).alias("complete"))
 
 
+def reference_curves(index: DataFrame, calendar: DataFrame, by: str, day: str, close: str, cash: float) -> DataFrame:
+    """(by, day, equity, reason) of several indices as curves that start at cash, from each one's first day to its last.
+
+    An index with a session missing in between, or without a price, is refused: it has one row without equity that says
+    how many (gaps:n).
+    """
+    p = index.join(calendar.select(C("d").alias(day), C("idx").alias("__i")), day)
+    w = Window.partitionBy(by).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(by)
+    gaps = F.max("__i").over(whole) - F.min("__i").over(whole) + 1 - F.count_if(C(close) > 0).over(whole)
+    p = p.withColumn("__gaps", gaps).withColumn("equity", C(close) / F.first(close).over(w) * cash).withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(day)))
+    refused = C("__gaps") > 0
+    p = p.where(~refused | (C("__n") == 1))
+    return p.select(by, F.when(~refused, C(day)).alias(day), F.when(~refused, C("equity")).alias("equity"), F.when(refused, F.concat(F.lit("gaps:"), C("__gaps").cast("string"))).alias("reason"))
+
+
 def account_summary(curve: DataFrame, by: list[str], order: str, equity: str, cash: float) -> DataFrame:
     g = curve.groupBy(*by).agg(F.count("*").alias("n"), F.max_by(equity, order).alias("last"), F.count_if(F.isnan(equity) | C(equity).isNull()).alias("__bad"))
     status = F.when(C("n") == 0, "empty").when(C("__bad") > 0, "not_finite").otherwise("ok")

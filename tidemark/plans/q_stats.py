@@ -291,3 +291,28 @@ def e24(spark, sf):
     base = c.where(C("d") < lo).agg(F.max("d").alias("base"))
     w = c.join(F.broadcast(base)).where((C("d") >= F.coalesce("base", lo)) & (C("d") <= hi))
     return rnd(stats.performance(w, ACC, "d", "equity").select("account", "n", "total_return"), "total_return")
+
+
+@query("e19_reference_curves", """, i AS (SELECT sid, d, idx, close FROM panel p JOIN calendar c USING (d, idx) WHERE NOT (sid % 3 = 1 AND idx % 7 = 3)), g AS (SELECT sid, max(idx) - min(idx) + 1 - count(*) FILTER (close > 0) AS gaps FROM i GROUP BY sid)
+    SELECT i.sid, d, round(close / first_value(close) OVER (PARTITION BY i.sid ORDER BY d) * 1000, 6) AS equity, NULL AS reason FROM i JOIN g USING (sid) WHERE gaps = 0 UNION ALL SELECT sid, NULL, NULL, 'gaps:' || gaps FROM g WHERE gaps > 0""", "panel")
+def e19_curves(spark, sf):
+    p = views.panel(spark, sf).where("NOT (sid % 3 = 1 AND idx % 7 = 3)").select("sid", "d", "close")
+    return rnd(stats.reference_curves(p, views.calendar(views.bars(spark, sf)), "sid", "d", "close", 1000.0), "equity")
+
+
+@query("e20_weekly_returns", "WITH " + _SUP + ", w AS (SELECT sid, CAST(date_trunc('week', d) AS DATE) AS week, arg_max(close, d) AS e, arg_min(close, d) AS f, count(*) AS sessions FROM li GROUP BY ALL) SELECT sid, week, round(e / coalesce(lag(e) OVER (PARTITION BY sid ORDER BY week), f) - 1, 6) AS ret, sessions FROM w")
+def e20_weekly(spark, sf):
+    return rnd(stats.weekly_returns(views.long_bars(spark, sf), ["sid"], "d", "close"), "ret")
+
+
+@query("e24_window_metrics", "WITH " + _SUP + """, pt AS (SELECT sid, d, close, (volume % 50) / 50.0 AS gross FROM li), b AS (SELECT sid, arg_max(close, d) AS base FROM pt WHERE d < DATE '1995-01-01' GROUP BY sid), w AS (SELECT sid, arg_min(close, d) AS f, arg_max(close, d) AS l, avg(close) AS average, avg(gross) AS average_gross FROM pt WHERE d BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' GROUP BY sid),
+    t AS (SELECT l_suppkey AS sid, count(*) AS trades, avg(CAST(l_discount > 0.05 AS INT)) AS win FROM lineitem WHERE l_returnflag = 'A' AND CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' GROUP BY 1), c AS (SELECT l_suppkey AS sid, sum(l_extendedprice) AS notional, sum(l_tax * l_quantity) AS fees FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' GROUP BY 1)
+    SELECT sid, round(l / coalesce(base, f) - 1, 6) AS total_return, round(notional / average, 5) AS turnover, coalesce(trades, 0) AS trade_count, round(win, 6) AS win_rate, round(average_gross, 6) AS average_gross, round(fees, 4) AS total_fees FROM w LEFT JOIN b USING (sid) LEFT JOIN t USING (sid) LEFT JOIN c USING (sid)""")
+def e24_window(spark, sf):
+    points, _, _, rates = accounts(spark, sf)
+    li = views.read(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "sid").withColumn("d", C("l_shipdate").cast("date"))
+    trades = li.where("l_returnflag = 'A'").select("sid", "d", ((C("l_discount") - 0.05) * C("l_extendedprice")).alias("pnl"))
+    costs = li.select("sid", "d", C("l_extendedprice").alias("notional"), (C("l_tax") * C("l_quantity")).alias("fees"), C("l_tax").alias("taxes"), C("l_discount").alias("slippage"), C("l_quantity").alias("carry"))
+    m = measures.window_metrics(points, trades, costs, rates, "sid", "1995-01-01", "1996-06-30")
+    m = m.select("sid", "total_return", "turnover", "trade_count", "win_rate", "average_gross", "total_fees")
+    return rnd(rnd(rnd(m, "total_return", "win_rate", "average_gross"), "turnover", places=5), "total_fees", places=4)
