@@ -16,8 +16,13 @@ C = F.col
 YEAR_DAYS = 365
 
 
-def normal_cdf(x: Column) -> Column:
+def _column(x: Column | str) -> Column:
+    return C(x) if isinstance(x, str) else x
+
+
+def normal_cdf(x: Column | str) -> Column:
     """The normal distribution's probability below x, to about 1e-15: a series of the density's integral."""
+    x = _column(x)
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), x))
     start = F.struct(z.alias("t"), z.alias("s"))
     step = lambda a, k: F.struct((a["t"] * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * z * z / (2 * k + 1)).alias("s"))
@@ -25,8 +30,9 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series)))
 
 
-def normal_quantile(p: Column) -> Column:
+def normal_quantile(p: Column | str) -> Column:
     """The x below which the normal distribution has probability p, by halving; null outside (0, 1)."""
+    p = _column(p)
     start = F.struct(F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi"))
 
     def halve(a: Column, _: Column) -> Column:
