@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; the median of three runs each; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; the median of up to three runs, for about eight seconds, each; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from tidemark.plans import registry
 
 HEADLINE = [
     "minimum_slice", "w09_rank_avg", "w15_winsorize", "a14_sector_rollup", "j02_asof_backward", "j05_range_join", "j10_diff_builds", "v05_fold_consecutive", "g20_evaluate_graph",
-    "d05_universe_daily", "d09_price_adj_forward", "d24_fin_latest", "m01_price_indicators", "m06_score_rank_model", "b04_cap_weights", "e02_rank_ic", "e07_performance", "e07_metrics", "e17_stitched_curve", "d08_resolved_actions", "t12_swing_shapes", "r08_breadth", "t01_bollinger",
+    "d05_universe_daily", "d09_price_adj_forward", "d24_fin_latest", "m01_price_indicators", "m06_score_rank_model", "b04_cap_weights", "e02_rank_ic", "e07_performance", "r08_breadth", "t01_bollinger",
 ]
 
 
@@ -28,8 +28,8 @@ def main() -> None:
     took: dict[str, float] = {}
     registry.QUERIES[HEADLINE[0]](spark, sf).write.format("noop").mode("overwrite").save()  # compiles, warms up
     for name in HEADLINE:
-        runs = []
-        for _ in range(3):
+        runs: list[float] = []
+        while len(runs) < 3 and sum(runs) < 8:
             began = time.perf_counter()
             registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
