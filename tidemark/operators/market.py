@@ -256,9 +256,12 @@ def latest_complete(df: DataFrame, day: str, share: float) -> DataFrame:
 
 
 def etf_flows(df: DataFrame, by: str, idx: str, shares: str, nav: str) -> DataFrame:
-    """Change of shares times net asset value; a change that a split explains is none; the first day opens a fund."""
+    """Change of shares times net asset value; a change that a split explains is none; the first day opens a fund.
+
+    A ratio to nothing is unknown, and so explains no change.
+    """
     w = Window.partitionBy(by).orderBy(idx)
-    ds, dn = C(shares) / F.lag(shares).over(w), C(nav) / F.lag(nav).over(w)
+    ds, dn = F.try_divide(shares, F.lag(shares).over(w)), F.try_divide(nav, F.lag(nav).over(w))
     split = ((ds >= 1.9) | (ds <= 0.55)) & (ds * dn).between(0.8, 1.25)
     flow = (C(shares) - F.lag(shares).over(w)) * C(nav)
     return df.select(by, idx, F.when(F.lag(shares).over(w).isNull(), None).when(split, 0.0).otherwise(flow).alias("flow"), F.lag(shares).over(w).isNull().alias("opened"))
