@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BARS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("session", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")], T.StructField("volume", T.LongType())])
 
+_own_folder: list[str] = []
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written in the folder that all executors share and read again: lineage ends there.
+
+    The folder is spark.checkpoint.dir. Only where that is unset, on one machine, a temporary folder stands in.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _own_folder[0]
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def read_build(spark: SparkSession, root: str, partitions: list[str] | None = None) -> DataFrame:
     """A build's table by the list of its partition folders; without a list, all that is under root."""
