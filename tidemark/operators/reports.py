@@ -17,15 +17,16 @@ def scenarios(weights: DataFrame, closes: DataFrame, index: DataFrame, betas: Da
     """(book, scenario, portfolio, index, lines, proxies, missing): what each portfolio would lose.
 
     For each window (name, first day, last day) a name's return is that of its closes on the two days, else its beta times
-    the index's; names with neither are missing and count as 0. gap: the heaviest name (of equal ones the last) falls by
+    the index's; names with neither are missing and count as 0. A close of 0 on the last day is a return of -1; on the first
+    it is no close. gap: the heaviest name (of equal ones the last) falls by
     that much. circuit: the index falls by that much and each name by its beta times it, no further than gap. weights:
     (book, symbol, weight); closes: (symbol, d, close); index: (d, close); betas: (symbol, beta).
     """
     spark = weights.sparkSession
     days = spark.createDataFrame([(n, at, day) for n, *pair in windows for at, day in zip(("first", "last"), pair, strict=True)], "scenario string, at string, d string").withColumn("d", C("d").cast("date"))
     ends = lambda d, keys: d.join(F.broadcast(days), "d").groupBy(*keys, "scenario").agg(F.max(F.when(C("at") == "first", C("close"))).alias("c0"), F.max(F.when(C("at") == "last", C("close"))).alias("c1"))
-    own = ends(closes, [symbol]).select(symbol, "scenario", (C("c1") / C("c0") - 1).alias("own"))
-    market = ends(index, []).select("scenario", (C("c1") / C("c0") - 1).alias("market"))
+    own = ends(closes, [symbol]).select(symbol, "scenario", (F.try_divide("c1", "c0") - 1).alias("own"))
+    market = ends(index, []).select("scenario", (F.try_divide("c1", "c0") - 1).alias("market"))
     w = weights.join(betas, symbol, "left")
     names = F.explode(F.array(*[F.lit(n) for n, *_ in windows])).alias("scenario")
     h = w.select(book, symbol, "weight", "beta", names).join(own, [symbol, "scenario"], "left").join(F.broadcast(market), "scenario", "left")
