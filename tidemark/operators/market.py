@@ -268,9 +268,12 @@ def etf_flows(df: DataFrame, by: str, idx: str, shares: str, nav: str) -> DataFr
 
 
 def decile_odds(df: DataFrame, by: str, idx: str, score: str, price: str, horizon: int, hold_out: Column) -> DataFrame:
-    """(decile, n, odds, mean) of the return to horizon sessions later, against the base rate, without held-out rows."""
+    """(decile, n, odds, mean) of the return to horizon sessions later, against the base rate, without held-out rows.
+
+    A fall to a price of 0 is a return of -1; from a price of 0 there is none.
+    """
     w = Window.partitionBy(by).orderBy(idx)
-    d = df.withColumn("fwd", F.lead(price, horizon).over(w) / C(price) - 1).where(~hold_out).where("fwd IS NOT NULL")
+    d = df.withColumn("fwd", F.try_divide(F.lead(price, horizon).over(w), price) - 1).where(~hold_out).where("fwd IS NOT NULL")
     d = d.withColumn("decile", F.ntile(10).over(Window.partitionBy(idx).orderBy(score, by)))
     base = d.agg(F.avg((C("fwd") > 0).cast("int")).alias("base"))
     g = d.groupBy("decile").agg(F.count("*").alias("n"), F.avg((C("fwd") > 0).cast("int")).alias("odds"), F.avg("fwd").alias("mean"))

@@ -342,8 +342,8 @@ def r18(spark, sf):
     return m.select("sid", "close", F.round("ma", 6).alias("ma"), (C("close") > C("ma")).alias("bull"))
 
 
-@query("r19_decile_odds", ", f AS (SELECT sid, idx, amount, lead(close, 3) OVER (PARTITION BY sid ORDER BY idx) / nullif(close, 0) - 1 AS fwd FROM panel), g AS (SELECT *, ntile(10) OVER (PARTITION BY idx ORDER BY amount, sid) AS decile FROM f WHERE idx < 24 AND fwd IS NOT NULL) SELECT decile, count(*) AS n, round(avg(CAST(fwd > 0 AS INT)), 6) AS odds, round(avg(fwd), 5) AS mean, round((SELECT avg(CAST(fwd > 0 AS INT)) FROM g), 6) AS base FROM g GROUP BY decile", "panel")
+@query("r19_decile_odds", ", f AS (SELECT sid, idx, round(amount, 6) AS amount, lead(close, 3) OVER (PARTITION BY sid ORDER BY idx) / nullif(close, 0) - 1 AS fwd FROM panel), g AS (SELECT *, ntile(10) OVER (PARTITION BY idx ORDER BY amount, sid) AS decile FROM f WHERE idx < 24 AND fwd IS NOT NULL) SELECT decile, count(*) AS n, round(avg(CAST(fwd > 0 AS INT)), 6) AS odds, round(avg(fwd), 5) AS mean, round((SELECT avg(CAST(fwd > 0 AS INT)) FROM g), 6) AS base FROM g GROUP BY decile", "panel")
 def r19(spark, sf):
-    p = views.panel(spark, sf).withColumn("close", F.nullif("close", F.lit(0.0)))
+    p = views.panel(spark, sf).withColumn("amount", F.round("amount", 6))  # a sum's last bits depend on its order
     d = market.decile_odds(p, "sid", "idx", "amount", "close", 3, C("idx") >= 24)
     return d.select("decile", "n", F.round("odds", 6).alias("odds"), F.round("mean", 5).alias("mean"), F.round("base", 6).alias("base"))
