@@ -1,7 +1,7 @@
 """Fans of parallel lines through three swings, scored by how often prices turn at them against the same fan moved at random.
 
 The lines of a fan are equally far apart, so the line that a bar meets first is found by a division, whatever the number of
-lines; all of a security's fans and their random moves are worked on side by side, day after day.
+lines. Each day's touch and its end are found for all days, fans and random moves at once; then each fan goes from touch to touch.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
+SIDE_BY_SIDE = 32  # fans worked on at once, which bounds the memory of a task
 
 
 @dataclass(frozen=True)
@@ -58,35 +59,40 @@ def turns(close: np.ndarray, high: np.ndarray, low: np.ndarray, size: np.ndarray
     whose horizon is not there yet ends the count.
     """
     n, days = base.shape
-    out, free, done = np.zeros((n, 2), int), np.ones(n, int), np.zeros(n, bool)
-    for d in range(1, days):
-        a, before = size[d - 1], close[d - 1]
-        if np.isnan([a, before, low[d], high[d]]).any():
-            continue
-        on = np.flatnonzero((free <= d) & ~done)
-        tol, here, gap = rules.touch * a, base[on, d], span[on]
+    out = np.zeros((n, 2), int)
+    at = np.flatnonzero(~(np.isnan(size[:-1]) | np.isnan(close[:-1]) | np.isnan(low[1:]) | np.isnan(high[1:]))) + 1
+    a, before = size[at - 1], close[at - 1]
+    tol, here, gap = rules.touch * a, base[:, at], span[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
         # the highest line strictly under the close less tol, and the lowest strictly over the close plus tol
         under = here + (np.ceil((before - tol - here) / gap) - 1) * gap
         over = here + (np.floor((before + tol - here) / gap) + 1) * gap
-        from_above, from_below = low[d] <= under + tol, high[d] >= over - tol
+        from_above, from_below = low[at] <= under + tol, high[at] >= over - tol
         upper = from_above & (~from_below | (over - before >= before - under))
-        met = upper | from_below
-        on, k = on[met], np.round(((np.where(upper, under, over) - here) / gap)[met])
-        if not len(on):
-            continue
-        side = np.where(upper[met], 1.0, -1.0)
-        window = slice(d, min(d + rules.horizon, days))
-        line = base[on, window] + (k * span[on])[:, None]
-        way = side[:, None] * (close[window] - line) / (rules.move * a)
-        ends = np.abs(np.where(np.isnan(way), 0, way)) >= 1
-        first = np.where(ends.any(1), ends.argmax(1), rules.horizon)
-        open_ = ~ends.any(1) & (d + rules.horizon > days)
-        done[on[open_]] = True
-        said = ends.any(1)
-        turned = way[np.arange(len(on)), np.minimum(first, way.shape[1] - 1)] > 0
-        out[on[said & turned], 0] += 1
-        out[on[said & ~turned], 1] += 1
-        free[on] = d + np.where(said, first + 1, rules.horizon)
+        row, t = np.nonzero(upper | from_below)
+        upper = upper[row, t]
+        k = np.round((np.where(upper, under[row, t], over[row, t]) - here[row, t]) / span[row])
+        # the end of each touch, were it to count: its day, and whether prices turned
+        day, side, far, move = at[t], np.where(upper, 1.0, -1.0), k * span[row], rules.move * a[t]
+        first, turned, left = np.full(len(row), rules.horizon), np.zeros(len(row), bool), np.arange(len(row))
+        for h in range(rules.horizon):
+            left = left[day[left] + h < days]
+            d = day[left] + h
+            way = side[left] * (close[d] - (base[row[left], d] + far[left])) / move[left]
+            ends = np.abs(np.where(np.isnan(way), 0, way)) >= 1
+            first[left[ends]], turned[left[ends]] = h, way[ends] > 0
+            left = left[~ends]
+    said = first < rules.horizon
+    stop = days + 1
+    free = np.where(said, day + first + 1, np.where(day + rules.horizon > days, stop, day + rules.horizon))
+    # which touch is the first of its row from a day on; none is len(row)
+    first_from = np.full((n, stop + rules.horizon + 1), len(row))
+    first_from[row, day] = np.arange(len(row))
+    first_from = np.minimum.accumulate(first_from[:, ::-1], axis=1)[:, ::-1]
+    now = first_from[:, 1]
+    while len(now := now[now < len(row)]):
+        np.add.at(out, (row[now[said[now]]], np.where(turned[now[said[now]]], 0, 1)), 1)
+        now = first_from[row[now], free[now]]
     return out
 
 
@@ -106,21 +112,25 @@ def fan_scores(swings: DataFrame, bars: DataFrame, by: str, at: str, rules: Rule
         b, s = g[g["kind"].isna()].sort_values("x"), g[g["kind"].notna()].sort_values("x")
         x, high, low, close, atr = (b[c].to_numpy(float) for c in ("x", "high", "low", "close", "atr"))
         sx, price = s["x"].to_numpy(float), s["price"].to_numpy(float)
-        found = []
+        found, begins = [], {}
         if len(b) and not np.isnan(atr[-1]):
             for direction, i, j, k in candidates(sx, price, (s["kind"] == "low").to_numpy(), rules, atr[-1]):
                 if x[-1] - sx[k] < rules.least_bars:
                     continue
                 begin = int(np.searchsorted(x, max(sx[k] + 1, x[-1] - rules.most_bars + 1))) - 1
-                days = slice(begin, len(x))
                 slope = (price[j] - price[i]) / (sx[j] - sx[i])
-                base = price[i] + slope * (x[days] - sx[i])
                 span = abs(rules.step * (price[k] - price[i] - slope * (sx[k] - sx[i])))
-                moved = np.r_[0.0, np.random.default_rng(rules.seed).uniform(0.0, span, rules.moves)]
-                t = turns(close[days], high[days], low[days], atr[days], base + moved[:, None], np.full(len(moved), span), rules)
-                real, null_ = t[0, 0], t[1:, 0]
+                begins.setdefault(begin, []).append((direction, i, j, k, slope, span))
+        for begin, some in ((b, f[at : at + SIDE_BY_SIDE]) for b, f in begins.items() for at in range(0, len(f), SIDE_BY_SIDE)):
+            days = slice(begin, len(x))
+            moved = [np.r_[0.0, np.random.default_rng(rules.seed).uniform(0.0, span, rules.moves)] for *_, span in some]
+            base = [price[i] + slope * (x[days] - sx[i]) + m[:, None] for (_, i, _, _, slope, _), m in zip(some, moved, strict=True)]
+            spans = np.repeat([span for *_, span in some], rules.moves + 1)
+            t = turns(close[days], high[days], low[days], atr[days], np.vstack(base), spans, rules).reshape(len(some), rules.moves + 1, 2)
+            for (direction, i, j, k, _, _), one in zip(some, t, strict=True):
+                real, null_ = one[0, 0], one[1:, 0]
                 score = (real - null_.mean()) / max(null_.std(), 1.0)
-                found.append((g[by].iloc[0], direction, int(sx[i]), int(sx[j]), int(sx[k]), int(real), null_.mean(), null_.std(), score, (1 + (null_ >= real).sum()) / (1 + len(null_)), int(t[0, 1])))
+                found.append((g[by].iloc[0], direction, int(sx[i]), int(sx[j]), int(sx[k]), int(real), null_.mean(), null_.std(), score, (1 + (null_ >= real).sum()) / (1 + len(null_)), int(one[0, 1])))
         out = []
         for direction in ("up", "down"):
             some = sorted((f for f in found if f[1] == direction), key=lambda f: (-f[8], -f[4], f[2], f[3]))[:best]

@@ -13,16 +13,24 @@ from .registry import query
 C = F.col
 
 
-def numbered_bars(spark, sf):
-    """(sid, n, open, high, low, close, atr): days of suppliers' line prices, n the number of the day in its supplier."""
+def days(spark, sf):
+    """(sid, n, d, open, high, low, close, volume): days of suppliers' line prices, n the number of the day in its supplier.
+
+    Lines are brought together by supplier at once, so days, their numbers and all that follows in a supplier's order of days
+    need one shuffle and one sort.
+    """
     li = views.read(spark, sf, "lineitem").where("l_quantity > 0").withColumn("p", C("l_extendedprice") / C("l_quantity") / 100)
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-    b = li.groupBy(C("l_suppkey").alias("sid"), C("l_shipdate").cast("date").alias("d")).agg(
-        F.min_by("p", at).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", at).alias("close"),
+    li = li.select(C("l_suppkey").alias("sid"), C("l_shipdate").cast("date").alias("d"), at.alias("at"), "p", "l_quantity").repartition("sid")
+    b = li.groupBy("sid", "d").agg(
+        F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"), F.sum("l_quantity").alias("volume"),
     )
-    b = b.withColumn("n", (F.row_number().over(Window.partitionBy("sid").orderBy("d")) - 1).cast("long"))
-    atr = technical.recursive_indicators(b, "sid", "n").select("sid", "n", "atr")
-    return b.join(atr, ["sid", "n"])
+    return b.withColumn("n", (F.row_number().over(Window.partitionBy("sid").orderBy("d")) - 1).cast("long"))
+
+
+def numbered_bars(spark, sf):
+    """(sid, n, d, open, high, low, close, atr): days with their average range."""
+    return technical.with_average_range(days(spark, sf).select("sid", "n", "d", "open", "high", "low", "close"), "sid", "d")
 
 
 def swings(bars):
@@ -57,11 +65,8 @@ PERIODS = signals.Periods(short=8, middle=15, long=30, strength=7, fast=5, slow=
 
 
 def measured(spark, sf):
-    li = views.read(spark, sf, "lineitem").where("l_quantity > 0").groupBy(C("l_suppkey").alias("sid"), C("l_shipdate").cast("date").alias("d")).agg(F.sum("l_quantity").alias("volume"))
-    b = numbered_bars(spark, sf).drop("atr")
-    days = li.withColumn("n", (F.row_number().over(Window.partitionBy("sid").orderBy("d")) - 1).cast("long")).select("sid", "n", "volume")
-    b = b.join(days, ["sid", "n"])
-    m = signals.measured(b.select("sid", "n", "open", "high", "low", "close", "volume"), "sid", "n", PERIODS)
+    b = days(spark, sf).drop("d")
+    m = signals.measured(b, "sid", "n", PERIODS)
     return signals.with_last_swings(m, swings(b), "sid", "n")
 
 
