@@ -6,8 +6,10 @@ those rows. The rows of one page are brought together by its id; nothing else is
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 C = F.col
+PAGES_AT_ONCE = 250  # pages whose rows a task holds in Python
 GRID = "table_no int, anchor string, row_no int, head boolean, cells array<string>"
 
 
@@ -23,6 +26,35 @@ def fold(text: str) -> str:
     return " ".join(text.split())
 
 
+#: A tag of plain letters and digits with plain attributes.
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z]+=(?:[A-Za-z0-9_-]+|\"[^\"<>&]*\"))*)>")
+ATTRIBUTE = re.compile(r"([A-Za-z]+)=(?:\"([^\"]*)\"|([A-Za-z0-9_-]+))")
+#: Elements in which the library reads text, not tags.
+RAW = {"script", "style", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
+def read_page(parser: HTMLParser, page: str) -> None:
+    """What the library's feed and close tell the parser. Pages of plain tags only are cut by one pattern, all else by the library."""
+    parts = TAG.split(page)
+    texts, slashes, tags, attrs = parts[0::4], parts[1::4], [t.lower() for t in parts[2::4]], parts[3::4]
+    plain = not any("<" in t for t in texts) and RAW.isdisjoint(tags) and not any(s and a for s, a in zip(slashes, attrs, strict=True))
+    # a title's tags would be text
+    plain = plain and all(n + 1 < len(tags) and slashes[n + 1] and tags[n + 1] == "title" for n, t in enumerate(tags) if t == "title" and not slashes[n])
+    if not plain:
+        parser.feed(page)
+        parser.close()
+        return
+    if texts[0]:
+        parser.handle_data(unescape(texts[0]))
+    for slash, tag, attr, text in zip(slashes, tags, attrs, texts[1:], strict=True):
+        if slash:
+            parser.handle_endtag(tag)
+        else:
+            parser.handle_starttag(tag, [(n.lower(), q or v) for n, q, v in ATTRIBUTE.findall(attr)] if attr else [])
+        if text:
+            parser.handle_data(unescape(text))
+
+
 # ---- tables
 
 
@@ -35,8 +67,7 @@ class _Cells(HTMLParser):
         self.around: list[int] = []
         self.cell: list | None = None
         self.heads = 0
-        self.feed(page)
-        self.close()
+        read_page(self, page)
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -103,8 +134,10 @@ def _per_page(pages: DataFrame, id_: str, html: str, schema: str, rows) -> DataF
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *row) for i, h in zip(b["id"], b["html"], strict=True) for row in rows(h or "")], columns=["id", *names])
+        for whole in batches:
+            for at in range(0, len(whole), PAGES_AT_ONCE):
+                b = whole.iloc[at : at + PAGES_AT_ONCE]
+                yield pd.DataFrame([(i, *row) for i, h in zip(b["id"], b["html"], strict=True) for row in rows(h or "")], columns=["id", *names])
 
     kind = pages.schema[id_].dataType.simpleString()
     return pages.select(C(id_).alias("id"), C(html).alias("html")).mapInPandas(run, f"id {kind}, {schema}").withColumnRenamed("id", id_)
@@ -280,8 +313,7 @@ class _Outline(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts = [[-1, [], [], 0, 0, 0]]  # level, title, text, elements, tables, links
         self.heading = self.hidden = None
-        self.feed(page)
-        self.close()
+        read_page(self, page)
 
     def handle_starttag(self, tag, attrs):
         if tag in self.LEVELS:
