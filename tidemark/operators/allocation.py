@@ -43,7 +43,9 @@ def share(df: DataFrame, keys: list[str], score: str, cap: str, budget: Column,
     d = df.withColumn("__s", s).withColumn("__c", F.when(C("__s") > 0, C(cap).cast("double")).otherwise(0.0)).withColumn("__b", budget.cast("double"))
     w = Window.partitionBy(*keys).orderBy(F.try_divide("__c", "__s").asc_nulls_first(), *order)
     capped = F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("__s").over(w.rowsBetween(0, Window.unboundedFollowing))
+    # a frame up to the end would be summed anew for each row, so the sum of what follows runs in the opposite order
+    back = Window.partitionBy(*keys).orderBy(F.try_divide("__c", "__s").desc_nulls_last(), *[F.desc(c) for c in order])
+    left = F.sum("__s").over(back.rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("__k", F.try_divide(C("__b") - capped, left))
     # a name is free if its group's k, were all before it capped, leaves it below its cap
     free = (C("__s") > 0) & (C("__k") * C("__s") < C("__c"))
