@@ -157,7 +157,8 @@ def consensus_blobs(spark, sf):
     )
     body = lambda s: F.to_json(F.create_map(L("c1"), F.to_json(s, {"ignoreNullFields": "false"})))
     both = rows.select("sid", F.explode(F.array(F.struct(L("main").alias("endpoint"), body(main).alias("t")), F.struct(L("side").alias("endpoint"), body(side).alias("t")))).alias("e")).select("sid", "e.*")
-    packed = F.when((C("sid") % 10 == 3) & (C("endpoint") == "side"), F.encode("t", "UTF-8")).when((C("sid") % 10 == 4) & (C("endpoint") == "main"), forms.deflate(L("[1, 2]"))).otherwise(forms.deflate("t"))
+    held = F.when((C("sid") % 10 == 4) & (C("endpoint") == "main"), "[1, 2]").otherwise(C("t"))
+    packed = F.when((C("sid") % 10 == 3) & (C("endpoint") == "side"), F.encode("t", "UTF-8")).otherwise(forms.deflate(held))
     return both.select("sid", "endpoint", packed.alias("body"))
 
 

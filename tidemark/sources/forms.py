@@ -438,6 +438,9 @@ def inflate(bodies: pd.Series) -> pd.Series:
     return bodies.map(one)
 
 
+inflate = inflate.asNondeterministic()  # a filter on what it gives must not open every body once more
+
+
 @F.pandas_udf(T.BinaryType())
 def deflate(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else zlib.compress(t.encode(), 1))
@@ -467,11 +470,12 @@ def monthly_consensus(blobs: DataFrame, keys: list[str], endpoint: str, body: st
     both has no value (main's stays, empty or not), mismatch where they differ; a label that a chart repeats with another
     value counts as repeated.
     """
-    p, rejects = charts(blobs, [*keys, endpoint], body)
+    rejects = charts(blobs, [*keys, endpoint], body)[1]
+    of = lambda name: charts(blobs.where(C(endpoint) == name), keys, body)[0]
     at = lambda c: F.get(C(c), C("i"))
-    m = p.where(C(endpoint) == main).select(*keys, C("select_item_name").alias("metric"), "label", at("select_item").alias("value"), at("close_price").alias("close"), at("target_price").alias("target"))
+    m = of(main).select(*keys, C("select_item_name").alias("metric"), "label", at("select_item").alias("value"), at("close_price").alias("close"), at("target_price").alias("target"))
     m = m.groupBy(*keys, "metric", "label").agg(F.min("value").alias("value"), F.max("value").alias("__top"), F.max("close").alias("close"), F.max("target").alias("target"))
-    s = p.where(C(endpoint) == side).select(*keys, C("item_name").alias("metric"), "label", at("avg").alias("avg"), F.get(at("min_max"), F.lit(0)).alias("lo"), F.get(at("min_max"), F.lit(1)).alias("hi"))
+    s = of(side).select(*keys, C("item_name").alias("metric"), "label", at("avg").alias("avg"), F.get(at("min_max"), F.lit(0)).alias("lo"), F.get(at("min_max"), F.lit(1)).alias("hi"))
     s = s.groupBy(*keys, "metric", "label").agg(F.min("avg").alias("avg"), F.max("avg").alias("__stop"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.lit(True).alias("__side"))
     j = m.withColumn("__main", F.lit(True)).join(s, [*keys, "metric", "label"], "full")
     seen = (
