@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
@@ -28,74 +29,124 @@ def fold(text: str) -> str:
 
 #: A tag of plain letters and digits with plain attributes.
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z]+=(?:[A-Za-z0-9_-]+|\"[^\"<>&]*\"))*)>")
+BRACKETS = re.compile(r"(<[^<>]*>)")
 ATTRIBUTE = re.compile(r"([A-Za-z]+)=(?:\"([^\"]*)\"|([A-Za-z0-9_-]+))")
 #: Elements in which the library reads text, not tags.
 RAW = {"script", "style", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
 
 
+@lru_cache(10_000)
+def plain_tag(tag: str) -> tuple[bool, str, list[tuple[str, str]]] | None:
+    """(is an end, name, attributes) of a tag with its brackets; None if it isn't plain. Pages have few different tags."""
+    m = TAG.fullmatch(tag)
+    if m is None or m[2].lower() in RAW or (m[1] and m[3]):
+        return None
+    return bool(m[1]), m[2].lower(), [(n.lower(), q or v) for n, q, v in ATTRIBUTE.findall(m[3])]
+
+
+short_text = lru_cache(10_000)(unescape)
+
+
+def plain_text(text: str) -> str:
+    return text if "&" not in text else short_text(text) if len(text) < 50 else unescape(text)
+
+
+def plain_parts(page: str) -> tuple[list[str], list[tuple[bool, str, list[tuple[str, str]]]]] | None:
+    """(texts, tags) of a page of plain tags only, as one pattern cuts it; None if the library must read it."""
+    parts = BRACKETS.split(page)
+    texts, tags = parts[0::2], [plain_tag(t) for t in parts[1::2]]
+    # a tag has no < but its first
+    if None in tags or page.count("<") != len(tags):
+        return None
+    # a title's tags would be text
+    if "<title" in page.lower() and not all(n + 1 < len(tags) and tags[n + 1][:2] == (True, "title") for n, (end, tag, _) in enumerate(tags) if tag == "title" and not end):
+        return None
+    return texts, tags
+
+
 def read_page(parser: HTMLParser, page: str) -> None:
     """What the library's feed and close tell the parser. Pages of plain tags only are cut by one pattern, all else by the library."""
-    parts = TAG.split(page)
-    texts, slashes, tags, attrs = parts[0::4], parts[1::4], [t.lower() for t in parts[2::4]], parts[3::4]
-    plain = not any("<" in t for t in texts) and RAW.isdisjoint(tags) and not any(s and a for s, a in zip(slashes, attrs, strict=True))
-    # a title's tags would be text
-    plain = plain and all(n + 1 < len(tags) and slashes[n + 1] and tags[n + 1] == "title" for n, t in enumerate(tags) if t == "title" and not slashes[n])
-    if not plain:
+    cut = plain_parts(page)
+    if cut is None:
         parser.feed(page)
         parser.close()
         return
+    texts, tags = cut
     if texts[0]:
-        parser.handle_data(unescape(texts[0]))
-    for slash, tag, attr, text in zip(slashes, tags, attrs, texts[1:], strict=True):
-        if slash:
+        parser.handle_data(plain_text(texts[0]))
+    for (end, tag, attrs), text in zip(tags, texts[1:], strict=True):
+        if end:
             parser.handle_endtag(tag)
         else:
-            parser.handle_starttag(tag, [(n.lower(), q or v) for n, q, v in ATTRIBUTE.findall(attr)] if attr else [])
+            parser.handle_starttag(tag, attrs)
         if text:
-            parser.handle_data(unescape(text))
+            parser.handle_data(plain_text(text))
 
 
 # ---- tables
 
 
 class _Cells(HTMLParser):
-    """Tables of a page: (anchor, rows), a row a list of (text, rows spanned, columns spanned, is a header)."""
+    """Tables of a page: (anchor, rows), a row a list of [text, rows spanned, columns spanned, is a header].
+
+    Plain pages are told apart by begin and end alone, without the library's calls for every tag and text.
+    """
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.tables: list[tuple[str | None, list[list[list]]]] = []
-        self.around: list[int] = []
+        self.around: list[list[list[list]]] = []  # the rows of the tables around
         self.cell: list | None = None
         self.heads = 0
-        read_page(self, page)
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "table":
-            self.around.append(len(self.tables))
+        cut = plain_parts(page)
+        if cut is None:
+            self.feed(page)
+            self.close()
+            return
+        for (end, tag, attrs), text in zip(cut[1], cut[0][1:], strict=True):
+            if tag in self.TAGS:
+                if not end:
+                    self.begin(tag, dict(attrs) if attrs else {})
+                elif tag == "td":
+                    self.cell = None
+                else:
+                    self.handle_endtag(tag)
+            if text and self.cell is not None:
+                self.cell[0] += plain_text(text)
+
+    TAGS = frozenset(("table", "thead", "tr", "td", "th"))
+
+    def begin(self, tag: str, a: dict) -> None:
+        if tag in ("td", "th"):
+            if self.around:
+                rows = self.around[-1]
+                if not rows:
+                    rows.append([])
+                down, across = [min(int(v), 1000) if (v := a.get(n) or "1").isdigit() and int(v) else 1 for n in ("rowspan", "colspan")] if a else (1, 1)
+                self.cell = ["", down, across, tag == "th" or self.heads > 0]
+                rows[-1].append(self.cell)
+        elif tag == "tr":
+            if self.around:
+                self.around[-1].append([])
+                self.cell = None
+        elif tag == "table":
             self.tables.append((a.get("id"), []))
+            self.around.append(self.tables[-1][1])
             self.cell = None
         elif tag == "thead":
             self.heads += 1
-        elif tag == "tr" and self.around:
-            self.tables[self.around[-1]][1].append([])
-            self.cell = None
-        elif tag in ("td", "th") and self.around:
-            rows = self.tables[self.around[-1]][1]
-            if not rows:
-                rows.append([])
-            spans = [int(v) if (v := a.get(n) or "1").isdigit() and int(v) else 1 for n in ("rowspan", "colspan")]
-            self.cell = ["", *(min(s, 1000) for s in spans), tag == "th" or self.heads > 0]
-            rows[-1].append(self.cell)
+
+    def handle_starttag(self, tag, attrs):
+        self.begin(tag, dict(attrs))
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.around:
+        if tag in ("td", "th"):
+            self.cell = None
+        elif tag == "table" and self.around:
             self.around.pop()
             self.cell = None
         elif tag == "thead":
             self.heads = max(0, self.heads - 1)
-        elif tag in ("td", "th"):
-            self.cell = None
 
     def handle_data(self, data):
         if self.cell is not None:
@@ -108,6 +159,9 @@ def grid_rows(page: str) -> list[tuple[int, str | None, int, bool, list[str]]]:
     for t, (anchor, rows) in enumerate(_Cells(page).tables):
         below: dict[int, tuple[str, int, bool]] = {}  # column -> what hangs into the next row
         for r, row in enumerate(rows):
+            if not below and all(down == 1 and across == 1 for _, down, across, _ in row):
+                out.append((t, anchor, r, bool(row) and all(c[3] for c in row), [fold(c[0]) for c in row]))
+                continue
             line: dict[int, tuple[str, bool]] = {}
             hang = {}
             for c, (text, left, head) in below.items():
@@ -189,12 +243,16 @@ def analyst_summary(pages: DataFrame, rows: DataFrame, id_: str, html: str, anch
     status: ok; no_opinion where the row is one note (an analyst count of 0 if it speaks of three months, also where the
     count is empty and the brokers' table holds just that note); no_data for a short page that only redirects; else failed.
     """
-    last = rows.where((C("anchor") == anchor) & ~C("head")).groupBy(id_).agg(F.max_by("cells", F.struct(-C("table_no"), C("row_no"))).alias("cells"))
-    said = rows.where((C("anchor") == broker_anchor) & ~C("head")).groupBy(id_).agg(F.count("*").alias("n"), F.max(C("cells")[0]).alias("said"), F.max(F.size(F.array_distinct("cells"))).alias("width"))
-    said = said.where((C("n") == 1) & (C("width") == 1) & C("said").rlike(NO_OPINION)).select(id_, "said")
+    # both tables by one grouping, so that the pages are read once
+    mine, theirs = (C("anchor") == anchor) & ~C("head"), (C("anchor") == broker_anchor) & ~C("head")
+    g = rows.where(mine | theirs).groupBy(id_).agg(
+        F.max_by(F.when(mine, C("cells")), F.when(mine, F.struct(-C("table_no"), C("row_no")))).alias("cells"),
+        F.count_if(theirs).alias("__n"), F.max(F.when(theirs, C("cells")[0])).alias("said"), F.max(F.when(theirs, F.size(F.array_distinct("cells")))).alias("__width"),
+    )
+    said = F.when((C("__n") == 1) & (C("__width") == 1) & C("said").rlike(NO_OPINION), C("said"))
     base = F.nullif(F.regexp_extract(html, r"\[기준:([0-9.]+)\]", 1), F.lit(""))
     redirect = C(html).contains("alert(") & (F.length(html) < 1000)
-    d = pages.select(id_, base.alias("base_date"), redirect.alias("__redirect")).join(last, id_, "left").join(said, id_, "left")
+    d = pages.select(id_, base.alias("base_date"), redirect.alias("__redirect")).join(g.select(id_, "cells", said.alias("said")), id_, "left")
     one = F.size(F.array_distinct("cells")) == 1
     status = F.when(C("cells").isNull(), F.when(C("__redirect"), "no_data").otherwise("failed")).when(one & (C("cells")[0] != ""), "no_opinion").when(F.size("cells") == len(SUMMARY), "ok").otherwise("failed")
     d = d.withColumn("status", status)
