@@ -18,6 +18,7 @@ from .joins import asof_backward
 from .technical import smoothed, true_range
 
 C = F.col
+CELLS_AT_ONCE = 500_000  # cells of windows by bins that are held at a time
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,42 @@ def profile(high: np.ndarray, low: np.ndarray, volume: np.ndarray, bins: int) ->
     return edges, volume @ share
 
 
+def profiles(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, n: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(price of the largest bin, share of volume in bins above the close) of the last n bars up to each bar, by profile.
+
+    Windows are taken CELLS_AT_ONCE cells at a time, not one by one.
+    """
+    best, above = np.full(len(high), np.nan), np.full(len(high), np.nan)
+    if len(high) < n:
+        return best, above
+    step = max(1, CELLS_AT_ONCE // (n * bins))
+    h, lo, vol = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (high, low, volume))
+    for at in range(0, len(h), step):
+        hs, ls, vs, last = h[at : at + step], lo[at : at + step], vol[at : at + step], np.arange(at + n - 1, min(at + step, len(h)) + n - 1)
+        bottom, top = ls.min(1), hs.max(1)
+        wide = np.flatnonzero(top > bottom)
+        for i in np.flatnonzero(~(top > bottom)):
+            edges, v = profile(hs[i], ls[i], vs[i], bins)
+            middle = (edges[:-1] + edges[1:]) / 2
+            best[last[i]] = middle[v.argmax()]
+            if v.sum() > 0:
+                above[last[i]] = v[middle > close[last[i]]].sum() / v.sum()
+        hs, ls, vs, last = hs[wide], ls[wide], vs[wide], last[wide]
+        edges = np.linspace(bottom[wide], top[wide], bins + 1, axis=1)
+        over = np.minimum(hs[:, :, None], edges[:, None, 1:]) - np.maximum(ls[:, :, None], edges[:, None, :-1])
+        span = hs - ls
+        share = np.clip(over, 0, None) / np.where(span > 0, span, 1)[:, :, None]
+        w, b = np.nonzero(span <= 0)
+        share[w, b, np.minimum((edges[w] <= ls[w, b][:, None]).sum(1) - 1, bins - 1)] = 1
+        v = np.matmul(vs[:, None, :], share)[:, 0, :]
+        middle = (edges[:, :-1] + edges[:, 1:]) / 2
+        best[last] = np.take_along_axis(middle, v.argmax(1)[:, None], 1)[:, 0]
+        total = v.sum(1)
+        some = total > 0
+        above[last[some]] = np.where(middle > close[last][:, None], v, 0).sum(1)[some] / total[some]
+    return best, above
+
+
 def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods()) -> DataFrame:
     """bars (by, at, open, high, low, close, volume) with everything that the signals need; null where it isn't defined yet."""
     w = Window.partitionBy(by).orderBy(at)
@@ -68,15 +105,8 @@ def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods()) -> DataF
             rsi = np.where(fall == 0, 100.0, gain / (gain + fall) * 100)
         rsi = np.where(np.isnan(gain), np.nan, rsi)
         macd = ema(close, p.fast) - ema(close, p.slow)
-        poc, above = np.full(len(g), np.nan), np.full(len(g), np.nan)
-        for i in range(p.profile - 1, len(g)):
-            some = slice(i - p.profile + 1, i + 1)
-            edges, v = profile(high[some], low[some], volume[some], p.bins)
-            middle = (edges[:-1] + edges[1:]) / 2
-            if i + 1 < len(g):  # of the bars before a bar
-                poc[i + 1] = middle[v.argmax()]
-            if v.sum() > 0:
-                above[i] = v[middle > close[i]].sum() / v.sum()
+        best, above = profiles(high, low, close, volume, p.profile, p.bins)
+        poc = np.r_[np.nan, best[:-1]]  # of the bars before a bar
         out = dict(zip(names, (ema(close, p.short), ema(close, p.middle), rsi, macd, ema(macd, p.signal), smoothed(g["range"].to_numpy(float), p.strength, 1 / p.strength), poc, above), strict=True))
         return pd.DataFrame({by: g[by], at: g[at], **{k: pd.Series(v, index=g.index).where(~np.isnan(v), None) for k, v in out.items()}})
 
