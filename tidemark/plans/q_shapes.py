@@ -33,6 +33,12 @@ def numbered_bars(spark, sf):
     return technical.with_average_range(days(spark, sf).select("sid", "n", "d", "open", "high", "low", "close"), "sid", "d")
 
 
+def marked_bars(spark, sf):
+    """numbered_bars with the swings on their bars, both of one group a security; and the swings."""
+    m = technical.with_swings(days(spark, sf).select("sid", "n", "d", "open", "high", "low", "close"), "sid", "d", "n", 14, 2.0)
+    return m, m.where("kind IS NOT NULL").select("sid", "n", "kind", "price", "confirmed")
+
+
 def swings(bars):
     return technical.zigzag(bars.select("sid", "n", "high", "low", "close"), "sid", "n", 14, 2.0)
 
@@ -55,8 +61,8 @@ def t12_candles(spark, sf):
 
 @query("t15_trend_channels", None)
 def t15_channels(spark, sf):
-    b = numbered_bars(spark, sf)
-    return shapes.trend_channels(swings(b).select("sid", "n", "kind", "price"), b, "sid", "n", 3)
+    b, pivots = marked_bars(spark, sf)
+    return shapes.trend_channels(pivots, b, "sid", "n", 3)
 
 
 # ---- signals, zones, regimes
@@ -94,8 +100,8 @@ def t10_major(spark, sf):
 
 @query("t16_regimes", None)
 def t16_regimes(spark, sf):
-    b = numbered_bars(spark, sf)
-    return signals.regimes(b, signals.significant(swings(b), b, "sid", "n", 5), "sid", "n", 120)
+    b, pivots = marked_bars(spark, sf)
+    return signals.regimes(b, signals.significant(pivots, b, "sid", "n", 5), "sid", "n", 120)
 
 
 @query("t18_fan_scores", None)
