@@ -65,8 +65,9 @@ def plain(d, *names):
 
 @query("st2_fold_consecutive", "SELECT user_id, ts, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
 def st2(spark, sf):
-    d = drained(spark, streams.stream_fold_consecutive(events(spark, sf, True), "user_id", "ts", "event_type", "1 hour"))
-    return plain(d.where("user_id <> -1"), "ts")
+    q = streams.stream_fold_consecutive(folder(spark), "user_id", "ts", "event_type", "1 hour")
+    q.run(events(spark, sf, True))
+    return plain(q.rows(spark).where("user_id <> -1"), "ts")
 
 
 @query("st3_candles", "SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY ALL")
@@ -106,4 +107,6 @@ LEVELS_SQL = """, p AS (SELECT *, max(e) OVER (PARTITION BY k, era ORDER BY t RO
 @query("st7_drawdown", "WITH x AS (SELECT user_id AS k, ts AS t, value + 100 AS e, 0 AS era, 0 AS spell FROM events)" + LEVELS_SQL.format(halt=0.5) + ", r AS (SELECT *, last_value(CASE WHEN loss >= 0.3 THEN true WHEN loss < 0.05 THEN false END IGNORE NULLS) OVER (PARTITION BY k ORDER BY t, e ROWS UNBOUNDED PRECEDING) AS reducing FROM c) SELECT k AS account, t AS ts, CASE WHEN halted THEN 3 WHEN reducing THEN 2 WHEN loss >= 0.1 THEN 1 ELSE 0 END AS level FROM r")
 def st7(spark, sf):
     s = events(spark, sf, True).select(C("user_id").alias("account"), "ts", (F.coalesce("value", F.lit(0.0)) + 100).alias("equity"))
-    return plain(drained(spark, streams.stream_drawdown(s, "account", "ts", "equity", (0.1, 0.3, 0.5), 0.05, "1 hour")).where("account <> -1"), "ts")
+    q = streams.stream_drawdown(folder(spark), "account", "ts", "equity", (0.1, 0.3, 0.5), 0.05, "1 hour")
+    q.run(s)
+    return plain(q.rows(spark).where("account <> -1"), "ts")

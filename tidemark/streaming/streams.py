@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -36,69 +34,124 @@ def stream_runs(s: DataFrame, by: str, time: str, gap: str, delay: str) -> DataF
     return g.select(by, C("w.start").alias("start"), C("w.end").alias("end"), "n")
 
 
-def _in_order(s: DataFrame, unit: str, time: str, value: str, kind: str, delay: str, out: str, state: str, start: tuple, step) -> DataFrame:
-    """Rows of each unit in the order of event time, whatever order they come in.
+class Batched:
+    """A stream handled by micro-batches whose tables lie under root, a folder a table and a batch.
 
-    They wait in the unit's state until the watermark is past them; step(state, times, values) then gives the new state and
-    the rows to emit.
+    A batch writes its own folders anew from those of the batch before it, so a batch that is run again changes nothing.
+    Tables that only the next batch reads are kept for `keep` batches.
     """
-    columns = [c.split()[0] for c in out.split(", ")]
-
-    def run(key, batches: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        *own, times, values = st.get if st.exists else (*start, [], [])
-        rows = list(zip(times, values, strict=True))
-        if not st.hasTimedOut:
-            for b in batches:
-                rows += zip(b[time].astype("datetime64[us]").astype("int64").tolist(), b[value].tolist(), strict=True)
-        rows.sort()
-        mark = st.getCurrentWatermarkMs() * 1000
-        n = sum(at < mark for at, _ in rows)
-        done, rows = rows[:n], rows[n:]
-        emitted = []
-        if done:
-            own, emitted = step(tuple(own), [r[0] for r in done], [r[1] for r in done])
-        st.update((*own, [r[0] for r in rows], [r[1] for r in rows]))
-        if rows:
-            st.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, st.getCurrentWatermarkMs() + 1))
-        if emitted:
-            yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="us"), *v) for at, *v in emitted], columns=columns)
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    state = f"{state}, times array<bigint>, waiting array<{kind}>"
-    return s.select(unit, time, value).withWatermark(time, delay).groupBy(unit).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_fold_consecutive(s: DataFrame, unit: str, time: str, payload: str, delay: str) -> DataFrame:
+
+    def __init__(self, root: str, keep: int):
+        self.root, self.keep = root, keep
+
+    def _folder(self, spark, path: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+    def before(self, spark, table: str, batch_id: int) -> DataFrame | None:
+        """The table as of the last batch before this one; None at first."""
+        for n in range(batch_id - 1, max(-1, batch_id - 1 - self.keep), -1):
+            fs, p = self._folder(spark, f"{self.root}/{table}/batch={n}/_SUCCESS")
+            if fs.exists(p):
+                return spark.read.parquet(f"{self.root}/{table}/batch={n}")
+        return None
+
+    def put(self, d: DataFrame, table: str, batch_id: int) -> None:
+        d.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch_id}")
+
+    def drop_old(self, spark, table: str, batch_id: int) -> None:
+        if batch_id >= self.keep:
+            fs, p = self._folder(spark, f"{self.root}/{table}/batch={batch_id - self.keep}")
+            fs.delete(p, True)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        raise NotImplementedError
+
+    def run(self, s: DataFrame) -> None:
+        """All that is there now, in one batch or several."""
+        q = s.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
+class InOrder(Batched):
+    """Rows of each unit in the order of event time (equal times by value), whatever order they come in.
+
+    A row waits until the watermark, the latest time so far less a delay, is past it; rows that come behind it are dropped.
+    step(rows, own) takes the rows that are due, numbered within their unit by __n, with the unit's state of the batch before
+    in the struct `own` (null at first); it gives the rows to emit and the columns of the state as each leaves it. All is
+    joins and windows by unit, so that a batch of many units costs no call for each.
+
+    Under root: out, waiting, states and high (the latest time).
+    """
+
+    def __init__(self, root: str, unit: str, time: str, value: str, delay: str, out: list[str], states: str, step: Callable[[DataFrame, Window], tuple[DataFrame, list[Column]]], keep: int = 3):
+        super().__init__(root, keep)
+        self.unit, self.time, self.value, self.delay, self.out, self.states, self.step = unit, time, value, delay, out, states, step
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, unit, time, value = batch.sparkSession, self.unit, self.time, self.value
+        past = lambda high: F.lit(high is not None) & (C(time) < F.timestamp_micros(F.lit(high)) - F.expr(f"INTERVAL {self.delay}"))
+        highs = self.before(spark, "high", batch_id)
+        high = highs.first()[0] if highs is not None else None
+        rows = batch.select(unit, time, value).where(~F.coalesce(past(high), F.lit(False)))
+        top = batch.agg(F.unix_micros(F.max(time))).first()[0]
+        high = max((x for x in (high, top) if x is not None), default=None)
+        waiting = self.before(spark, "waiting", batch_id)
+        rows = rows if waiting is None else rows.unionByName(waiting)
+        due = C(time).isNull() | past(high)  # rows without a time wait for nothing
+
+        known = self.before(spark, "states", batch_id)
+        d = rows.where(due)
+        if known is None:
+            d = d.withColumn("own", F.lit(None).cast(f"struct<{self.states}>"))
+        else:
+            d = d.join(known.select(unit, F.struct(*[c for c in known.columns if c != unit]).alias("own")), unit, "left")
+        order = Window.partitionBy(unit).orderBy(time, value)
+        d, after = self.step(d.withColumn("__n", F.row_number().over(order)), order)
+        # a unit's last row carries its state
+        last = F.lead(F.lit(True)).over(order).isNull()
+        names = [x.split(":")[0] for x in self.states.split(", ")]
+        d = d.withColumn("__after", F.when(last, F.struct(*[c.alias(n) for c, n in zip(after, names, strict=True)])))
+        self.put(d.select(*self.out, "__after"), "out", batch_id)
+        self.put(rows.where(~due), "waiting", batch_id)
+        new = spark.read.parquet(f"{self.root}/out/batch={batch_id}").where("__after IS NOT NULL").select(unit, "__after.*")
+        self.put(new if known is None else new.unionByName(known.join(new, unit, "left_anti")), "states", batch_id)
+        self.put(spark.range(1).select(F.lit(high).cast("bigint").alias("high")), "high", batch_id)
+        for table in ("waiting", "states", "high"):
+            self.drop_old(spark, table, batch_id)
+
+    def rows(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/out").select(*self.out)
+
+
+def stream_fold_consecutive(root: str, unit: str, time: str, payload: str, delay: str) -> InOrder:
     """Rows whose payload differs from the one before, in the order of event time."""
-    t = dict(s.dtypes)
 
-    def step(own, times, payloads):
-        kept = [(at, p) for at, p, last in zip(times, payloads, [own[0], *payloads], strict=False) if p != last]
-        return (payloads[-1],), kept
+    def step(rows, order):
+        before = F.when(C("__n") == 1, C("own.last")).otherwise(F.lag(payload).over(order))
+        return rows.withColumn("__same", C(payload).eqNullSafe(before)).where("NOT __same"), [C(payload)]
 
-    return _in_order(s, unit, time, payload, "string", delay, f"{unit} {t[unit]}, {time} {t[time]}, {payload} string", "last string", (None,), step)
+    return InOrder(root, unit, time, payload, delay, [unit, time, payload], "last:string", step)
 
 
-def stream_drawdown(s: DataFrame, account: str, time: str, equity: str, limits: tuple[float, float, float], recover: float, delay: str) -> DataFrame:
+def stream_drawdown(root: str, account: str, time: str, equity: str, limits: tuple[float, float, float], recover: float, delay: str) -> InOrder:
     """(account, time, level) of each row in the order of event time, by the rules of market.drawdown_state without actions."""
-    t = dict(s.dtypes)
     warn, reduce, halt = limits
 
-    def step(own, times, values):
-        peak, loss, halted, reducing = own
-        peaks = np.maximum.accumulate([peak, *values])[1:]
-        losses = 1 - np.array(values) / peaks
-        crossed = (np.r_[loss, losses[:-1]] < halt) & (losses >= halt)
-        halts = np.logical_or.accumulate(np.r_[halted, crossed])[1:]
-        # the last row that begins (1) or ends (0) reducing decides
-        says = np.r_[int(reducing), np.select([losses >= reduce, losses < recover], [1, 0], -1)]
-        last = np.maximum.accumulate(np.where(says >= 0, np.arange(len(says)), 0))[1:]
-        levels = np.select([halts, says[last] == 1, losses >= warn], [3, 2, 1], 0)
-        return (float(peaks[-1]), float(losses[-1]), bool(halts[-1]), bool(says[last[-1]])), [(at, int(v)) for at, v in zip(times, levels, strict=True)]
+    def step(rows, order):
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        d = rows.withColumn("__peak", F.greatest("own.peak", F.max(equity).over(so_far)))
+        loss = F.when((C("__peak") == 0) & (C(equity) < 0), float("inf")).otherwise(1 - F.try_divide(C(equity), C("__peak")))
+        d = d.withColumn("__loss", loss)
+        before = F.when(C("__n") > 1, F.lag("__loss").over(order)).when(C("own").isNull(), 0.0).otherwise(C("own.loss"))
+        d = d.withColumn("__crossed", F.coalesce((before < halt) & (C("__loss") >= halt), F.lit(False)))
+        says = F.when(C("__loss") >= reduce, True).when(C("__loss") < recover, False)
+        no = F.lit(False)
+        d = d.withColumns({"__halted": F.max("__crossed").over(so_far) | F.coalesce("own.halted", no), "__reducing": F.coalesce(F.last(says, True).over(so_far), "own.reducing", no)})
+        level = F.when(C("__halted"), 3).when(C("__reducing"), 2).when(C("__loss") >= warn, 1).otherwise(0)
+        return d.withColumn("level", level), [C("__peak"), C("__loss"), C("__halted"), C("__reducing")]
 
-    start = (float("-inf"), 0.0, False, False)
-    return _in_order(s, account, time, equity, "double", delay, f"{account} {t[account]}, {time} {t[time]}, level int", "peak double, loss double, halted boolean, reducing boolean", start, step)
+    return InOrder(root, account, time, equity, delay, [account, time, "level"], "peak:double, loss:double, halted:boolean, reducing:boolean", step)
 
 
 def split_late(batch: DataFrame, high_water: DataFrame, by: str, time: str, allowed: str) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +161,7 @@ def split_late(batch: DataFrame, high_water: DataFrame, by: str, time: str, allo
     return j.where(~late).drop("high"), j.where(late).drop("high")
 
 
-class Quarantine:
+class Quarantine(Batched):
     """Micro-batches split into rows in time and late ones, against the time that each key had reached before the batch.
 
     Under root: in_time, late and high, a folder a batch. A batch writes its own folders anew, from the high-water table of
@@ -116,36 +169,22 @@ class Quarantine:
     """
 
     def __init__(self, root: str, by: str, time: str, allowed: str, keep: int = 3):
-        self.root, self.by, self.time, self.allowed, self.keep = root, by, time, allowed, keep
-
-    def _folder(self, spark, path: str):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+        super().__init__(root, keep)
+        self.by, self.time, self.allowed = by, time, allowed
 
     def high_before(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """(by, high) as of the last batch before this one; empty at first."""
-        spark = batch.sparkSession
-        for n in range(batch_id - 1, max(-1, batch_id - 1 - self.keep), -1):
-            fs, p = self._folder(spark, f"{self.root}/high/batch={n}/_SUCCESS")
-            if fs.exists(p):
-                return spark.read.parquet(f"{self.root}/high/batch={n}")
-        return batch.select(self.by, C(self.time).alias("high")).limit(0)
+        high = self.before(batch.sparkSession, "high", batch_id)
+        return batch.select(self.by, C(self.time).alias("high")).limit(0) if high is None else high
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         high = self.high_before(batch, batch_id)
         in_time, late = split_late(batch, high, self.by, self.time, self.allowed)
-        in_time.write.mode("overwrite").parquet(f"{self.root}/in_time/batch={batch_id}")
-        late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
+        self.put(in_time, "in_time", batch_id)
+        self.put(late, "late", batch_id)
         now = high.unionByName(batch.select(self.by, C(self.time).alias("high"))).groupBy(self.by).agg(F.max("high").alias("high"))
-        now.write.mode("overwrite").parquet(f"{self.root}/high/batch={batch_id}")
-        if batch_id >= self.keep:
-            fs, p = self._folder(batch.sparkSession, f"{self.root}/high/batch={batch_id - self.keep}")
-            fs.delete(p, True)
-
-    def run(self, s: DataFrame) -> None:
-        """All that is there now, in one batch or several."""
-        q = s.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        self.put(now, "high", batch_id)
+        self.drop_old(batch.sparkSession, "high", batch_id)
 
     def rows(self, spark) -> DataFrame:
         """All rows with their batch and whether they were late."""
