@@ -33,11 +33,15 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def long_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily prices of each supplier over years."""
-    x = read(spark, sf, "lineitem")
-    return x.groupBy(F.col("l_suppkey").alias("sid"), F.col("l_shipdate").cast("date").alias("d")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount")
-    )
+    """Daily prices of each supplier over years.
+
+    A supplier has one or two rows a day, so a table of all days, held before and after a shuffle, would be as large as the
+    rows. They are sorted by supplier and day after one shuffle instead; what follows by supplier needs no other.
+    """
+    x = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sid"), F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice", "l_quantity").repartition("sid")
+    day = Window.partitionBy("sid", "d")
+    x = x.withColumn("__n", F.row_number().over(day.orderBy("l_extendedprice"))).withColumns({"amount": F.sum("l_extendedprice").over(day), "volume": F.sum("l_quantity").over(day)})
+    return x.where("__n = 1").select("sid", "d", (F.col("amount") / F.col("volume")).alias("close"), "volume", "amount")
 
 
 def fundamentals(spark: SparkSession, sf: str) -> DataFrame:
