@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 C = F.col
@@ -84,7 +84,7 @@ class InOrder(Batched):
     Under root: out, waiting, states and high (the latest time).
     """
 
-    def __init__(self, root: str, unit: str, time: str, value: str, delay: str, out: list[str], states: str, step: Callable[[DataFrame, Window], tuple[DataFrame, list[Column]]], keep: int = 3):
+    def __init__(self, root: str, unit: str, time: str, value: str, delay: str, out: list[str], states: str, step: Callable[[DataFrame, WindowSpec], tuple[DataFrame, list[Column]]], keep: int = 3):
         super().__init__(root, keep)
         self.unit, self.time, self.value, self.delay, self.out, self.states, self.step = unit, time, value, delay, out, states, step
 
