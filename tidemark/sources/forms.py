@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -202,6 +203,15 @@ def grids(pages: DataFrame, id_: str, html: str) -> DataFrame:
     return _per_page(pages, id_, html, GRID, grid_rows)
 
 
+def page_tables(page: str) -> tuple[list[list[list[str]]]]:
+    return ([[cells for *_, cells in rows] for _, rows in groupby(grid_rows(page), key=lambda row: row[0])],)
+
+
+def nested_grids(pages: DataFrame, id_: str, html: str) -> DataFrame:
+    """(id, tables) a page: its tables with rows, each the cells of its rows, spans written out. Rows of a page need no grouping."""
+    return _per_page(pages, id_, html, "tables array<array<array<string>>>", lambda page: [page_tables(page)])
+
+
 def records(rows: DataFrame, id_: str) -> DataFrame:
     """(id, table_no, anchor, row_no, record) of the rows below each table's header, record a map from column to cell.
 
@@ -297,34 +307,28 @@ def prelim_results(pages: DataFrame, id_: str, html: str) -> DataFrame:
     status is failed with a reason: period_table:n or result_table:n (not one of them), period, scope, unit:x, number:item=x
     (the first that cannot be read; - and nothing are null). Values are then null; what was read before stays.
     """
-    forms = pages.where(C(html).substr(1, 4000).rlike(FORM_TITLE))
-    rows = grids(forms, id_, html)
-    row = F.struct("row_no", "cells")
-    tables = rows.groupBy(id_, "table_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    result = F.exists("rows", lambda r: (F.size(r["cells"]) >= 7) & (F.get(r["cells"], F.lit(1)) == RESULT_MARK))
-    period = F.coalesce(F.get(C("rows")[0]["cells"], F.lit(0)) == PERIOD_HEAD, F.lit(False))
-    tables = tables.withColumn("period", period).withColumn("result", F.coalesce(result, F.lit(False)))
-    one = tables.groupBy(id_).agg(
-        F.count_if("period").alias("n_period"), F.count_if("result").alias("n_result"), F.first(F.when(C("period"), C("rows")), True).alias("p"), F.first(F.when(C("result"), C("rows")), True).alias("r"),
-    )
-    d = forms.select(id_).join(one, id_, "left").fillna(0, ["n_period", "n_result"])
+    d = nested_grids(pages.where(C(html).substr(1, 4000).rlike(FORM_TITLE)), id_, html)
+    marked = lambda r: (F.size(r) >= 7) & (F.get(r, F.lit(1)) == RESULT_MARK)
+    first = lambda t: F.get(F.get(t, F.lit(0)), F.lit(0))
+    d = d.withColumns({"p": F.filter("tables", lambda t: first(t) == PERIOD_HEAD), "r": F.filter("tables", lambda t: F.exists(t, marked))})
+    d = d.select(id_, F.size("p").alias("n_period"), F.size("r").alias("n_result"), F.get("p", F.lit(0)).alias("p"), F.get("r", F.lit(0)).alias("r"))
     day = lambda x: F.regexp_extract(x, r"^(\d{4})-(\d{2})-(\d{2})$", 0)
 
     def span(label: str) -> Column:
-        found = F.get(F.filter("p", lambda r: (r["row_no"] > 0) & (F.get(r["cells"], F.lit(0)) == label)), F.lit(0))
-        days = F.filter(F.transform(F.slice(found["cells"], 2, 100), day), lambda x: x != "")
+        found = F.get(F.filter("p", lambda r, i: (i > 0) & (F.get(r, F.lit(0)) == label)), F.lit(0))
+        days = F.filter(F.transform(F.slice(found, 2, 100), day), lambda x: x != "")
         return F.when(F.size(days) == 2, F.transform(days, lambda x: x.cast("date")))
 
     d = d.withColumn("now", span(NOW)).withColumn("ago", span(YEAR_AGO))
-    flat = F.replace(F.array_join(F.flatten(F.transform("r", lambda r: r["cells"])), ""), F.lit(" "), F.lit(""))
+    flat = F.replace(F.array_join(F.flatten("r"), ""), F.lit(" "), F.lit(""))
     d = d.withColumn("scope", F.when(flat.contains(CONSOLIDATED), "consolidated").when(flat.contains(STANDALONE), "standalone"))
-    unit = F.transform(F.flatten(F.transform("r", lambda r: r["cells"])), lambda x: F.regexp_extract(x, r"단위\s*[:：]\s*([^\s,)]+)", 1))
+    unit = F.transform(F.flatten("r"), lambda x: F.regexp_extract(x, r"단위\s*[:：]\s*([^\s,)]+)", 1))
     d = d.withColumn("unit", F.get(F.filter(unit, lambda x: x != ""), F.lit(0)))
     units = F.create_map(*[F.lit(v) for kv in UNITS.items() for v in kv])
     d = d.withColumn("mult", F.try_element_at(units, C("unit")).cast("decimal(38,6)"))
     names = F.create_map(*[F.lit(v) for kv in ITEMS.items() for v in kv])
-    read = F.filter("r", lambda r: (F.size(r["cells"]) >= 7) & (F.get(r["cells"], F.lit(1)) == RESULT_MARK))
-    d = d.withColumn("read", F.transform(read, lambda r: F.struct(F.try_element_at(names, F.replace(r["cells"][0], F.lit(" "), F.lit(""))).alias("item"), r["cells"][0].alias("label"), F.trim(r["cells"][2]).alias("now"), F.trim(r["cells"][6]).alias("ago"))))
+    read = F.filter("r", marked)
+    d = d.withColumn("read", F.transform(read, lambda r: F.struct(F.try_element_at(names, F.replace(r[0], F.lit(" "), F.lit(""))).alias("item"), r[0].alias("label"), F.trim(r[2]).alias("now"), F.trim(r[6]).alias("ago"))))
     d = d.withColumn("known", F.filter("read", lambda x: x["item"].isNotNull()))
     empty = lambda x: x.isin("", "-")
     won = lambda x: F.when(x.rlike(r"^-?[0-9]{1,3}(,?[0-9]{3})*(\.[0-9]+)?$"), F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(28,6)") * C("mult"))
