@@ -1,7 +1,7 @@
 """Signals and checklist states of daily bars, horizontal zones with their tests, the market's regime.
 
-Windows give whatever looks back a fixed number of bars; smoothed values and the volume profile of each bar's last window
-come from one grouped map a security. A condition with a missing input is missing, and a signal fires on the first bar of a
+Windows give whatever looks back a fixed number of bars; smoothed values, the volume profile of each bar's last window and
+the last swings come from one grouped map a security. A condition with a missing input is missing, and a signal fires on the first bar of a
 condition that was known and false on the bar before.
 """
 
@@ -11,14 +11,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import asof_backward
-from .technical import smoothed, true_range
+from .technical import smoothed, true_range, zigzag_points
 
 C = F.col
-CELLS_AT_ONCE = 500_000  # cells of windows by bins that are held at a time
+CELLS_AT_ONCE = 50_000  # cells of windows by bins that are held at a time, few enough for a core's cache
+#: What events compares with the bar before.
+COMPARED = [
+    "rsi", "macd", "macd_signal", "close", "cloud_top", "conversion", "base", "obv", "obv_top", "close_top", "sma_short", "sd_short", "k", "dline", "ema_short", "ema_middle", "sma_middle", "sma_long", "poc",
+    "last_high", "last_low",
+]
 
 
 @dataclass(frozen=True)
@@ -88,33 +95,17 @@ def profiles(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.nd
     return best, above
 
 
-def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods()) -> DataFrame:
-    """bars (by, at, open, high, low, close, volume) with everything that the signals need; null where it isn't defined yet."""
-    w = Window.partitionBy(by).orderBy(at)
-    change = C("close") - F.lag("close").over(w)
-    d = bars.withColumn("range", true_range([by], at)).withColumn("change", change)
-    t = dict(bars.dtypes)
-    names = ["ema_short", "ema_middle", "rsi", "macd", "macd_signal", "atr", "poc", "above"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(at)
-        close, high, low, volume = (g[c].to_numpy(float) for c in ("close", "high", "low", "volume"))
-        ema = lambda x, k: smoothed(x, k, 2 / (k + 1))
-        gain, fall = (smoothed(np.clip(s * g["change"].to_numpy(float), 0, None), p.strength, 1 / p.strength) for s in (1, -1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rsi = np.where(fall == 0, 100.0, gain / (gain + fall) * 100)
-        rsi = np.where(np.isnan(gain), np.nan, rsi)
-        macd = ema(close, p.fast) - ema(close, p.slow)
-        best, above = profiles(high, low, close, volume, p.profile, p.bins)
-        poc = np.r_[np.nan, best[:-1]]  # of the bars before a bar
-        out = dict(zip(names, (ema(close, p.short), ema(close, p.middle), rsi, macd, ema(macd, p.signal), smoothed(g["range"].to_numpy(float), p.strength, 1 / p.strength), poc, above), strict=True))
-        return pd.DataFrame({by: g[by], at: g[at], **{k: pd.Series(v, index=g.index).where(~np.isnan(v), None) for k, v in out.items()}})
+def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods(), turns: tuple[int, float] | None = None, before: bool = False) -> DataFrame:
+    """bars (by, at, open, high, low, close, volume) with everything that the signals need; null where it isn't defined yet.
 
-    smooth = d.select(by, at, "high", "low", "close", "volume", "range", "change").groupBy(by).applyInPandas(run, f"{by} {t[by]}, {at} {t[at]}, " + ", ".join(f"{n} double" for n in names))
+    With turns, (bars, factor) of zigzag, also last_high and last_low as with_last_swings has them of those swings; with
+    before, was_x for each x that events compares with the bar before. Windows come first and one grouped map a security
+    last, so bars that lie together by security are not shuffled again, and nothing after it needs the rows in order.
+    """
+    w = Window.partitionBy(by).orderBy(at)
+    d = bars.where(C(by).isNotNull() & C(at).isNotNull()).withColumns({"__range": true_range([by], at), "__change": C("close") - F.lag("close").over(w)})
     full = lambda f, c, n, back=0: F.when(F.count(c).over(w.rowsBetween(-(n - 1) - back, -back)) == n, f(c).over(w.rowsBetween(-(n - 1) - back, -back)))
-    d = bars.join(smooth, [by, at])
-    obv = F.sum(F.coalesce(F.signum(change), F.lit(0.0)) * C("volume")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("__step", change).withColumn("obv", obv)
+    d = d.withColumn("obv", F.sum(F.coalesce(F.signum("__change"), F.lit(0.0)) * C("volume")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     a, b, c = p.cloud
     half = lambda n, back=0: (full(F.max, "high", n, back) + full(F.min, "low", n, back)) / 2
     d = d.withColumns({
@@ -127,7 +118,51 @@ def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods()) -> DataF
     d = d.withColumn("raw_k", F.try_divide(C("close") - lowest, highest - lowest) * 100)
     d = d.withColumn("k", full(F.avg, "raw_k", smooth_k)).withColumn("dline", full(F.avg, "k", smooth_d))
     d = d.withColumn("cloud_top", F.when(C("span_a").isNotNull() & C("span_b").isNotNull(), F.greatest("span_a", "span_b")))
-    return d.drop("__step", "raw_k", "span_a", "span_b")
+    d = d.drop("raw_k", "span_a", "span_b")
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by(at).combine_chunks()
+        high, low, close, volume, span, change = (g[c].to_numpy().astype(float) for c in ("high", "low", "close", "volume", "__range", "__change"))
+        ema = lambda x, k: smoothed(x, k, 2 / (k + 1))
+        gain, fall = (smoothed(np.clip(s * change, 0, None), p.strength, 1 / p.strength) for s in (1, -1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rsi = np.where(fall == 0, 100.0, gain / (gain + fall) * 100)
+        rsi = np.where(np.isnan(gain), np.nan, rsi)
+        macd = ema(close, p.fast) - ema(close, p.slow)
+        best, above = profiles(high, low, close, volume, p.profile, p.bins)
+        poc = np.r_[np.nan, best[:-1]]  # of the bars before a bar
+        out = [ema(close, p.short), ema(close, p.middle), rsi, macd, ema(macd, p.signal), smoothed(span, p.strength, 1 / p.strength), poc, above]
+        if turns:
+            out += last_swings(zigzag_points(high, low, smoothed(span, turns[0], 1 / turns[0]) * turns[1]), len(close))
+        g = g.drop_columns(["__range", "__change"])
+        for name, x in zip(names, out, strict=True):
+            g = g.append_column(name, pa.array(x, from_pandas=True))
+        for name in was:
+            x = g[name].combine_chunks()
+            g = g.append_column(f"was_{name}", pa.concat_arrays([pa.nulls(1, x.type), x.slice(0, len(x) - 1)]))
+        return g
+
+    names = ["ema_short", "ema_middle", "rsi", "macd", "macd_signal", "atr", "poc", "above"] + (["last_high", "last_low"] if turns else [])
+    was = [x for x in COMPARED if x in names or x in d.columns] if before else []
+    schema = T.StructType([f for f in d.schema.fields if f.name not in ("__range", "__change")])
+    for x in names:
+        schema = schema.add(x, "double")
+    for x in was:
+        schema = schema.add(f"was_{x}", schema[x].dataType)
+    return d.groupBy(by).applyInArrow(run, schema)
+
+
+def last_swings(points: list[tuple[int, str, float, int]], n: int) -> list[np.ndarray]:
+    """The price of the last swing high and low confirmed by each of n bars, from zigzag_points; NaN before the first."""
+    out = []
+    for kind in ("high", "low"):
+        at, price = np.full(n, -1), np.full(n, np.nan)
+        for _, k, value, confirmed in points:
+            if k == kind:
+                at[confirmed], price[confirmed] = confirmed, value
+        at = np.maximum.accumulate(at)
+        out.append(np.where(at < 0, np.nan, price[at]))
+    return out
 
 
 def with_last_swings(df: DataFrame, swings: DataFrame, by: str, at: str) -> DataFrame:
@@ -147,20 +182,25 @@ def events(df: DataFrame, by: str, at: str) -> DataFrame:
     up below 20; A11, A12 short over middle, middle over long mean; A13 close over the point of control; A14, A15 close
     crosses the last swing high upwards, the last swing low downwards.
     """
-    w = Window.partitionBy(by).orderBy(at)
-    lower, upper = C("sma_short") - 2 * C("sd_short"), C("sma_short") + 2 * C("sd_short")
-    conditions = {
-        "A1": C("rsi") < 30, "A2": C("rsi") > 70, "A3": C("macd") > C("macd_signal"), "A4": C("macd") < C("macd_signal"), "A5": C("close") > C("cloud_top"), "A6": C("conversion") > C("base"),
-        "A7": (C("obv") > C("obv_top")) & (C("close") <= C("close_top")), "A8": C("close") < lower, "A9": C("close") > upper, "A10": C("k") > C("dline"), "A11": C("ema_short") > C("ema_middle"),
-        "A12": C("sma_middle") > C("sma_long"), "A13": C("close") > C("poc"),
-    }
-    d = df.withColumns({f"__{k}": v for k, v in conditions.items()})
-    fresh = {k: C(f"__{k}") & ~F.lag(f"__{k}").over(w) for k in conditions}
+    if f"was_{COMPARED[0]}" not in df.columns:
+        w = Window.partitionBy(by).orderBy(at)
+        df = df.withColumns({f"was_{x}": F.lag(x).over(w) for x in COMPARED})
+
+    def conditions(v) -> dict[str, Column]:
+        lower, upper = v("sma_short") - 2 * v("sd_short"), v("sma_short") + 2 * v("sd_short")
+        return {
+            "A1": v("rsi") < 30, "A2": v("rsi") > 70, "A3": v("macd") > v("macd_signal"), "A4": v("macd") < v("macd_signal"), "A5": v("close") > v("cloud_top"), "A6": v("conversion") > v("base"),
+            "A7": (v("obv") > v("obv_top")) & (v("close") <= v("close_top")), "A8": v("close") < lower, "A9": v("close") > upper, "A10": v("k") > v("dline"), "A11": v("ema_short") > v("ema_middle"),
+            "A12": v("sma_middle") > v("sma_long"), "A13": v("close") > v("poc"),
+        }
+
+    was = lambda x: C(f"was_{x}")
+    now, then = conditions(C), conditions(was)
+    fresh = {k: now[k] & ~then[k] for k in now}
     fresh["A10"] = fresh["A10"] & (C("dline") < 20)
-    level = lambda c: F.lag(c).over(w)
-    fresh["A14"] = (C("close") > level("last_high")) & (level("close") <= level("last_high"))
-    fresh["A15"] = (C("close") < level("last_low")) & (level("close") >= level("last_low"))
-    d = d.withColumn("__on", F.array_compact(F.array(*[F.when(v, k) for k, v in fresh.items()])))
+    fresh["A14"] = (C("close") > was("last_high")) & (was("close") <= was("last_high"))
+    fresh["A15"] = (C("close") < was("last_low")) & (was("close") >= was("last_low"))
+    d = df.withColumn("__on", F.array_compact(F.array(*[F.when(v, k) for k, v in fresh.items()])))
     return d.select(by, at, F.explode("__on").alias("signal"))
 
 

@@ -70,15 +70,13 @@ def t15_channels(spark, sf):
 PERIODS = signals.Periods(short=8, middle=15, long=30, strength=7, fast=5, slow=10, signal=4, cloud=(4, 8, 16), stochastic=(6, 3, 3), profile=25, bins=12)
 
 
-def measured(spark, sf):
-    b = days(spark, sf).drop("d")
-    m = signals.measured(b, "sid", "n", PERIODS)
-    return signals.with_last_swings(m, swings(b), "sid", "n")
+def measured(spark, sf, before=False):
+    return signals.measured(days(spark, sf).drop("d"), "sid", "n", PERIODS, (14, 2.0), before)
 
 
 @query("t11_signals", None)
 def t11_signals(spark, sf):
-    return signals.events(measured(spark, sf), "sid", "n")
+    return signals.events(measured(spark, sf, before=True), "sid", "n")
 
 
 @query("t11_states", None)
