@@ -1,13 +1,14 @@
 """Signals and checklist states of daily bars, horizontal zones with their tests, the market's regime.
 
-Windows give whatever looks back a fixed number of bars; smoothed values, the volume profile of each bar's last window and
-the last swings come from one grouped map a security. A condition with a missing input is missing, and a signal fires on the first bar of a
-condition that was known and false on the bar before.
+What a bar is measured by, from means of a fixed number of bars to smoothed values, the volume profile of its last window
+and the last swings, comes from one grouped map a security, so bars are shuffled once. A condition with a missing input is
+missing, and a signal fires on the first bar of a condition that was known and false on the bar before.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import asof_backward
-from .technical import smoothed, true_range, zigzag_points
+from .technical import smoothed, zigzag_points
 
 C = F.col
 CELLS_AT_ONCE = 50_000  # cells of windows by bins that are held at a time, few enough for a core's cache
@@ -95,73 +96,109 @@ def profiles(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.nd
     return best, above
 
 
+def rolled(x: np.ndarray, n: int, f, back: int = 0) -> np.ndarray:
+    """f of the n values up to each bar, or up to back bars before it; NaN unless all are there. f gets them from the first on."""
+    out = np.full(len(x), np.nan)
+    m = len(x) - n - back + 1
+    if m > 0:
+        out[n + back - 1 :] = f([x[j : j + m] for j in range(n)])
+    return out
+
+
+# of values from the first on, in the order in which a window's aggregates take them
+def lowest(xs: list[np.ndarray]) -> np.ndarray:
+    return reduce(np.minimum, xs)
+
+
+def highest(xs: list[np.ndarray]) -> np.ndarray:
+    return reduce(np.maximum, xs)
+
+
+def mean(xs: list[np.ndarray]) -> np.ndarray:
+    return reduce(np.add, xs) / len(xs)
+
+
+def deviation(xs: list[np.ndarray]) -> np.ndarray:
+    middle = squares = np.zeros(len(xs[0]))
+    for i, x in enumerate(xs, 1):
+        off = x - middle
+        step = off / i
+        middle, squares = middle + step, squares + off * (off - step)
+    return np.sqrt(squares / len(xs))
+
+
+def measures(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, p: Periods, turns: tuple[int, float] | None = None) -> dict[str, np.ndarray]:
+    """What measured adds to a security's bars in their order; NaN where a value isn't there."""
+    before = np.r_[np.nan, close[:-1]]
+    change = close - before
+    span = np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
+    ema = lambda x, k: smoothed(x, k, 2 / (k + 1))
+    gain, fall = (smoothed(np.clip(s * change, 0, None), p.strength, 1 / p.strength) for s in (1, -1))
+    macd = ema(close, p.fast) - ema(close, p.slow)
+    best, above = profiles(high, low, close, volume, p.profile, p.bins)
+    moved = np.where(np.isnan(change), 0.0, np.sign(change)) * volume
+    obv = np.where(np.logical_and.accumulate(np.isnan(moved)), np.nan, np.cumsum(np.where(np.isnan(moved), 0.0, moved)))
+    half = lambda n, back=0: (rolled(high, n, highest, back) + rolled(low, n, lowest, back)) / 2
+    a, b, c = p.cloud
+    n, smooth_k, smooth_d = p.stochastic
+    bottom, top = rolled(low, n, lowest), rolled(high, n, highest)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rsi = np.where(np.isnan(gain), np.nan, np.where(fall == 0, 100.0, gain / (gain + fall) * 100))
+        raw_k = np.where(top == bottom, np.nan, (close - bottom) / (top - bottom) * 100)
+    k = rolled(raw_k, smooth_k, mean)
+    out = {
+        "obv": obv, "sma_middle": rolled(close, p.middle, mean), "sma_long": rolled(close, p.long, mean), "sma_short": rolled(close, p.short, mean), "sd_short": rolled(close, p.short, deviation),
+        "obv_mean": rolled(obv, p.short, mean), "obv_top": rolled(obv, p.short, highest, 1), "close_top": rolled(close, p.short, highest, 1), "conversion": half(a), "base": half(b),
+        "k": k, "dline": rolled(k, smooth_d, mean), "cloud_top": np.maximum((half(a, b) + half(b, b)) / 2, half(c, b)),
+        "ema_short": ema(close, p.short), "ema_middle": ema(close, p.middle), "rsi": rsi, "macd": macd, "macd_signal": ema(macd, p.signal), "atr": smoothed(span, p.strength, 1 / p.strength),
+        "poc": np.r_[np.nan, best[:-1]], "above": above,  # poc is of the bars before a bar
+    }
+    if turns:
+        out |= last_swings(zigzag_points(high, low, smoothed(span, turns[0], 1 / turns[0]) * turns[1]), len(close))
+    return out
+
+
+MEASURED = [
+    "obv", "sma_middle", "sma_long", "sma_short", "sd_short", "obv_mean", "obv_top", "close_top", "conversion", "base", "k", "dline", "cloud_top", "ema_short", "ema_middle", "rsi", "macd", "macd_signal", "atr",
+    "poc", "above",
+]
+
+
 def measured(bars: DataFrame, by: str, at: str, p: Periods = Periods(), turns: tuple[int, float] | None = None, before: bool = False) -> DataFrame:
     """bars (by, at, open, high, low, close, volume) with everything that the signals need; null where it isn't defined yet.
 
     With turns, (bars, factor) of zigzag, also last_high and last_low as with_last_swings has them of those swings; with
-    before, was_x for each x that events compares with the bar before. Windows come first and one grouped map a security
-    last, so bars that lie together by security are not shuffled again, and nothing after it needs the rows in order.
+    before, was_x for each x that events compares with the bar before. It is all one grouped map a security, so bars that lie
+    together by security are not shuffled again, and nothing after it needs the rows in order.
     """
-    w = Window.partitionBy(by).orderBy(at)
-    d = bars.where(C(by).isNotNull() & C(at).isNotNull()).withColumns({"__range": true_range([by], at), "__change": C("close") - F.lag("close").over(w)})
-    full = lambda f, c, n, back=0: F.when(F.count(c).over(w.rowsBetween(-(n - 1) - back, -back)) == n, f(c).over(w.rowsBetween(-(n - 1) - back, -back)))
-    d = d.withColumn("obv", F.sum(F.coalesce(F.signum("__change"), F.lit(0.0)) * C("volume")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    a, b, c = p.cloud
-    half = lambda n, back=0: (full(F.max, "high", n, back) + full(F.min, "low", n, back)) / 2
-    d = d.withColumns({
-        "sma_middle": full(F.avg, "close", p.middle), "sma_long": full(F.avg, "close", p.long), "sma_short": full(F.avg, "close", p.short), "sd_short": full(F.stddev_pop, "close", p.short),
-        "obv_mean": full(F.avg, "obv", p.short), "obv_top": full(F.max, "obv", p.short, 1), "close_top": full(F.max, "close", p.short, 1),
-        "conversion": half(a), "base": half(b), "span_a": (half(a, b) + half(b, b)) / 2, "span_b": half(c, b),
-    })
-    n, smooth_k, smooth_d = p.stochastic
-    lowest, highest = full(F.min, "low", n), full(F.max, "high", n)
-    d = d.withColumn("raw_k", F.try_divide(C("close") - lowest, highest - lowest) * 100)
-    d = d.withColumn("k", full(F.avg, "raw_k", smooth_k)).withColumn("dline", full(F.avg, "k", smooth_d))
-    d = d.withColumn("cloud_top", F.when(C("span_a").isNotNull() & C("span_b").isNotNull(), F.greatest("span_a", "span_b")))
-    d = d.drop("raw_k", "span_a", "span_b")
+    names = MEASURED + (["last_high", "last_low"] if turns else [])
+    was = [x for x in COMPARED if x in names or x in bars.columns] if before else []
 
     def run(g: pa.Table) -> pa.Table:
         g = g.sort_by(at).combine_chunks()
-        high, low, close, volume, span, change = (g[c].to_numpy().astype(float) for c in ("high", "low", "close", "volume", "__range", "__change"))
-        ema = lambda x, k: smoothed(x, k, 2 / (k + 1))
-        gain, fall = (smoothed(np.clip(s * change, 0, None), p.strength, 1 / p.strength) for s in (1, -1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rsi = np.where(fall == 0, 100.0, gain / (gain + fall) * 100)
-        rsi = np.where(np.isnan(gain), np.nan, rsi)
-        macd = ema(close, p.fast) - ema(close, p.slow)
-        best, above = profiles(high, low, close, volume, p.profile, p.bins)
-        poc = np.r_[np.nan, best[:-1]]  # of the bars before a bar
-        out = [ema(close, p.short), ema(close, p.middle), rsi, macd, ema(macd, p.signal), smoothed(span, p.strength, 1 / p.strength), poc, above]
-        if turns:
-            out += last_swings(zigzag_points(high, low, smoothed(span, turns[0], 1 / turns[0]) * turns[1]), len(close))
-        g = g.drop_columns(["__range", "__change"])
-        for name, x in zip(names, out, strict=True):
-            g = g.append_column(name, pa.array(x, from_pandas=True))
-        for name in was:
-            x = g[name].combine_chunks()
-            g = g.append_column(f"was_{name}", pa.concat_arrays([pa.nulls(1, x.type), x.slice(0, len(x) - 1)]))
-        return g
-
-    names = ["ema_short", "ema_middle", "rsi", "macd", "macd_signal", "atr", "poc", "above"] + (["last_high", "last_low"] if turns else [])
-    was = [x for x in COMPARED if x in names or x in d.columns] if before else []
-    schema = T.StructType([f for f in d.schema.fields if f.name not in ("__range", "__change")])
+        out = measures(*(g[c].to_numpy().astype(float) for c in ("high", "low", "close", "volume")), p, turns)
+        columns = {c: g[c].combine_chunks() for c in g.column_names} | {c: pa.array(out[c], from_pandas=True) for c in names}
+        lagged = {f"was_{c}": pa.concat_arrays([pa.nulls(1, columns[c].type), columns[c].slice(0, len(g) - 1)]) for c in was}
+        return pa.table(columns | lagged)
+
+    schema = T.StructType([*bars.schema.fields])
     for x in names:
         schema = schema.add(x, "double")
     for x in was:
         schema = schema.add(f"was_{x}", schema[x].dataType)
-    return d.groupBy(by).applyInArrow(run, schema)
+    return bars.where(C(by).isNotNull() & C(at).isNotNull()).groupBy(by).applyInArrow(run, schema)
 
 
-def last_swings(points: list[tuple[int, str, float, int]], n: int) -> list[np.ndarray]:
-    """The price of the last swing high and low confirmed by each of n bars, from zigzag_points; NaN before the first."""
-    out = []
+def last_swings(points: list[tuple[int, str, float, int]], n: int) -> dict[str, np.ndarray]:
+    """last_high and last_low: the price of the last swing of each kind confirmed by each of n bars; NaN before the first."""
+    out = {}
     for kind in ("high", "low"):
         at, price = np.full(n, -1), np.full(n, np.nan)
         for _, k, value, confirmed in points:
             if k == kind:
                 at[confirmed], price[confirmed] = confirmed, value
         at = np.maximum.accumulate(at)
-        out.append(np.where(at < 0, np.nan, price[at]))
+        out[f"last_{kind}"] = np.where(at < 0, np.nan, price[at])
     return out
 
 
@@ -182,9 +219,8 @@ def events(df: DataFrame, by: str, at: str) -> DataFrame:
     up below 20; A11, A12 short over middle, middle over long mean; A13 close over the point of control; A14, A15 close
     crosses the last swing high upwards, the last swing low downwards.
     """
-    if f"was_{COMPARED[0]}" not in df.columns:
-        w = Window.partitionBy(by).orderBy(at)
-        df = df.withColumns({f"was_{x}": F.lag(x).over(w) for x in COMPARED})
+    w = Window.partitionBy(by).orderBy(at)
+    df = df.withColumns({f"was_{x}": F.lag(x).over(w) for x in COMPARED if f"was_{x}" not in df.columns})
 
     def conditions(v) -> dict[str, Column]:
         lower, upper = v("sma_short") - 2 * v("sd_short"), v("sma_short") + 2 * v("sd_short")
